@@ -99,7 +99,7 @@ def seasonal_percentile(series: DataFrame, day: str, value: str, reach: int = 7)
     asked = series.select(d, F.col(value).alias("x"))
     years = series.select(F.year(d).alias("y")).distinct()
     anchors = asked.crossJoin(F.broadcast(years)).where(F.col("y") != F.year(d))  # a few tens of years
-    anchor = F.try_to_date(F.concat_ws("-", F.col("y").cast("string"), F.lpad(F.month(d).cast("string"), 2, "0"), F.lpad(F.dayofmonth(d).cast("string"), 2, "0")), F.lit("yyyy-MM-dd"))
+    anchor = F.concat_ws("-", F.col("y").cast("string"), F.lpad(F.month(d).cast("string"), 2, "0"), F.lpad(F.dayofmonth(d).cast("string"), 2, "0")).try_cast("date")
     near = anchors.withColumn("_a", anchor).where("_a IS NOT NULL").withColumn("_near", F.explode(F.sequence(F.date_sub("_a", reach), F.date_add("_a", reach))))
     found = near.join(series.select(d.alias("_near"), F.col(value).alias("v")), "_near")
     rank = F.sum(F.when(F.col("v") < F.col("x"), 1.0).when(F.col("v") == F.col("x"), 0.5).otherwise(0.0))
