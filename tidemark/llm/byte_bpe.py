@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 from array import array
+from functools import lru_cache
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,56 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import field, text_or_empty
-from .tokenizing import MEMO_CHARS, MEMO_PIECES, Memo, White, read_ranks
-
-WORD = 64
-
-
-class RankQueue:
-    """Positions in buckets by rank, and bitmaps of the buckets in use: a word of each level says which words of the
-    level below are not zero. The least rank is found by one find-first-set per level."""
-
-    def __init__(self, n_ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels = [[0] * (-(-n_ranks // WORD) or 1)]
-        while len(self.levels[-1]) > 1:
-            self.levels.append([0] * -(-len(self.levels[-1]) // WORD))
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        at = rank
-        for level in self.levels:
-            word, bit = divmod(at, WORD)
-            had = level[word]
-            level[word] = had | 1 << bit
-            if had:
-                break
-            at = word
-
-    def pop(self) -> tuple[int, int] | None:
-        """The least rank and its leftmost position, or None."""
-        if not self.levels[-1][0]:
-            return None
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank * WORD + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word, bit = divmod(at, WORD)
-                level[word] &= ~(1 << bit)
-                if level[word]:
-                    break
-                at = word
-        return rank, position
+from .tokenizing import MEMO_CHARS, Memo, White, read_ranks
+
+#: Ranks of one word of the lower bitmap, as a power of two; the upper bitmap has a bit for each of these words.
+WORD_BITS = 8
+#: Pieces and matches that a worker remembers before it forgets all.
+REMEMBERED = 600_000
+#: Marks that a word of letters often ends in; a run of them is one match.
+MARKS = ".,;:!?"
 
 
 class ByteBpe:
@@ -71,61 +30,97 @@ class ByteBpe:
         import regex
 
         self.ranks, _ = read_ranks(path)
-        self.tokens = {i: t for t, i in self.ranks.items()}
+        self.tokens = [b""] * (max(self.ranks.values(), default=0) + 1)
+        for token, i in self.ranks.items():
+            self.tokens[i] = token
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.ranks.values(), default=0) + 1)
-        self.matches: dict[str, list[int]] = {}
-        self.memo = Memo(self.cut)
+        self.low = [0] * ((len(self.tokens) >> WORD_BITS) + 1)
+        self.matches: dict[str, bytes] = {}
+        self.memo = Memo(self.piece, REMEMBERED)
 
     def merged(self, match: bytes) -> list[int]:
-        """ids of one match: the adjacent pair of least rank is merged, the leftmost of them first, until none is left."""
-        ranks = self.ranks
-        if (whole := ranks.get(match)) is not None:
+        """ids of one match: the adjacent pair of least rank is merged, the leftmost of them first, until none is left.
+
+        Tokens are a linked list by the place where they start. Buckets hold the places of the pairs of one rank, as a
+        heap; bitmaps say which buckets there are: a bit for each rank, and above them a bit for each word that is not
+        zero, so two find-first-sets give the least rank. A bucket's entry whose pair has changed is stale and skipped.
+        """
+        rank_of = self.ranks.get
+        if (whole := rank_of(match)) is not None:
             return [whole]
         n = len(match)
-        # a linked list of tokens by the place where they start; entries of the queue whose pair has gone are stale
         ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair: list[int | None] = [ranks.get(match[i : i + 2]) for i in range(n - 1)] + [None]
-        queue = self.queue
+        pair = [rank_of(match[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        low, high, mask = self.low, 0, (1 << WORD_BITS) - 1  # low is all zero between calls
+        buckets: dict[int, list[int]] = {}
         for i, rank in enumerate(pair):
             if rank is not None:
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    low[rank >> WORD_BITS] |= 1 << (rank & mask)
+                    high |= 1 << (rank >> WORD_BITS)
+        while high:
+            word = (high & -high).bit_length() - 1
+            bits = low[word]
+            rank = (word << WORD_BITS) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[word] = bits & (bits - 1)
+                if not low[word]:
+                    high &= high - 1
             if pair[i] != rank:
                 continue
             gone = ends[i]
             end = ends[i] = ends[gone]
             pair[gone] = None
+            left = before[i]
             if end < n:
                 before[end] = i
-                pair[i] = ranks.get(match[i : ends[end]])
-                if pair[i] is not None:
-                    queue.push(pair[i], i)
-            else:
-                pair[i] = None
-            if (left := before[i]) >= 0:
-                pair[left] = ranks.get(match[left:end])
-                if pair[left] is not None:
-                    queue.push(pair[left], left)
+            for at, start, stop in ((i, i, ends[end] if end < n else 0), (left, left, end)):
+                if at < 0:
+                    continue
+                new = rank_of(match[start:stop]) if stop else None
+                pair[at] = new
+                if new is None:
+                    continue
+                if new in buckets:
+                    heappush(buckets[new], at)
+                else:
+                    buckets[new] = [at]
+                    low[new >> WORD_BITS] |= 1 << (new & mask)
+                    high |= 1 << (new >> WORD_BITS)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[match[i : ends[i]]])
+            ids.append(rank_of(match[i : ends[i]]))
             i = ends[i]
         return ids
 
-    def cut(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for match in self.find(piece):
-            known = self.matches.get(match)
-            if known is None:
-                known = self.merged(match.encode())
-                if len(match) <= MEMO_CHARS:
-                    if len(self.matches) >= MEMO_PIECES:
-                        self.matches.clear()
-                    self.matches[match] = known
-            ids += known
-        return array("I", ids).tobytes()
+    def match(self, match: str) -> bytes:
+        known = self.matches.get(match)
+        if known is None:
+            known = array("I", self.merged(match.encode())).tobytes()
+            if len(match) <= MEMO_CHARS:
+                if len(self.matches) >= REMEMBERED:
+                    self.matches.clear()
+                self.matches[match] = known
+        return known
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.match, self.find(text)))
+
+    def piece(self, piece: str) -> bytes:
+        """ids of a space and a piece. Letters and marks after them are two matches, which needs no search."""
+        core = piece.rstrip(MARKS)
+        if core.isalpha():
+            return self.match(" " + core) + self.match(piece[len(core) :]) if len(core) < len(piece) else self.match(" " + core)
+        return self.cut(" " + piece)
 
     def packed(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers; pieces between single spaces are remembered."""
@@ -138,7 +133,13 @@ class ByteBpe:
             return self.cut(text)
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, array("I", packed)))
+        return b"".join(map(self.tokens.__getitem__, array("I", packed).tolist()))
+
+
+@lru_cache(maxsize=2)
+def worker_bpe(ranks: str, pattern: str) -> ByteBpe:
+    """One per Python worker, whose tasks share what it remembers."""
+    return ByteBpe(ranks, pattern)
 
 
 def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -153,7 +154,7 @@ def encode_decode(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "d
     out = T.StructType([field(docs, id_col), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType()), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if keep_ids else [])])
 
     def run(batches):
-        bpe = ByteBpe(ranks, pattern)
+        bpe = worker_bpe(ranks, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             packed = [bpe.packed(x) for x in texts]

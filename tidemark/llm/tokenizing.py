@@ -45,18 +45,19 @@ class White(Exception):
 
 
 class Memo(dict):
-    """Piece after a space -> ids of the space and the piece, as little-endian unsigned 32-bit integers."""
+    """Piece after a space -> ids of the space and the piece, as little-endian unsigned 32-bit integers. encode: makes
+    them of the piece. After `most` pieces it forgets all."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = MEMO_PIECES):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise White
-        ids = self.encode(" " + piece)
+        ids = self.encode(piece)
         if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO_PIECES:
+            if len(self) >= self.most:
                 self.clear()
             self[piece] = ids
         return ids
@@ -77,7 +78,7 @@ class TextEncoder:
         for token, i in self.special.items():
             self.n_bytes[i] = len(token.encode())
         self.direct = lambda text: array("I", own.encode(text, allowed_special="all")).tobytes()
-        self.memo = Memo(self.direct)
+        self.memo = Memo(lambda piece: self.direct(" " + piece))
 
     def packed(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
