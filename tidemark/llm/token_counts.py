@@ -39,14 +39,14 @@ def splice(text: str, a: int, left: np.ndarray, left_at: np.ndarray, b: int, rig
 
 def chunked(text: str, encode: Callable[[str], np.ndarray], n_bytes: np.ndarray, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[np.ndarray]:
     """ids of text in parts, from chunks that overlap. An overlap without a common stable boundary is doubled; when it
-    has reached back to the last splice, the chunk itself grows by another one."""
+    has reached back to the last splice, the chunk itself grows, to twice its size once it is longer than one."""
     a, e, n = 0, min(chunk, len(text)), len(text)
     left = encode(text[a:e])
     while e < n:
         left_at, wide, found = starts_by_byte(left, n_bytes), overlap, None
         while True:
             b = max(a, e - wide)
-            until = min(n, e + chunk)
+            until = min(n, e + max(chunk, e - a - chunk))
             right = encode(text[b:until])
             found = b > a and splice(text, a, left, left_at, b, right, starts_by_byte(right, n_bytes), e)
             if found or b == a:
