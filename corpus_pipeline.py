@@ -14,8 +14,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, without their failing lines."""
-    judged = quality.quality(docs, keep=("lang", "source")).where("kept")
-    return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+    # the observed counts also keep Spark from moving the filter below the rules, which would evaluate them many times over
+    judged = quality.quality(docs, keep=("lang", "source")).observe("quality rules", F.count("*").alias("documents"), F.count_if("kept").alias("kept"))
+    return judged.where("kept").select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
