@@ -123,7 +123,7 @@ def test_secrets_in_layers():
         base, spans, _, _ = secret_scan.find_secrets(text)
         assert span in spans and set(base) <= set(spans)
     twice = "é " + quote(quote(SECRET))
-    assert (2, len(twice) - 6, "assign") in secret_scan.find_secrets(twice)[1]
+    assert (2, twice.rindex("%2522"), "assign") in secret_scan.find_secrets(twice)[1]
 
 
 def test_secret_base_spans(docs):
@@ -134,7 +134,7 @@ def test_secret_base_spans(docs):
 
 
 def test_quality_lines(spark):
-    prose = "\n".join(f"Line {i} of this page says something of its own, and ends well {i * 7}." for i in range(9))
+    prose = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) + "." for i in range(9))
     menu = "Home | News | Sport | Weather | Shop | About\n" * 12
     rows = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame([(1, prose), (2, prose + "\nAll rights reserved.\n\nHome | News | Sport | Weather | Shop"), (3, menu + prose), (4, "la la la " * 40)], "doc_id int, text string")).collect()}
     assert rows[1]["kept"] and rows[1]["clean_text"] == prose
