@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tidemark.plans import queries as plans
+from tidemark.plans import summaries  # noqa: F401  (adds its queries to those of plans)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

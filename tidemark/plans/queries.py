@@ -60,10 +60,10 @@ def d8_source_coverage(spark, sf_dir):
     return keys.source_coverage(frames.table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), F.to_date("ts").alias("day")), "source", "day")
 
 
-@query("""WITH h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_custkey % 50 = 7)
+@query("""WITH h AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 400000)
 SELECT CAST(d AS DATE) AS day FROM (SELECT unnest(generate_series((SELECT min(day) FROM h)::TIMESTAMP, (SELECT max(day) FROM h)::TIMESTAMP, INTERVAL 1 DAY)) AS d) WHERE CAST(d AS DATE) NOT IN (SELECT day FROM h)""")
 def d10_missing_days(spark, sf_dir):
-    return keys.missing_days(frames.table(spark, sf_dir, "orders").where(F.col("o_custkey") % 50 == 7), "o_orderdate")
+    return keys.missing_days(frames.table(spark, sf_dir, "orders").where("o_totalprice > 400000"), "o_orderdate")
 
 
 @query(f"""WITH c AS (SELECT asset, day, count(*) AS n FROM ({frames.DISPATCH}) GROUP BY 1, 2), g AS (SELECT * FROM (SELECT DISTINCT asset FROM c), (SELECT DISTINCT day FROM c))
