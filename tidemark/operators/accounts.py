@@ -52,3 +52,36 @@ def growers_decliners(changes: DataFrame, k: int = 5) -> DataFrame:
     """The k largest falls and the k largest rises; in a small book an account may be both."""
     down = changes.orderBy(F.col("change"), "account_id").limit(k).withColumn("side", F.lit("decliner"))
     return down.unionByName(changes.orderBy(F.col("change").desc(), "account_id").limit(k).withColumn("side", F.lit("grower")))
+
+
+def trend_evidence(timeline: DataFrame, usage: str, rows: int = 13, least_span: int = 12, least_rows: int = 10, least_usage: int = 8) -> DataFrame:
+    """Change of revenue (percent) and of usage (points) over the last rows of each account, one row per account and
+    month. An eligible account compares the medians of its first and last three values, others the first and the last.
+    Accounts with less than two values of either are left out."""
+    by = lambda *c: Window.partitionBy("account_id", *c)
+    recent = timeline.withColumn("_k", F.row_number().over(by().orderBy(F.col("month").desc()))).where(F.col("_k") <= rows)
+    found = [F.count("*").alias("n"), F.min("month").alias("start_month"), F.max("month").alias("end_month")]
+    for name, c in (("arr", "arr"), ("usage", usage)):
+        held = F.col(c).isNotNull()
+        w = by(held)
+        recent = recent.withColumns({f"_{name}_a": F.row_number().over(w.orderBy("month")), f"_{name}_z": F.row_number().over(w.orderBy(F.col("month").desc()))})
+        value = lambda side, k, c=c, name=name: F.when(F.col(f"_{name}_{side}") <= k, F.col(c))
+        found += [F.count(c).alias(f"{name}_n")] + [f(value(side, k)).alias(f"_{name}_{side}{k}") for side in "az" for f, k in ((F.max, 1), (F.median, 3))]
+    ends = recent.groupBy("account_id").agg(*found).where("arr_n >= 2 AND usage_n >= 2").withColumn("span_months", F.round(F.months_between("end_month", "start_month")).cast("int"))
+    ends = ends.withColumn("eligible", (F.col("span_months") >= least_span) & (F.col("n") >= least_rows) & (F.col("usage_n") >= least_usage))
+    end = lambda name, side: F.when(F.col("eligible"), F.col(f"_{name}_{side}3")).otherwise(F.col(f"_{name}_{side}1"))
+    rise = F.when(end("arr", "a") > 0, 100 * (end("arr", "z") - end("arr", "a")) / end("arr", "a"))
+    return ends.select("account_id", "n", "usage_n", "start_month", "end_month", "span_months", "eligible", F.round(rise, 1).alias("arr_change_pct"), F.round(end("usage", "z") - end("usage", "a"), 1).alias("usage_change_pp"))
+
+
+def revenue_by_group(timeline: DataFrame, accounts: DataFrame, dimensions: list[str], top: int = 5) -> DataFrame:
+    """Revenue per month of the `top` groups of each dimension by the dimension's last month; the others, and accounts
+    without a group, are Other. Windows run over months and groups, after the accounts are summed."""
+    cells = timeline.join(accounts, "account_id").groupBy("month", *dimensions).agg(F.sum("arr").alias("arr"))
+    group = F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("Other")).alias("group")) for d in dimensions]))
+    long = cells.select("month", group.alias("_g"), "arr").select("month", "_g.*", "arr").groupBy("month", "dimension", "group").agg(F.sum("arr").alias("arr"))
+    last = long.withColumn("_last", F.max("month").over(Window.partitionBy("dimension")))
+    now = last.groupBy("dimension", "group").agg(F.sum(F.when(F.col("month") == F.col("_last"), F.col("arr")).otherwise(0.0)).alias("_now"))
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy(F.col("_now").desc(), "group"))
+    named = now.withColumn("shown", F.when(place <= top, F.col("group")).otherwise("Other")).drop("_now")
+    return long.join(named, ["dimension", "group"]).groupBy("month", "dimension", "shown").agg(F.sum("arr").alias("arr"))
