@@ -20,12 +20,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id. Of rows that repeat that id, one stays."""
-    classes = simhash.near_duplicates(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n"))
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")))
-    once = kept.where("_n = 1").select(*COLUMNS)
-    return once.unionByName(kept.where("_n > 1").select(*COLUMNS).dropDuplicates(["doc_id"]))
+    """One row of each group of near-duplicates: the one with the least id, null ids last; of rows that share that id, the
+    one with the least fingerprint. Rows are told apart by a key of their own, so texts that share an id, or have none,
+    are judged one by one."""
+    keyed = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+    classes = simhash.near_duplicates(keyed, id_col="_row")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint", "_row")
+    stay = classes.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(first).alias("_first"))
+    return keyed.join(stay.select(F.col("_first._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

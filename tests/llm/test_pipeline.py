@@ -49,3 +49,13 @@ def test_quality_sql(spark):
     names = [c[0] for c in want.description]
     docs = spark.createDataFrame([r[:2] for r in corpus()], "doc_id long, text string")
     assert sorted(map(tuple, quality.quality(docs).select(*names).collect())) == sorted(want.fetchall())
+
+
+def test_texts_that_share_an_id_stay_apart(spark):
+    rnd = random.Random(9)
+    text = lambda: " ".join(rnd.choice("abcdefghijklmnop") * 3 for _ in range(80))
+    one, two, three, four, five = (text() for _ in range(5))
+    rows = [(None, one), (None, two), (7, three), (7, four), (8, five), (9, five), (9, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=repr)
+    assert got == sorted([(9, one), (None, two), (7, three), (7, four), (8, five)], key=repr)
