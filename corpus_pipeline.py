@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import packing, pii, quality, simhash
+from tidemark.llm import near_copies, packing, pii, quality
 from tidemark.llm.common import documents, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,11 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the least id, null ids last; of rows that share that id, the
+    """One row of each group of near-duplicates (five-word Jaccard similarity of 0.8 or more): the one with the least id, null ids last; of rows that share that id, the
     one with the least fingerprint. Rows are told apart by a key of their own, so texts that share an id, or have none,
     are judged one by one."""
     keyed = stored(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
-    classes = simhash.near_duplicates(keyed, id_col="_row")
+    classes = near_copies.near_copies(keyed, id_col="_row")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "fingerprint", "_row")
     stay = classes.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(first).alias("_first"))
     return keyed.join(stay.select(F.col("_first._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)

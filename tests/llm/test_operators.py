@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, fingerprinting, html_text, licenses, packing, pii, quality, secret_scan, simhash, token_counts
+from tidemark.llm import byte_bpe, fingerprinting, html_text, licenses, near_copies, packing, pii, quality, secret_scan, simhash, token_counts
 from tidemark.llm.components import components
 
 JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -251,3 +251,29 @@ def test_pii_scores_and_masks(spark):
     row = pii.find_pii(spark.createDataFrame([(1, text)], "doc_id int, text string")).select("spans", pii.masked(F.col("text"), F.col("spans")).alias("masked")).first()
     assert [(s["kind"], text[s["start"] : s["end"]]) for s in row["spans"]][:2] == [("iban", "DE89370400440532013000"), ("ssn", "123-45-6789")]
     assert "<IBAN>" in row["masked"] and "DE883" in row["masked"] and row["masked"].endswith("Mail <EMAIL>!")
+
+
+@pytest.mark.parametrize("hot", [2, 256])
+def test_near_copies_are_those_of_brute_force(spark, hot):
+    rnd = random.Random(12)
+    words = [f"w{i}" for i in range(300)]
+    texts = ["", None, " \n", "one two", "One  two", "one two three"]
+    for _ in range(25):
+        base = [rnd.choice(words) for _ in range(rnd.choice([8, 60, 200]))]
+        texts += [" ".join(base)]
+        for edits in (1, 2, 3, 5):
+            other = list(base)
+            for _ in range(edits):
+                other[rnd.randrange(len(other))] = rnd.choice(words)
+            texts.append(" ".join(other))
+    sets = [{tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4))} for t in texts]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and least[i] != least[j]:
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=hot).collect()}
+    assert [got[i] for i in range(len(texts))] == least
+    prints = [simhash.simhash(t or "") for t in texts]
+    assert any(least[i] == least[j] and (prints[i] ^ prints[j]).bit_count() > 3 for i in range(len(texts)) for j in range(i))

@@ -15,13 +15,13 @@ from .components import components
 HOT = 2_000
 
 
-def simhash(text: str, size: int = 3, seed: int = 42) -> int:
-    """Unsigned 64-bit fingerprint: a bit is set if it is set in over half of the shingles' XXH64, repeats included."""
+def shingle_hashes(text: str, size: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each shingle in order, repeats included: one of all words if there are fewer than `size`, none of no words."""
     from xxhash import xxh64_intdigest
 
     found = text.encode().lower().split()  # bytes: A-Z and the six ASCII white-space characters only
     if not found:
-        return 0
+        return np.zeros(0, "<u8")
     joined = b" ".join(found)
     if len(found) < size:
         hashes = [xxh64_intdigest(joined, seed)]
@@ -29,11 +29,23 @@ def simhash(text: str, size: int = 3, seed: int = 42) -> int:
         ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
         starts = np.concatenate([[0], ends[: len(found) - size]])
         hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts.tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.array(hashes, "<u8")
+
+
+def print_of(hashes: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of hashes: a bit is set if it is set in over half of them."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str, size: int = 3, seed: int = 42) -> int:
+    """Unsigned 64-bit fingerprint: a bit is set if it is set in over half of the shingles' XXH64, repeats included."""
+    return print_of(shingle_hashes(text, size, seed))
+
+
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id, print): print is the fingerprint as a signed long. A null text counts as one without words: print 0."""
     out = T.StructType([field(docs, id_col), T.StructField("print", T.LongType())])
