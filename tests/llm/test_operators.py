@@ -277,3 +277,12 @@ def test_near_copies_are_those_of_brute_force(spark, hot):
     assert [got[i] for i in range(len(texts))] == least
     prints = [simhash.simhash(t or "") for t in texts]
     assert any(least[i] == least[j] and (prints[i] ^ prints[j]).bit_count() > 3 for i in range(len(texts)) for j in range(i))
+
+
+def test_long_lines_are_neither_navigation_nor_shouting(spark):
+    filler, more = " ".join(f"mot{i}" for i in range(60)), " ".join(f"plus{i}" for i in range(60))
+    good = [f"{filler} « un » {more} « deux » et « trois » puis « quatre » fin.", f"{filler} > a > b > c > d {more}.", f"• {filler} • {more} • three • four.", "Да! " * 3 + " ".join("слово%d" % i for i in range(60)), "لا! " * 3 + " ".join("كلمة%d" % i for i in range(60)), "NO! " * 3 + " ".join(f"WORD{i}" for i in range(60)) + "."]
+    bad = ["Home » News » Sport » Weather » Shop and more.", "A « quoted » menu | News | Sport | Weather | Shop", "BUY NOW! BUY TODAY! CALL US RIGHT NOW!"]
+    rows = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(list(enumerate(good + bad)), "doc_id int, text string")).collect()}
+    assert [rows[i]["n_failed_lines"] for i in range(len(good + bad))] == [0] * len(good) + [1] * len(bad)
+    assert all(rows[i]["kept"] for i in range(len(good)))

@@ -13,20 +13,30 @@ SYMBOLS = r"[#*$%&|<>]"
 ENDS_WELL = r"""[.!?;:…。！？)"'”’»\]][\x20\x09-\x0D]*$"""
 SEPARATORS = r"[|>»›•·]"
 BOILERPLATE = r"(?i)all rights reserved|privacy policy|cookie policy|use of cookies|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our|sign (in|up) to|click here|read more|powered by|skip to (main )?content"
+#: Quotations, whose marks separate nothing. A line with a letter that is small or of a script without cases is not shouted.
+QUOTED, SMALL = (r"«([^«»]*)»", r"»([^«»]*)«"), r"[\p{Ll}\p{Lo}]"
 #: A line of fewer words must end in a mark; separators of a navigation line; a boilerplate line has fewer characters;
 #: a document loses at most this share of its lines' characters.
 LEAST_WORDS, LEAST_SEPARATORS, BOILERPLATE_CHARS, MOST_LOST = 5, 4, 200, 0.5
+#: Navigation has a separator, shouting an exclamation mark, for so many words at least.
+WORDS_A_MARK = 4
 
 
 def line_fails(line: F.Column) -> F.Column:
     """Whether a line with a word breaks a rule: short without an end mark, navigation, boilerplate, symbols for a tenth
-    of its characters, or shouting."""
-    short = F.size(words(line)) < LEAST_WORDS
+    of its characters, or shouting. Navigation and shouting go by marks per word, so that a long line of prose is neither."""
+    n_words = F.size(words(line))
+    short = n_words < LEAST_WORDS
     unfinished = short & ~F.rlike(line, F.lit(ENDS_WELL))
-    navigation = F.regexp_count(line, F.lit(SEPARATORS)) >= LEAST_SEPARATORS
+    bare = line
+    for quoted in QUOTED:
+        bare = F.regexp_replace(bare, quoted, "$1")
+    separators = F.regexp_count(bare, F.lit(SEPARATORS))
+    # the first count spares most lines the others
+    navigation = (F.regexp_count(line, F.lit(SEPARATORS)) >= LEAST_SEPARATORS) & (separators >= LEAST_SEPARATORS) & (separators * WORDS_A_MARK >= n_words)
     boilerplate = (F.length(line) < BOILERPLATE_CHARS) & F.rlike(line, F.lit(BOILERPLATE))
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) * 10 > F.length(line)
-    shouting = F.rlike(line, F.lit("!.*!.*!")) & ~F.rlike(line, F.lit("[a-z]"))
+    shouting = F.rlike(line, F.lit("!.*!.*!")) & ~F.rlike(line, F.lit(SMALL)) & (F.regexp_count(line, F.lit("!")) * WORDS_A_MARK >= n_words)
     return unfinished | navigation | boilerplate | symbols | shouting
 
 
