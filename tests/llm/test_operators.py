@@ -286,3 +286,13 @@ def test_long_lines_are_neither_navigation_nor_shouting(spark):
     rows = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(list(enumerate(good + bad)), "doc_id int, text string")).collect()}
     assert [rows[i]["n_failed_lines"] for i in range(len(good + bad))] == [0] * len(good) + [1] * len(bad)
     assert all(rows[i]["kept"] for i in range(len(good)))
+
+
+def test_pii_lists_and_neighbours(spark):
+    at, es, be, de = "AT61 1904 3002 3457 3201", "ES9121000418450200051332", "BE68 5390 0754 7034", "DE89370400440532013000"
+    texts = {
+        "SSN: 123-45-6789, 234-56-7890, 345-67-8901": ["123-45-6789", "234-56-7890", "345-67-8901"], "no words at all: 123-45-6789": [], "123-45-6789 is my SSN": ["123-45-6789"], "123-45-6789, 234-56-7890 (both SSN)": ["123-45-6789", "234-56-7890"],
+        f"{at} BIC GIBAATWW": [at], f"{at} BICX GIBAATWW": [at], f"{es} EUR": [es], f"{be} {at} {de}": [be, at, de], f"x{at}": [], f"{es}7": [],
+    }
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r["text"]: [r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] in ("ssn", "iban")] for r in rows} == texts

@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 
+#: Characters of an account number by country, spaces left out (the registry of ISO 13616).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
+
+def iban_pattern() -> str:
+    """Account numbers cut to their country's length, in groups of four; of other countries, as many groups as there are."""
+    by_length = {}
+    for country, n in IBAN_LENGTHS.items():
+        by_length.setdefault(n - 4, []).append(country)
+    known = [rf"(?:{'|'.join(names)})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in by_length.items()]
+    other = rf"(?!{'|'.join(IBAN_LENGTHS)})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}}+)?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(known)}|{other})(?![A-Za-z0-9])"
+
+
 #: Fixed values. Kinds in the order in which spans of one start are listed; patterns use possessive loops, which take no
 #: stack, and look-behinds, which keep them from trying every place inside a run.
 LOCAL, LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -16,15 +35,17 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3}+)?(?![A-Za-z0-9])",
+    "iban": iban_pattern(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: What a text must hold for a pattern to be tried at all.
 MARKS = {"email": "@", "phone": "+", "ssn": "-"}
 BASE = ("email", "ip", "card", "phone")
-#: Scores: what a proposal has alone, what a checksum adds, what a context word in the characters before it adds; the least that is reported.
+#: Scores: what a proposal has alone, what a checksum adds, what a context word in the characters before or after it adds; the least that is reported.
 ALONE = {"email": 0.8, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.2, "ssn": 0.3}
 CHECKSUM, CONTEXT, REACH, LEAST = 0.5, 0.3, 48, 0.5
+#: Proposals that REACH characters can hold; the shortest has four.
+NEIGHBOURS = REACH // 4 + 1
 WORDS = {
     "email": r"(?i)e-?mail|contact|write to",
     "ip": r"(?i)\bip\b|address|host|server",
@@ -76,15 +97,21 @@ def spans_of(kind: str, text: F.Column, found: F.Column, between: F.Column) -> F
     between and after the proposals, so lengths give the places."""
     start = F.aggregate(
         F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,m:string,before:string>>").alias("out")),
+        F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("tail"), F.array().cast("array<struct<s:int,m:string,before:string,i:int>>").alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-            F.when(valid(kind, x["m"]), F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["b"])).alias("s"), x["m"].alias("m"), F.right(x["b"], F.lit(REACH)).alias("before")))).otherwise(acc["out"]).alias("out"),
+            (acc["i"] + 1).alias("i"),
+            F.right(F.concat(acc["tail"], x["b"], x["m"]), F.lit(REACH)).alias("tail"),
+            F.when(valid(kind, x["m"]), F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["b"])).alias("s"), x["m"].alias("m"), F.right(F.concat(acc["tail"], x["b"]), F.lit(REACH)).alias("before"), acc["i"].alias("i")))).otherwise(acc["out"]).alias("out"),
         ),
         lambda acc: acc["out"],
     )
+    cut = lambda x: F.left(F.coalesce(x, F.lit("")), F.lit(REACH))
+    following = lambda x: F.arrays_zip(F.slice(between, x["i"] + 2, NEIGHBOURS).alias("b"), F.slice(found, x["i"] + 2, NEIGHBOURS).alias("m"))
+    after = lambda x: cut(F.array_join(F.transform(following(x), lambda y: F.concat(cut(y["b"]), cut(y["m"]))), ""))
+    near = lambda x: F.rlike(x["before"], F.lit(WORDS[kind])) | F.rlike(after(x), F.lit(WORDS[kind]))
     sure = ALONE[kind] + (CHECKSUM if kind in ("card", "iban") else 0)
-    score = lambda x: F.lit(sure) + F.when(F.rlike(x["before"], F.lit(WORDS[kind])), CONTEXT).otherwise(0.0)
+    score = lambda x: F.lit(sure) + F.when(near(x), CONTEXT).otherwise(0.0)
     rank = list(PATTERNS).index(kind)
     return F.transform(start, lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), F.least(F.lit(1.0), score(x)).alias("score")))
 
