@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +31,16 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A run of base64, which goes on over line breaks (also written \\n) up to its padding.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*[A-Za-z0-9+/_-]+)*={0,2}")
+BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*")
 RUN = re.compile(r"\S+")
-#: Bytes that one compressed layer may hold; a larger one is counted in n_oversize and not opened.
-MOST_BYTES = 1 << 26
+#: Where gzip or zlib data may start.
+PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Readable characters in a row that a decoded run must have somewhere.
+STRETCH = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f\udc80-\udcff]{12,}")
+#: Bytes of compressed content scanned at once; more is scanned block by block, each with the end of the one before it.
+BLOCK, OVERLAP, PIECE = 1 << 26, 1 << 20, 1 << 16
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -48,8 +55,8 @@ class Layer:
     """Decoded text; of each of its characters, where in the document what it was decoded from starts and ends."""
 
     text: str
-    starts: list[int] | range
-    ends: list[int] | range
+    starts: list[int] | range | "Same"
+    ends: list[int] | range | "Same"
 
 
 def unescaped(layer: Layer, a: int, b: int, pattern: re.Pattern, decode) -> Layer | None:
@@ -68,11 +75,8 @@ def unescaped(layer: Layer, a: int, b: int, pattern: re.Pattern, decode) -> Laye
     return Layer("".join([*text, layer.text[at:b]]), [*starts, *layer.starts[at:b]], [*ends, *layer.ends[at:b]])
 
 
-def from_percent(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def from_percent(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode(errors="replace")
 
 
 def from_escape(m: re.Match) -> str | None:
@@ -80,59 +84,138 @@ def from_escape(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
-def inflated(data: bytes) -> bytes | None:
-    """What gzip or zlib data hold, None if they are neither; OverflowError beyond MOST_BYTES."""
-    if data[:2] != b"\x1f\x8b" and not (data[:1] == b"\x78" and len(data) > 1 and (data[0] * 256 + data[1]) % 31 == 0):
-        return None
-    unzip = zlib.decompressobj(47)
-    try:
-        out = unzip.decompress(data, MOST_BYTES)
-    except zlib.error:
-        return None
-    if unzip.unconsumed_tail:
-        raise OverflowError
-    return out if unzip.eof else None
-
-
-def from_base64(layer: Layer, m: re.Match) -> Layer | None:
-    body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+class Same:
+    """A place that all characters of a layer share."""
+
+    def __init__(self, place: int):
+        self.place = place
+
+    def __getitem__(self, k):
+        return [self.place] * len(range(*k.indices(k.stop))) if isinstance(k, slice) else self.place
+
+
+def inflate(pieces: Iterable[bytes], ended: list[int]) -> Iterator[bytes]:
+    """What gzip or zlib data hold, all their members one after the other, in pieces of bounded size. Data that break off
+    or are damaged give what comes before; ended gets the number of bytes read up to the end of the last whole member."""
+    unzip, at_start, taken, short = zlib.decompressobj(47), False, 0, b""
+    for piece in pieces:
+        taken += len(piece)
+        data, full = short + bytes(piece), False
+        short = b""
+        while data or full:
+            if at_start:
+                data = data.lstrip(b"\0")
+                if len(data) < 3:
+                    short = data
+                    break
+                if not PACKED.match(data):
+                    return
+                unzip, at_start = zlib.decompressobj(47), False
+            try:
+                out = unzip.decompress(data, PIECE)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            full = len(out) == PIECE and not unzip.eof
+            data = unzip.unused_data if unzip.eof else unzip.unconsumed_tail
+            if unzip.eof:
+                at_start, ended[:] = True, [taken - len(data)]
+
+
+def unpacked(data: memoryview) -> tuple[Iterator[bytes], list[int]]:
+    """The content of data that start like gzip or zlib, opened again as long as it starts so too, but for content that
+    comes back to itself; and how many bytes it took, if it is whole."""
+    ended: list[int] = []
+    pieces = inflate((data[k : k + PIECE] for k in range(0, len(data), PIECE)), ended)
+    seen = set()
+    while True:
+        first = next(pieces, b"")
+        pieces = chain([first], pieces)
+        key = hashlib.sha256(first).digest()
+        if not PACKED.match(first) or key in seen:
+            return pieces, ended
+        seen.add(key)
+        pieces = inflate(pieces, [])
+
+
+def blocks(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    held: list[bytes] = []
+    size = 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece)
+        if size >= BLOCK:
+            whole = b"".join(held)
+            yield whole
+            held, size = [whole[-OVERLAP:]], min(size, OVERLAP)
+    if any(held):
+        yield b"".join(held)
+
+
+def shown(text: str) -> str:
+    """With each byte that is no UTF-8 as a replacement character."""
+    return text if text.isascii() else re.sub(r"[\udc80-\udcff]", "\ufffd", text)
+
+
+def from_base64(layer: Layer, m: re.Match) -> tuple[list[Layer], int]:
+    """The layers that a run of base64 holds, read from each of its first four characters: compressed content wherever it
+    starts, and text between its first and last readable stretch; and how many contents were scanned in blocks."""
     s, e = m.span()
-    whole = layer.starts[s], layer.ends[e - 1]
-    opened = False
-    while (inner := inflated(data)) is not None:
-        if inner == data:
+    at: list[int] | range = range(s, s + len(m[0].rstrip("=")))
+    if BREAK.search(m[0]):
+        breaks = {k for b in BREAK.finditer(layer.text, s, e) for k in range(*b.span())}
+        at = [k for k in at if k not in breaks]
+    chars = "".join(layer.text[k] for k in at) if isinstance(at, list) else layer.text[at.start : at.stop]
+    chars = chars.replace("-", "+").replace("_", "/")
+    out, large = [], 0
+    for shift in range(4):
+        body = chars[shift:]
+        body = body[: len(body) - (len(body) % 4 == 1)]
+        if not body:
             break
-        data, opened = inner, True
-    if (text := readable(data)) is None:
-        return None
-    if opened:
-        return Layer(text, [whole[0]] * len(text), [whole[1]] * len(text))
-    starts, ends, at = [], [], 0
-    for c in text:  # byte k comes from the characters k * 8 // 6 to (k * 8 + 7) // 6
-        n = len(c.encode())
-        starts.append(layer.starts[s + at * 8 // 6])
-        ends.append(layer.ends[min(e - 1, s + ((at + n) * 8 - 1) // 6)])
-        at += n
-    return Layer(text, starts, ends)
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        first = lambda k: layer.starts[at[shift + k * 8 // 6]]  # noqa: B023, E731
+        last = lambda k: layer.ends[e - 1 if k >= len(data) else at[min(len(at) - 1, shift + (k * 8 - 1) // 6)]]  # noqa: B023, E731
+        done = 0
+        for magic in PACKED.finditer(data):
+            if magic.start() < done:
+                continue
+            pieces, ended = unpacked(memoryview(data)[magic.start() :])
+            n = 0
+            made = []
+            for block in blocks(pieces):
+                n += 1
+                made.append(block)
+                if n > 1 or len(block) >= BLOCK:
+                    out += [Layer(shown(x.decode(errors="surrogateescape")), Same(first(magic.start())), Same(last(len(data)))) for x in made]
+                    made = []
+            if made and (ended or magic[0][0] == 0x1F or n > 1):
+                until = magic.start() + ended[0] if ended else len(data)
+                out += [Layer(shown(x.decode(errors="surrogateescape")), Same(first(magic.start())), Same(last(until))) for x in made]
+            large += n > 1
+            if ended:
+                done = magic.start() + ended[0]
+        if done and done >= len(data):
+            continue
+        text = data.decode(errors="surrogateescape")
+        if not (found := list(STRETCH.finditer(text))):
+            continue
+        a, b = found[0].start(), found[-1].end()
+        k = len(text[:a].encode(errors="surrogateescape"))
+        starts, ends = [], []
+        for c in text[a:b]:  # byte k comes from the characters k * 8 // 6 to (k * 8 + 7) // 6
+            n = 1 if c.isascii() else len(c.encode(errors="surrogateescape"))
+            starts.append(first(k))
+            ends.append(last(k + n))
+            k += n
+        out.append(Layer(shown(text[a:b]), starts, ends))
+    return out, large
 
 
 def layers_of(layer: Layer) -> tuple[list[Layer], int]:
     """What one step of decoding gives: stretches without white space that hold URL or Unicode escapes, and base64 runs
-    that hold text or compressed text; and how many were too large to open."""
+    that hold text or compressed text; and how many were scanned in blocks."""
     out, oversize = [], 0
     for pattern, decode, mark in ((PERCENT, from_percent, "%"), (ESCAPE, from_escape, "\\")):
         if mark in layer.text and pattern.search(layer.text):
@@ -140,18 +223,14 @@ def layers_of(layer: Layer) -> tuple[list[Layer], int]:
                 if mark in run[0] and (new := unescaped(layer, run.start(), run.end(), pattern, decode)):
                     out.append(new)
     for m in BASE64.finditer(layer.text):
-        try:
-            new = from_base64(layer, m)
-        except OverflowError:
-            oversize += 1
-            continue
-        if new:
-            out.append(new)
+        made, large = from_base64(layer, m)
+        out += made
+        oversize += large
     return out, oversize
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int, int]:
-    """Base spans, all spans (start, end, kind), the layers opened and the layers too large to open.
+    """Base spans, all spans (start, end, kind), the layers opened and the contents scanned in blocks.
 
     Layers are taken from a worklist until none is left. A layer whose text was seen at the same place before is not
     opened again, so content that decodes to itself ends too."""
@@ -163,8 +242,7 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
         made, large = layers_of(layer)
         oversize += large
         for new in made:
-            key = hashlib.sha256(new.text.encode()).digest(), new.starts[0] if new.text else 0
-            if not new.text or key in seen:
+            if not new.text or (key := (hashlib.sha256(new.text.encode()).digest(), new.starts[0])) in seen:
                 continue
             seen.add(key)
             opened += 1
@@ -180,7 +258,8 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_assign, n_access, n_hex (base spans), base_spans and spans (kind:start:end by
-    start, then kind, comma-joined; code points of the whole text, end exclusive), n_layers and n_oversize.
+    start, then kind, comma-joined; code points of the whole text, end exclusive), n_layers and n_oversize (contents of
+    over BLOCK bytes, scanned in blocks).
 
     A null text counts as empty and has no spans; repeated rows stay repeated; a null id is kept; an empty table gives
     no rows. Other columns of docs are not read. Narrow: no shuffle.
