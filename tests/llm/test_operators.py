@@ -333,3 +333,12 @@ def test_secrets_in_members_lines_and_after_prefixes(monkeypatch):
     big = base64.b64encode(gzip.compress(b"word " * 900_000 + key.encode() + b" end")).decode()
     assert found_in(big) and secret_scan.find_secrets(big)[3] == 1
     assert found_in(base64.b64encode(zlib.compress(gzip.compress(f"x {key}".encode()))).decode())
+
+
+def test_short_licenses_in_full_and_spdx_lines(spark):
+    bsd = "BSD 3-Clause License\n\nCopyright (c) 2020, Someone\n\n" + licenses._CLAUSES.format("1. ", "2. ") + licenses._NAMES.format("", "", "3. ").replace("specific prior", "specific\nprior") + licenses._WARRANTY
+    zlib_text = "Copyright (C) 2001 Someone\n\n" + licenses._ZLIB.format("1. ", "2. ", "3. ")
+    texts = [bsd, zlib_text, "The Unlicense\n\n" + licenses._UNLICENSE, licenses._BOOST, "// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-2.0-or-later\n# SPDX-License-Identifier: GPL-3.0-only\nx"]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), licenses.known_digests(spark), marks=licenses.MARKS).collect()}
+    assert [got[i]["text_license"] for i in range(4)] == ["BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0"]
+    assert [got[i]["line_licenses"] for i in (4, 5)] == ["MIT", "GPL-2.0-or-later,GPL-3.0"]
