@@ -342,3 +342,25 @@ def test_short_licenses_in_full_and_spdx_lines(spark):
     got = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), licenses.known_digests(spark), marks=licenses.MARKS).collect()}
     assert [got[i]["text_license"] for i in range(4)] == ["BSD-3-Clause", "Zlib", "Unlicense", "BSL-1.0"]
     assert [got[i]["line_licenses"] for i in (4, 5)] == ["MIT", "GPL-2.0-or-later,GPL-3.0"]
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "　", "x", "!", "7"])
+def test_a_million_characters_in_a_row(spark, run):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(JSON)
+    texts = [run * (1_000_000 // len(run)), "ab" + run * 5000 + "cd <|endoftext|>" + run * 5000 + "<|endoftext|>" + run * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, JSON).collect()} == dict(enumerate(map(len, ids)))
+    packed = packing.encode_pieces(docs, JSON).groupBy("doc_id").agg(F.sum("length")).collect()
+    assert dict(map(tuple, packed)) == {i: len(x) + 1 for i, x in enumerate(ids)}
+    found = {r["doc_id"]: (r["n_tokens"], r["round_trip"]) for r in byte_bpe.encode_decode(docs, RANKS, P.PATTERN).collect()}
+    assert found[0] == (len(ids[0]), True)
+
+
+def test_packing_of_one_row_repeated(spark):
+    docs = spark.range(3000).select(F.lit(1).alias("doc_id"), F.lit("a few words of text").alias("text"))
+    rows = packing.pack_best_fit(docs, JSON, capacity=12).collect()
+    assert len(rows) == 3000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3000
+    assert len({r["sequence_id"] for r in rows}) == 1500 and {r["offset"] for r in rows} == {0, 6}

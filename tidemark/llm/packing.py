@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import field, stored, text_or_empty
-from .tokenizing import TextEncoder
+from .tokenizing import worker_encoder
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -58,7 +58,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encoder = TextEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in batches:
             rows, columns = [], [[], [], [], []]
             for row, text in enumerate(batch.column(1).to_pylist()):
@@ -82,7 +82,8 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     The pieces are written once, so ranks stay the same whatever is computed again. The driver sees only the histogram
     of lengths, at most capacity rows, and plans runs of alike sequences; pieces find their place by joining on length
     and rank within length. Ranks are counted per length and salt, the salts' counts give the offsets between them, so
-    a length that most rows have is spread over as many tasks as there are shuffle partitions. The plan is broadcast:
+    a length that most rows have, or one row that is repeated, is spread over as many tasks as there are shuffle
+    partitions (the salt is drawn per row and stored with it). The plan is broadcast:
     its size depends on capacity alone.
 
     A null text is an empty one (end_id alone); repeated rows are packed as often as they occur; a null id is kept;
@@ -90,7 +91,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     """
     spark = docs.sparkSession
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = stored(encode_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id).withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int")))
+    pieces = stored(encode_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id).withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")))
     counts = pieces.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     by_length = Window.partitionBy("length").orderBy("_salt")
     before = counts.select("length", "_salt", (F.sum("n").over(by_length) - F.col("n")).alias("_before"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import field, text_or_empty
-from .tokenizing import TextEncoder
+from .tokenizing import worker_encoder
 
 #: Characters of a chunk of a huge document, and of the overlap that is tried first.
 CHUNK, OVERLAP = 65_536, 1_024
@@ -28,30 +28,35 @@ def starts_by_byte(ids: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 def splice(text: str, a: int, left: np.ndarray, left_at: np.ndarray, b: int, right: np.ndarray, right_at: np.ndarray, e: int) -> tuple[int, int, int] | None:
     """A place in the overlap [b, e) of chunks from a and from b at which both have a token start, which is stable, and
     from which both go on with the same token. Returns the place and the tokens before it in either chunk."""
+    before, seen, at = len(text[a:b].encode()), 0, b
     for m in STABLE.finditer(text, b + 1, e):
-        p = m.start()
-        i = int(np.searchsorted(left_at, len(text[a:p].encode())))
-        j = int(np.searchsorted(right_at, len(text[b:p].encode())))
-        if left_at[i] == len(text[a:p].encode()) and right_at[j] == len(text[b:p].encode()) and i < len(left) and j < len(right) and left[i] == right[j]:
-            return p, i, j
+        seen, at = seen + len(text[at : m.start()].encode()), m.start()
+        i = int(np.searchsorted(left_at, before + seen))
+        j = int(np.searchsorted(right_at, seen))
+        if left_at[i] == before + seen and right_at[j] == seen and i < len(left) and j < len(right) and left[i] == right[j]:
+            return at, i, j
     return None
 
 
 def chunked(text: str, encode: Callable[[str], np.ndarray], n_bytes: np.ndarray, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[np.ndarray]:
     """ids of text in parts, from chunks that overlap. An overlap without a common stable boundary is doubled; when it
-    has reached back to the last splice, the chunk itself grows, to twice its size once it is longer than one."""
+    has reached back to the last splice, the chunk itself grows, to twice its size once it is longer than one. An overlap
+    without any stable place is widened before it is encoded, so each character is encoded a bounded number of times even
+    in one long run; such a run is a single match, and is held whole."""
     a, e, n = 0, min(chunk, len(text)), len(text)
     left = encode(text[a:e])
     while e < n:
         left_at, wide, found = starts_by_byte(left, n_bytes), overlap, None
+        until = min(n, e + max(chunk, e - a - chunk))
         while True:
             b = max(a, e - wide)
-            until = min(n, e + max(chunk, e - a - chunk))
+            wide *= 2
+            if b > a and not STABLE.search(text, b + 1, e):
+                continue
             right = encode(text[b:until])
             found = b > a and splice(text, a, left, left_at, b, right, starts_by_byte(right, n_bytes), e)
             if found or b == a:
                 break
-            wide *= 2
         if found:
             p, i, j = found
             yield left[:i]
@@ -67,13 +72,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     """One row per row of docs: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_chunks.
 
     tokenizer: path of a byte-level vocabulary on every executor. A null text counts as empty (0 tokens); repeated rows
-    stay repeated; a null id stays null; other columns of docs are not read. A text of any length is encoded whole, in
-    memory for one chunk and its overlap. Narrow: no shuffle.
+    stay repeated; a null id stays null; other columns of docs are not read; an empty table gives no rows. A text of any
+    length is encoded whole; beside the text, memory holds the ids of one chunk, or of the longest run without a stable
+    place (one word, or white space in a row) where that is longer. Narrow: no shuffle.
     """
     out = T.StructType([field(docs, id_col), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType()), T.StructField("n_chunks", T.IntegerType())])
 
     def run(batches):
-        encoder = TextEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         for batch in batches:
             tokens, chunks = [], []
             for text in batch.column(1).to_pylist():

@@ -9,12 +9,17 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
 #: Pieces that a worker remembers before it forgets all, and the longest that it remembers.
 MEMO_PIECES, MEMO_CHARS = 300_000, 200
+#: White space in a row (Unicode's, fixed values) from which it is cut out by hand: the library's matcher backtracks over
+#: each such character and fails on some hundred thousand.
+LONG_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 def byte_of_char() -> dict[str, int]:
@@ -77,9 +82,21 @@ class TextEncoder:
             self.n_bytes[i] = len(token)
         for token, i in self.special.items():
             self.n_bytes[i] = len(token.encode())
-        self.direct = lambda text: array("I", own.encode(text, allowed_special="all")).tobytes()
+        whole = tiktoken.Encoding("whole", pat_str="(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+        self.encode = lambda text: array("I", own.encode(text, allowed_special="all")).tobytes()
+        self.one_match = lambda text: array("I", whole.encode_ordinary(text)).tobytes()
         self.memo = Memo(lambda piece: self.direct(" " + piece))
 
+    def direct(self, text: str) -> bytes:
+        """Without the memo. A long run of white space is one match, less its last character where text follows that is no
+        special string: that character starts the next match."""
+        out, at = [], 0
+        for m in LONG_WHITE.finditer(text) if len(text) >= 4096 else ():
+            until = m.end() - (m.end() < len(text) and not text.startswith(tuple(self.special), m.end()))
+            out += [self.encode(text[at : m.start()]), self.one_match(text[m.start() : until])]
+            at = until
+        return b"".join([*out, self.encode(text[at:])]) if out else self.encode(text)
+
     def packed(self, text: str) -> bytes:
         """ids as little-endian unsigned 32-bit integers."""
         first, *rest = text.split(" ")
@@ -92,3 +109,10 @@ class TextEncoder:
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), "<u4")
+
+
+@lru_cache(maxsize=2)
+def worker_encoder(path: str) -> TextEncoder:
+    """One per Python worker: its tasks share the vocabulary and what was remembered (at most MEMO_PIECES pieces of
+    MEMO_CHARS characters)."""
+    return TextEncoder(path)
