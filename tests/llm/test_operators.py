@@ -364,3 +364,32 @@ def test_packing_of_one_row_repeated(spark):
     rows = packing.pack_best_fit(docs, JSON, capacity=12).collect()
     assert len(rows) == 3000 and len({(r["sequence_id"], r["offset"]) for r in rows}) == 3000
     assert len({r["sequence_id"] for r in rows}) == 1500 and {r["offset"] for r in rows} == {0, 6}
+
+
+@pytest.mark.parametrize("hot", [2, 5, 2000])
+def test_joining_links_give_the_components_of_all_links(spark, hot):
+    rnd = random.Random(7)
+    prints = {rnd.getrandbits(64) for _ in range(20)} | {0, (1 << 64) - 1}
+    for x in list(prints)[:12]:
+        for k in (1, 2, 3, 3, 5, 6, 6, 9):  # dense groups, and chains through them
+            y = x
+            for bit in rnd.sample(range(64), k):
+                y ^= 1 << bit
+            prints.add(y)
+            for bit in rnd.sample(range(64), 2):
+                y ^= 1 << bit
+            prints.add(y)
+    prints = sorted(prints)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    least = {}
+    for x, g in zip(signed, brute_components(prints), strict=True):
+        least.setdefault(g, []).append(x)
+    want = {x: min(group) for group in least.values() if len(group) > 1 for x in group}
+    links = simhash.joining_links(spark.createDataFrame([(x,) for x in signed], "print long"), hot=hot)
+    assert dict(tuple(r) for r in components(links).collect()) == want
+
+
+def test_simhash_counts_links(spark):
+    texts = ["one two three four"] * 3 + ["something else altogether here", "Something else altogether here", None]
+    rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count_links=True).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in rows} == {0: (0, 0), 1: (0, 0), 2: (0, 0), 3: (3, 0), 4: (3, 0), 5: (5, 0)}

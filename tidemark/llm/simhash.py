@@ -13,6 +13,8 @@ from .components import components
 
 #: Members from which a bucket of variants is cut by variants of the other segment too.
 HOT = 2_000
+#: Hashes whose bits are counted at once.
+BLOCK = 1 << 16
 
 
 def shingle_hashes(text: str, size: int = 3, seed: int = 42) -> np.ndarray:
@@ -36,8 +38,10 @@ def print_of(hashes: np.ndarray) -> int:
     """Unsigned 64-bit fingerprint of hashes: a bit is set if it is set in over half of them."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        counts += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    over = counts * 2 > len(hashes)
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
@@ -77,25 +81,35 @@ def only_bit(x: F.Column, at: F.Column) -> F.Column:
     return F.when(x == 0, at == 0).otherwise(x == F.expr("1L") * F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int")))
 
 
+def cut_further(key: F.Column, x: F.Column) -> F.Column:
+    """Keys of the parts of a bucket of one-bit variants: there the other half differs by 3 bits at most, and so one of
+    its quarters by one at most."""
+    other = F.when(F.shiftrightunsigned(key, 37) == 1, high_half(x)).otherwise(low_half(x))
+    return F.concat(variants(F.shiftrightunsigned(other, 16), 16, 0), variants(other.bitwiseAND(F.lit(0xFFFF)), 16, 1))
+
+
+def keys_of(prints: DataFrame) -> DataFrame:
+    """(print, key): the 64 one-wildcard variants of the two halves. Dealt out first, as there are 64 rows for each."""
+    x = F.col("print")
+    return prints.repartition("print").select(x, F.explode(F.concat(variants(high_half(x), 32, 0), variants(low_half(x), 32, 1))).alias("key"))
+
+
 def linked_prints(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> DataFrame:
     """(a, b): all pairs of distinct prints that differ in at most `distance` (up to 3) bits, each once.
 
     Two halves of 32 bits: at 3 differing bits, one half differs by one bit at most, so the two prints share one of its
     32 keys that leave a bit out. Keys are joined by equality and the pairs verified; a pair counts only at the first
-    key that it shares. In a bucket of more than `hot` prints, the other half differs by 3 bits at most, and so one of
-    its quarters by one at most: there the bucket's keys are cut further by the quarters' 16 one-bit variants, which
-    loses no pair. prints must be distinct and not null.
+    key that it shares. In a bucket of more than `hot` prints, the keys are cut further by the one-bit variants of the
+    other half's quarters, which loses no pair. prints must be distinct and not null. A dense group of m prints has up
+    to m * m / 2 links; where only components are wanted, joining_links makes fewer.
     """
     if distance > 3:
         raise ValueError("two halves find prints that differ in 3 bits at most")
-    x = F.col("print")
-    keyed = prints.select(x, F.explode(F.concat(variants(high_half(x), 32, 0), variants(low_half(x), 32, 1))).alias("key"))
+    keyed = keys_of(prints)
     crowded = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("crowded"))
     second = F.shiftrightunsigned("key", 37) == 1
     at = F.shiftrightunsigned("key", 32).bitwiseAND(F.lit(31))
-    other = F.when(second, high_half(x)).otherwise(low_half(x))
-    quarters = F.concat(variants(F.shiftrightunsigned(other, 16), 16, 0), variants(other.bitwiseAND(F.lit(0xFFFF)), 16, 1))
-    cut = keyed.join(crowded, "key", "left").select("print", "key", F.explode(F.when(F.col("crowded"), quarters).otherwise(F.array(F.lit(-1).cast("long")))).alias("part"))
+    cut = keyed.join(crowded, "key", "left").select("print", "key", F.explode(F.when(F.col("crowded"), cut_further(F.col("key"), F.col("print"))).otherwise(F.array(F.lit(-1).cast("long")))).alias("part"))
     left, right = cut.select(F.col("print").alias("a"), "key", "part"), cut.select(F.col("print").alias("b"), "key", "part")
     differ = F.col("a").bitwiseXOR(F.col("b"))
     high, low = high_half(differ), low_half(differ)
@@ -107,21 +121,56 @@ def linked_prints(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> Da
     return left.join(right, ["key", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & first_key & first_part).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3, hot: int = HOT) -> DataFrame:
-    """One row per row of docs: id, fingerprint (16 lowercase hex digits), component_id, n_links.
+def joining_links(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> DataFrame:
+    """(a, b): links of distinct prints that differ in at most `distance` (up to 3) bits, enough to give the components
+    that all such pairs give.
+
+    Buckets as in linked_prints. In one of up to `hot` prints, all pairs are compared. In a larger one, each print is
+    first compared with the least one; then only prints of different components are, in the bucket's parts, so a dense
+    group costs a link for each print and key and not one for each pair.
+    """
+    if distance > 3:
+        raise ValueError("two halves find prints that differ in 3 bits at most")
+    near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance
+    keyed = keys_of(prints)
+    crowded = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("print").alias("first")).where(F.col("n") > hot).select("key", "first"))
+    quiet = keyed.join(crowded, "key", "left_anti") if (busy := not crowded.isEmpty()) else keyed
+    left, right = quiet.select(F.col("print").alias("a"), "key"), quiet.select(F.col("print").alias("b"), "key")
+    links = left.join(right, "key").where((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    if not busy:
+        return links
+    full = stored(keyed.join(crowded, "key"))
+    stars = full.where((F.col("first") < F.col("print")) & near(F.col("first"), F.col("print"))).select(F.col("first").alias("a"), F.col("print").alias("b")).distinct()
+    links = stored(links.unionAll(stars).distinct())
+    grouped = stored(components(links))
+    parts = full.join(grouped, F.col("print") == F.col("node"), "left").select("print", "key", F.coalesce("component", "print").alias("component"), F.explode(cut_further(F.col("key"), F.col("print"))).alias("part"))
+    split = parts.groupBy("key", "part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "part")
+    rest = stored(parts.join(split, ["key", "part"], "left_semi"))
+    left, right = (rest.select("key", "part", F.col("print").alias(name), F.col("component").alias(f"of_{name}")) for name in "ab")
+    more = left.join(right, ["key", "part"]).where((F.col("of_a") < F.col("of_b")) & near(F.col("a"), F.col("b"))).select("a", "b")
+    return links.unionAll(more.distinct())
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3, hot: int = HOT, count_links: bool = False) -> DataFrame:
+    """One row per row of docs: id, fingerprint (16 lowercase hex digits), component_id and, with count_links, n_links.
 
     component_id is the least id reachable over links of fingerprints that differ in `distance` bits at most, the row's
     own included. Copies share a fingerprint, so a group of any size is one node. n_links counts the other distinct
-    fingerprints linked to the row's own. A null or empty text has fingerprint zero, linked like any other; a null id is
-    kept, and is the component only where no other id is; repeated rows stay repeated; an empty table gives no rows.
-    Other columns of docs are not read.
+    fingerprints linked to the row's own; it takes all links, of which a dense group has the square of its size. A null
+    or empty text has fingerprint zero, linked like any other; a null id is kept, and is the component only where no
+    other id is; repeated rows stay repeated; an empty table gives no rows. Other columns of docs are not read.
+
+    What is joined on a hot key (a fingerprint of many copies, a giant component) is read from stored tables on both
+    sides, so Spark's adaptive join can split it.
     """
     printed = stored(fingerprints(docs, id_col=id_col, text_col=text_col, size=size))
     distinct = stored(printed.groupBy("print").agg(F.min(id_col).alias("least")))
-    links = stored(linked_prints(distinct.select("print"), distance=distance, hot=hot))
-    ends = links.select(F.col("a").alias("print")).unionAll(links.select(F.col("b").alias("print"))).groupBy("print").agg(F.count("*").alias("n_links"))
-    found = components(links).withColumnRenamed("node", "print")
-    least = found.join(distinct, "print").groupBy("component").agg(F.min("least").alias("component_id"))
+    links = stored((linked_prints if count_links else joining_links)(distinct.select("print"), distance=distance, hot=hot))
+    found = stored(components(links).withColumnRenamed("node", "print").join(distinct, "print"))
+    least = stored(found.groupBy("component").agg(F.min("least").alias("component_id")))
     grouped = found.join(least, "component").select("print", "component_id")
-    classes = distinct.join(grouped, "print", "left").join(ends, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return printed.join(classes, "print").select(F.col(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+    classes = distinct.join(grouped, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
+    if count_links:
+        ends = links.select(F.col("a").alias("print")).unionAll(links.select(F.col("b").alias("print"))).groupBy("print").agg(F.count("*").alias("n_links"))
+        classes = classes.join(ends, "print", "left").select("print", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return printed.join(stored(classes), "print").select(F.col(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", *(["n_links"] if count_links else []))
