@@ -253,7 +253,7 @@ def test_pii_scores_and_masks(spark):
     assert "<IBAN>" in row["masked"] and "DE883" in row["masked"] and row["masked"].endswith("Mail <EMAIL>!")
 
 
-@pytest.mark.parametrize("hot", [2, 256])
+@pytest.mark.parametrize("hot", [1, 2, 256])
 def test_near_copies_are_those_of_brute_force(spark, hot):
     rnd = random.Random(12)
     words = [f"w{i}" for i in range(300)]
