@@ -393,3 +393,33 @@ def test_simhash_counts_links(spark):
     texts = ["one two three four"] * 3 + ["something else altogether here", "Something else altogether here", None]
     rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count_links=True).collect()
     assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in rows} == {0: (0, 0), 1: (0, 0), 2: (0, 0), 3: (3, 0), 4: (3, 0), 5: (5, 0)}
+
+
+def test_pii_time_grows_with_the_text_and_masks_agree(spark):
+    rnd = random.Random(11)
+    many = " ".join(f"a{i}@b{i}.org" for i in range(60_000))
+    mixed = [" ".join(rnd.choice(["a@b.org", "1.2.3.4@x.yz", "+1 (743) 555-3824", "4111 1111 1111 1111", "+4111111111111111", "10.0.0.1", "é", "words here"]) for _ in range(rnd.choice([3, 140, 500]))) for _ in range(30)]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate([many, *mixed])), "doc_id int, text string")).select("text", "spans", pii.masked(F.col("text"), F.col("spans")).alias("masked")).collect()
+    for r in rows:
+        out, at = [], 0
+        for s in r["spans"]:
+            if s["start"] >= at:
+                out += [r["text"][at : s["start"]], f"<{s['kind'].upper()}>"]
+            at = max(at, s["end"])
+        assert r["masked"] == "".join(out) + r["text"][at:]
+    assert max(len(r["spans"]) for r in rows) == 60_000
+
+
+def test_quality_sql_on_odd_lines(spark):
+    import duckdb
+
+    rnd = random.Random(13)
+    parts = ["Home", "|", "»", "«", "!", "!!!", "WORT", "слово", "Да", "...", "#", "Alle Rechte vorbehalten", "tous droits réservés", "leer más", "click HERE", "x", ".", "\t", "\x0b", "\r", " ", "  ", "la la la", "\n", "\n", "•", "„Ja“"]
+    texts = ["".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 120))) for _ in range(300)] + ["", None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(quality.oracle())
+    names = [c[0] for c in want.description]
+    got = quality.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())

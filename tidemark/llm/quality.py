@@ -10,9 +10,17 @@ from .common import SPACE, text_or_empty, words
 #: Fixed values of the line rules; Java and RE2 read these patterns alike.
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
-ENDS_WELL = r"""[.!?;:…。！？)"'”’»\]][\x20\x09-\x0D]*$"""
+#: Marks that a finished line ends in, and the white space that may follow them.
+END_MARKS, BLANK = """.!?;:…。！？)"'”’»]""", " \t\n\v\f\r"
 SEPARATORS = r"[|>»›•·]"
-BOILERPLATE = r"(?i)all rights reserved|privacy policy|cookie policy|use of cookies|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our|sign (in|up) to|click here|read more|powered by|skip to (main )?content"
+#: What page furniture says in English, German, French and Spanish; lines are compared with A-Z as a-z.
+BOILERPLATE = "|".join((
+    "all rights reserved|privacy policy|cookie policy|use of cookies|terms of (use|service)|enable javascript|lorem ipsum|subscribe to our|sign (in|up) to|click here|read more|powered by|skip to (main )?content",
+    "alle rechte vorbehalten|datenschutzerkl|cookie-richtlinie|nutzungsbedingungen|javascript aktivieren|newsletter abonnieren|hier klicken|weiterlesen|zum inhalt springen",
+    "tous droits r.serv.s|politique de confidentialit|utilisation de cookies|conditions d'utilisation|activer javascript|abonnez-vous|cliquez ici|lire la suite|aller au contenu",
+    "todos los derechos reservados|pol.tica de (privacidad|cookies)|uso de cookies|t.rminos de (uso|servicio)|active javascript|suscr.bete|haga clic|leer m.s|saltar al contenido",
+))
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Quotations, whose marks separate nothing. A line with a letter that is small or of a script without cases is not shouted.
 QUOTED, SMALL = (r"«([^«»]*)»", r"»([^«»]*)«"), r"[\p{Ll}\p{Lo}]"
 #: A line of fewer words must end in a mark; separators of a navigation line; a boilerplate line has fewer characters;
@@ -24,25 +32,26 @@ WORDS_A_MARK = 4
 
 def line_fails(line: F.Column) -> F.Column:
     """Whether a line with a word breaks a rule: short without an end mark, navigation, boilerplate, symbols for a tenth
-    of its characters, or shouting. Navigation and shouting go by marks per word, so that a long line of prose is neither."""
-    n_words = F.size(words(line))
-    short = n_words < LEAST_WORDS
-    unfinished = short & ~F.rlike(line, F.lit(ENDS_WELL))
+    of its characters, or shouting. Navigation and shouting go by marks per word, so that a long line of prose is neither.
+    Cheap conditions stand first and spare most lines the others."""
+    n_words = F.regexp_count(line, F.lit(f"{WORD}+"))
+    unfinished = ~F.contains(F.lit(END_MARKS), F.right(F.rtrim(line, F.lit(BLANK)), F.lit(1))) & (n_words < LEAST_WORDS)
     bare = line
     for quoted in QUOTED:
         bare = F.regexp_replace(bare, quoted, "$1")
     separators = F.regexp_count(bare, F.lit(SEPARATORS))
-    # the first count spares most lines the others
     navigation = (F.regexp_count(line, F.lit(SEPARATORS)) >= LEAST_SEPARATORS) & (separators >= LEAST_SEPARATORS) & (separators * WORDS_A_MARK >= n_words)
-    boilerplate = (F.length(line) < BOILERPLATE_CHARS) & F.rlike(line, F.lit(BOILERPLATE))
+    boilerplate = (F.length(line) < BOILERPLATE_CHARS) & F.rlike(F.translate(line, UPPER, LOWER), F.lit(BOILERPLATE))
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) * 10 > F.length(line)
-    shouting = F.rlike(line, F.lit("!.*!.*!")) & ~F.rlike(line, F.lit(SMALL)) & (F.regexp_count(line, F.lit("!")) * WORDS_A_MARK >= n_words)
+    shouts = F.regexp_count(line, F.lit("!"))
+    shouting = F.contains(line, F.lit("!")) & (shouts >= 3) & ~F.rlike(line, F.lit(SMALL)) & (shouts * WORDS_A_MARK >= n_words)
     return unfinished | navigation | boilerplate | symbols | shouting
 
 
 def repeat_words(by_window: F.Column) -> F.Column:
-    """Words that lie in a window found twice or more. by_window: (h, i), hash and place of the windows, sorted."""
-    same = lambda x, i: F.coalesce(x["h"] == F.get(by_window, i)["h"], F.lit(False))
+    """Words that lie in a window found twice or more. by_window: (h, w, i), hash, words and place of the windows, sorted;
+    equal hashes alone do not count."""
+    same = lambda x, i: F.coalesce((x["h"] == F.get(by_window, i)["h"]) & (x["w"] == F.get(by_window, i)["w"]), F.lit(False))
     at = F.filter(by_window, lambda x, i: same(x, i - 1) | same(x, i + 1))
     return F.size(F.array_distinct(F.flatten(F.transform(at, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
@@ -54,18 +63,20 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Lines are judged first and failing ones leave clean_text; a document goes (kept false) if it fails the base rules or
     if more than `most_lost` of its lines' characters went. A null or empty text has no words and fails the base rules;
     repeated rows stay repeated; a null id is kept; an empty table gives no rows. Output names win over equal names in
-    docs; other columns are not read. Narrow: no shuffle. Windows of three words are told apart by their 64-bit hashes.
+    docs; other columns are not read. Narrow: no shuffle. Windows of three words are compared by their words where their 64-bit hashes agree.
     """
     text = F.col("_text")
     step = docs.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_keep_{c}") for c in keep], text_or_empty(text_col).alias("_text"))
-    step = step.withColumns({"_w": words(text), "_lines": F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD)))})
+    judged = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), F.rlike(x, F.lit(WORD)).alias("worded")))
+    step = step.withColumns({"_w": words(text), "_judged": F.transform(judged, lambda x: F.struct(x["line"].alias("line"), x["worded"].alias("worded"), (x["worded"] & line_fails(x["line"])).alias("fails")))})
+    lines = lambda which: F.transform(F.filter("_judged", which), lambda x: x["line"])
     step = step.withColumns({
         "_n": F.size("_w").cast("long"),
         "_windows": F.when(F.size("_w") > 2, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))),
-        "_kept": F.filter(F.split(text, "\n"), lambda x: ~F.rlike(x, F.lit(WORD)) | ~line_fails(x)),
-    })
-    step = step.withColumn("_good", F.filter("_kept", lambda x: F.rlike(x, F.lit(WORD))))
-    step = step.withColumn("_by_window", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+        "_lines": lines(lambda x: x["worded"]), "_kept": lines(lambda x: ~x["fails"]), "_good": lines(lambda x: x["worded"] & ~x["fails"]),
+    })
+    window = lambda i: F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
+    step = step.withColumn("_by_window", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), window(i).alias("w"), i.alias("i"))))))
     step = step.withColumn("_repeat", F.when(F.col("_by_window").isNotNull(), repeat_words(F.col("_by_window"))).otherwise(0).cast("long"))
     chars = lambda lines: F.length(F.array_join(lines, ""))
     lost = 1 - F.try_divide(chars("_good"), chars("_lines"))
@@ -82,11 +93,15 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def oracle(most_lost: float = MOST_LOST) -> str:
     """DuckDB SQL of the columns that the query returns."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    fails = f"""(len(list_filter(regexp_split_to_array(l, {quote(SPACE)}), lambda w: w <> '')) < {LEAST_WORDS} AND NOT regexp_matches(l, {quote(ENDS_WELL)}))
-        OR len(regexp_extract_all(l, {quote(SEPARATORS)})) >= {LEAST_SEPARATORS}
-        OR (length(l) < {BOILERPLATE_CHARS} AND regexp_matches(l, {quote(BOILERPLATE)}))
-        OR len(regexp_extract_all(l, {quote(SYMBOLS)})) * 10 > length(l)
-        OR (regexp_matches(l, '!.*!.*!') AND NOT regexp_matches(l, '[a-z]'))"""
+    count = lambda pattern, of="l": f"len(regexp_extract_all({of}, {quote(pattern)}))"
+    bare, ascii_space = "l", " || ".join(f"chr({c})" for c in (32, *range(9, 14)))
+    for quoted in QUOTED:
+        bare = f"regexp_replace({bare}, {quote(quoted)}, '\\1', 'g')"
+    fails = f"""(NOT contains({quote(END_MARKS)}, right(rtrim(l, {ascii_space}), 1)) AND {count(WORD + "+")} < {LEAST_WORDS})
+        OR ({count(SEPARATORS, bare)} >= {LEAST_SEPARATORS} AND {count(SEPARATORS, bare)} * {WORDS_A_MARK} >= {count(WORD + "+")})
+        OR (length(l) < {BOILERPLATE_CHARS} AND regexp_matches(translate(l, '{UPPER}', '{LOWER}'), {quote(BOILERPLATE)}))
+        OR {count(SYMBOLS)} * 10 > length(l)
+        OR ({count("!")} >= 3 AND NOT regexp_matches(l, {quote(SMALL)}) AND {count("!")} * {WORDS_A_MARK} >= {count(WORD + "+")})"""
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, {quote(SPACE)}), lambda w: w <> '') AS ws,
