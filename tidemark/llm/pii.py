@@ -92,28 +92,45 @@ def valid(kind: str, m: F.Column) -> F.Column:
     return F.lit(True)
 
 
-def spans_of(kind: str, text: F.Column, found: F.Column, between: F.Column) -> F.Column:
+def let(value: F.Column, body) -> F.Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Elements of a block, as a power of two.
+BLOCK = 7
+
+
+def running(values: F.Column, merge) -> F.Column:
+    """For each element of an array that is not empty, what merge makes of 0 and all elements before it. In blocks: first
+    of the blocks before the element's own, then of the elements before it there; merging an array into itself one element
+    at a time would copy it as often."""
+    fold = lambda part: F.aggregate(part, F.lit(0), merge)
+    size = 1 << BLOCK
+    block = lambda v, k: F.slice(v, F.shiftleft(k, BLOCK) + 1, size)
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(v) - 1, BLOCK)), lambda k: fold(block(v, k)))
+    before = lambda bl: F.transform(bl, lambda _, k: fold(F.slice(bl, F.lit(1), k)))
+    inside = lambda v, i: fold(F.slice(v, F.shiftleft(F.shiftright(i, BLOCK), BLOCK) + 1, i.bitwiseAND(F.lit(size - 1))))
+    each = lambda v, start: F.transform(v, lambda _, i: merge(F.get(start, F.shiftright(i, BLOCK)), inside(v, i)))
+    return let(values, lambda v: let(blocks(v), lambda bl: let(before(bl), lambda start: each(v, start))))
+
+
+def spans_of(kind: str, found: F.Column, between: F.Column) -> F.Column:
     """Array of (start, rank, kind, end, score) of the proposals that are well formed. `between` holds what lies before,
-    between and after the proposals, so lengths give the places."""
-    start = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("b")),
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.lit("").alias("tail"), F.array().cast("array<struct<s:int,m:string,before:string,i:int>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-            (acc["i"] + 1).alias("i"),
-            F.right(F.concat(acc["tail"], x["b"], x["m"]), F.lit(REACH)).alias("tail"),
-            F.when(valid(kind, x["m"]), F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["b"])).alias("s"), x["m"].alias("m"), F.right(F.concat(acc["tail"], x["b"]), F.lit(REACH)).alias("before"), acc["i"].alias("i")))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    cut = lambda x: F.left(F.coalesce(x, F.lit("")), F.lit(REACH))
-    following = lambda x: F.arrays_zip(F.slice(between, x["i"] + 2, NEIGHBOURS).alias("b"), F.slice(found, x["i"] + 2, NEIGHBOURS).alias("m"))
-    after = lambda x: cut(F.array_join(F.transform(following(x), lambda y: F.concat(cut(y["b"]), cut(y["m"]))), ""))
-    near = lambda x: F.rlike(x["before"], F.lit(WORDS[kind])) | F.rlike(after(x), F.lit(WORDS[kind]))
-    sure = ALONE[kind] + (CHECKSUM if kind in ("card", "iban") else 0)
-    score = lambda x: F.lit(sure) + F.when(near(x), CONTEXT).otherwise(0.0)
-    rank = list(PATTERNS).index(kind)
-    return F.transform(start, lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), F.least(F.lit(1.0), score(x)).alias("score")))
+    between and after the proposals, so running sums of lengths give the places, in time that grows with their number."""
+    lengths = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.length(m) + F.length(b))
+    head, tail = (lambda x: F.left(x, F.lit(REACH))), (lambda x: F.right(x, F.lit(REACH)))
+    # context: what lies within REACH characters, of which so many neighbours and what is between them are enough
+    ahead = lambda x: F.zip_with(F.slice(between, x["i"] + 2, NEIGHBOURS), F.slice(found, x["i"] + 2, NEIGHBOURS), lambda b, m: F.concat(head(b), head(F.coalesce(m, F.lit("")))))
+    after = lambda x: head(F.array_join(ahead(x), ""))
+    low = lambda x: F.greatest(F.lit(0), x["i"] - NEIGHBOURS)
+    behind = lambda x: F.zip_with(F.slice(found, low(x) + 1, x["i"] - low(x)), F.slice(between, low(x) + 2, x["i"] - low(x)), lambda m, b: F.concat(tail(m), tail(b)))
+    before = lambda x: tail(F.concat(tail(F.get(between, low(x))), F.array_join(behind(x), "")))
+    near = lambda x: F.rlike(before(x), F.lit(WORDS[kind])) | F.rlike(after(x), F.lit(WORDS[kind]))
+    sure, rank = ALONE[kind] + (CHECKSUM if kind in ("card", "iban") else 0), list(PATTERNS).index(kind)
+    placed = lambda at: F.transform(found, lambda m, i: F.struct((F.get(at, i) + F.length(F.get(between, i))).alias("s"), m.alias("m"), i.alias("i")))
+    span = lambda x: F.struct(x["s"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["s"] + F.length(x["m"])).alias("end"), F.least(F.lit(1.0), F.lit(sure) + F.when(near(x), CONTEXT).otherwise(0.0)).alias("score"))
+    return let(running(lengths, lambda a, x: a + x), lambda at: F.transform(F.filter(placed(at), lambda x: valid(kind, x["m"])), span))
 
 
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int,score:double>>"
@@ -132,8 +149,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     all_of = lambda kind: F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
     none = F.array().cast("array<string>")
     step = step.withColumns({f"_{k}": F.when(F.contains(text, F.lit(MARKS[k])), all_of(k)).otherwise(none) if k in MARKS else all_of(k) for k in PATTERNS})
-    cut = {f"_{k}": F.when(F.size(f"_{k}") > 0, spans_of(k, text, F.col(f"_{k}"), F.split(text, PATTERNS[k], -1))).otherwise(F.array().cast(SPANS)) for k in PATTERNS}
-    step = step.withColumns(cut)
+    step = step.withColumns({f"_between_{k}": F.when(F.size(f"_{k}") > 0, F.split(text, PATTERNS[k], -1)) for k in PATTERNS})
+    step = step.withColumns({f"_{k}": F.when(F.size(f"_{k}") > 0, spans_of(k, F.col(f"_{k}"), F.col(f"_between_{k}"))).otherwise(F.array().cast(SPANS)) for k in PATTERNS})
     more = [F.filter(f"_{k}", lambda x: x["score"] >= LEAST) if k not in BASE else F.col(f"_{k}") for k in PATTERNS]
     return step.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{c}").alias(c) for c in keep if c != id_col], text.alias("text"), F.array_sort(F.concat(*more)).alias("spans"))
 
@@ -144,11 +161,14 @@ def joined(spans: F.Column) -> F.Column:
 
 
 def masked(text: F.Column, spans: F.Column) -> F.Column:
-    """The text with each span, or run of spans that overlap, replaced by its first kind in angle brackets."""
-    fold = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["start"] >= acc["at"], F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, fold).otherwise(text)
+    """The text with each span, or run of spans that overlap, replaced by its first kind in angle brackets. spans: by
+    start. A span starts a run if none before it ends after its start; what lies between runs is cut from the text in
+    blocks, so that no more than a block is searched for each."""
+    ends = F.transform(spans, lambda x: x["end"])
+    firsts = lambda reach: F.filter(F.zip_with(spans, reach, lambda x, r: F.struct(r.alias("from"), x["start"].alias("start"), x["kind"].alias("kind"))), lambda x: x["start"] >= x["from"])
+    size = 1 << BLOCK
+    cut = lambda part, origin, x: F.concat(F.substring(part, x["from"] - origin + 1, x["start"] - x["from"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+    piece = lambda g: let(F.substring(text, F.get(g, 0)["from"] + 1, F.element_at(g, -1)["start"] - F.get(g, 0)["from"]), lambda part: F.array_join(F.transform(g, lambda x: cut(part, F.get(g, 0)["from"], x)), ""))
+    pieces = lambda runs: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(runs) - 1, BLOCK)), lambda k: let(F.slice(runs, F.shiftleft(k, BLOCK) + 1, size), piece))
+    whole = let(running(ends, lambda a, x: F.greatest(a, x)), lambda reach: let(firsts(reach), lambda runs: F.concat(F.array_join(pieces(runs), ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
