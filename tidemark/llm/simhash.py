@@ -89,9 +89,10 @@ def cut_further(key: F.Column, x: F.Column) -> F.Column:
 
 
 def keys_of(prints: DataFrame) -> DataFrame:
-    """(print, key): the 64 one-wildcard variants of the two halves. Dealt out first, as there are 64 rows for each."""
-    x = F.col("print")
-    return prints.repartition("print").select(x, F.explode(F.concat(variants(high_half(x), 32, 0), variants(low_half(x), 32, 1))).alias("key"))
+    """(print, key): the 64 one-wildcard variants of the two halves. Dealt out first, to a stated number of partitions that
+    Spark does not join again, as there are 64 rows for each."""
+    x, tasks = F.col("print"), int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.repartition(tasks, "print").select(x, F.explode(F.concat(variants(high_half(x), 32, 0), variants(low_half(x), 32, 1))).alias("key"))
 
 
 def linked_prints(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> DataFrame:
