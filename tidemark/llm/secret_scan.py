@@ -6,11 +6,13 @@ import base64
 import hashlib
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +32,10 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
+ESCAPE = re.compile(r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 #: A run of base64, which goes on over line breaks (also written \\n) up to its padding.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*[A-Za-z0-9+/_-]+)*={0,2}")
 BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*")
-RUN = re.compile(r"\S+")
 #: Where gzip or zlib data may start.
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 #: Readable characters in a row that a decoded run must have somewhere.
@@ -52,27 +53,47 @@ def scan(text: str) -> list[tuple[int, int, str]]:
 
 @dataclass
 class Layer:
-    """Decoded text; of each of its characters, where in the document what it was decoded from starts and ends."""
+    """Decoded text; where in the document what its character k was decoded from starts and ends. Both grow with k."""
 
     text: str
-    starts: list[int] | range | "Same"
-    ends: list[int] | range | "Same"
+    start: Callable[[int], int]
+    end: Callable[[int], int]
+
+
+def unescaped(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
+    """The whole layer with what the pattern matches decoded in place; None if nothing was. Places are kept by piece, not
+    by character."""
+    text, cuts, olds, size, at = [], [0], [(0, None)], 0, 0
+
+    def put(piece: str, old: int, until: int | None) -> None:
+        nonlocal size
+        if piece:
+            if size:
+                cuts.append(size)
+                olds.append((old, until))
+            else:
+                olds[0] = (old, until)
+            text.append(piece)
+            size += len(piece)
+
+    for m in pattern.finditer(layer.text):
+        if (new := decode(m)) is not None:
+            put(layer.text[at : m.start()], at, None)
+            put(new, *m.span())
+            at = m.end()
+    if not at:
+        return None
+    put(layer.text[at:], at, None)
 
+    def place(k: int, last: bool) -> int:
+        i = bisect_right(cuts, k) - 1
+        old, until = olds[i]
+        if until is None:
+            old += k - cuts[i]
+            return layer.end(old) if last else layer.start(old)
+        return layer.end(until - 1) if last else layer.start(old)
 
-def unescaped(layer: Layer, a: int, b: int, pattern: re.Pattern, decode) -> Layer | None:
-    """The stretch [a, b) of a layer with what the pattern matches decoded in place; None if nothing was."""
-    text, starts, ends, at = [], [], [], a
-    for m in pattern.finditer(layer.text, a, b):
-        if (new := decode(m)) is None:
-            continue
-        s, e = m.span()
-        text += [layer.text[at:s], new]
-        starts += [*layer.starts[at:s], *[layer.starts[s]] * len(new)]
-        ends += [*layer.ends[at:s], *[layer.ends[e - 1]] * len(new)]
-        at = e
-    if at == a:
-        return None
-    return Layer("".join([*text, layer.text[at:b]]), [*starts, *layer.starts[at:b]], [*ends, *layer.ends[at:b]])
+    return Layer("".join(text), lambda k: place(k, False), lambda k: place(k, True))
 
 
 def from_percent(m: re.Match) -> str:
@@ -80,18 +101,25 @@ def from_percent(m: re.Match) -> str:
 
 
 def from_escape(m: re.Match) -> str | None:
-    code = int(m[1] or m[2] or m[3], 16)
+    if m[1]:
+        return chr(0x10000 + ((int(m[1], 16) - 0xD800) << 10) + int(m[2], 16) - 0xDC00)
+    code = int(m[3] or m[4] or m[5], 16)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-class Same:
+def same(place: int) -> Callable[[int], int]:
     """A place that all characters of a layer share."""
+    return lambda k: place
 
-    def __init__(self, place: int):
-        self.place = place
 
-    def __getitem__(self, k):
-        return [self.place] * len(range(*k.indices(k.stop))) if isinstance(k, slice) else self.place
+def raw_inflated(data: bytes) -> bytes | None:
+    """What data that are one whole deflate stream without a header hold, if it is readable text of one block."""
+    unzip = zlib.decompressobj(-15)
+    try:
+        out = unzip.decompress(data, BLOCK)
+    except zlib.error:
+        return None
+    return out if unzip.eof and not unzip.unused_data and STRETCH.search(out.decode(errors="surrogateescape")) else None
 
 
 def inflate(pieces: Iterable[bytes], ended: list[int]) -> Iterator[bytes]:
@@ -175,8 +203,8 @@ def from_base64(layer: Layer, m: re.Match) -> tuple[list[Layer], int]:
         if not body:
             break
         data = base64.b64decode(body + "=" * (-len(body) % 4))
-        first = lambda k: layer.starts[at[shift + k * 8 // 6]]  # noqa: B023, E731
-        last = lambda k: layer.ends[e - 1 if k >= len(data) else at[min(len(at) - 1, shift + (k * 8 - 1) // 6)]]  # noqa: B023, E731
+        first = lambda k, shift=shift: layer.start(at[shift + k * 8 // 6])
+        last = lambda k, shift=shift, n=len(data): layer.end(e - 1 if k >= n else at[min(len(at) - 1, shift + (k * 8 - 1) // 6)])
         done = 0
         for magic in PACKED.finditer(data):
             if magic.start() < done:
@@ -188,11 +216,11 @@ def from_base64(layer: Layer, m: re.Match) -> tuple[list[Layer], int]:
                 n += 1
                 made.append(block)
                 if n > 1 or len(block) >= BLOCK:
-                    out += [Layer(shown(x.decode(errors="surrogateescape")), Same(first(magic.start())), Same(last(len(data)))) for x in made]
+                    out += [Layer(shown(x.decode(errors="surrogateescape")), same(first(magic.start())), same(last(len(data)))) for x in made]
                     made = []
             if made and (ended or magic[0][0] == 0x1F or n > 1):
                 until = magic.start() + ended[0] if ended else len(data)
-                out += [Layer(shown(x.decode(errors="surrogateescape")), Same(first(magic.start())), Same(last(until))) for x in made]
+                out += [Layer(shown(x.decode(errors="surrogateescape")), same(first(magic.start())), same(last(until))) for x in made]
             large += n > 1
             if ended:
                 done = magic.start() + ended[0]
@@ -200,28 +228,27 @@ def from_base64(layer: Layer, m: re.Match) -> tuple[list[Layer], int]:
             continue
         text = data.decode(errors="surrogateescape")
         if not (found := list(STRETCH.finditer(text))):
+            if not done and (raw := raw_inflated(data)):
+                out.append(Layer(shown(raw.decode(errors="surrogateescape")), same(first(0)), same(last(len(data)))))
             continue
         a, b = found[0].start(), found[-1].end()
         k = len(text[:a].encode(errors="surrogateescape"))
-        starts, ends = [], []
-        for c in text[a:b]:  # byte k comes from the characters k * 8 // 6 to (k * 8 + 7) // 6
-            n = 1 if c.isascii() else len(c.encode(errors="surrogateescape"))
-            starts.append(first(k))
-            ends.append(last(k + n))
-            k += n
-        out.append(Layer(shown(text[a:b]), starts, ends))
+        # byte i comes from the characters i * 8 // 6 to (i * 8 + 7) // 6
+        if text[a:b].isascii():
+            out.append(Layer(text[a:b], lambda i, k=k, first=first: first(k + i), lambda i, k=k, last=last: last(k + i + 1)))
+        else:
+            ends = k + np.cumsum([len(c.encode(errors="surrogateescape")) for c in text[a:b]])
+            out.append(Layer(shown(text[a:b]), lambda i, k=k, ends=ends, first=first: first(int(ends[i - 1]) if i else k), lambda i, ends=ends, last=last: last(int(ends[i]))))
     return out, large
 
 
 def layers_of(layer: Layer) -> tuple[list[Layer], int]:
-    """What one step of decoding gives: stretches without white space that hold URL or Unicode escapes, and base64 runs
+    """What one step of decoding gives: the layer without its URL escapes, without its Unicode escapes, and its base64 runs
     that hold text or compressed text; and how many were scanned in blocks."""
     out, oversize = [], 0
     for pattern, decode, mark in ((PERCENT, from_percent, "%"), (ESCAPE, from_escape, "\\")):
-        if mark in layer.text and pattern.search(layer.text):
-            for run in RUN.finditer(layer.text):
-                if mark in run[0] and (new := unescaped(layer, run.start(), run.end(), pattern, decode)):
-                    out.append(new)
+        if mark in layer.text and (new := unescaped(layer, pattern, decode)):
+            out.append(new)
     for m in BASE64.finditer(layer.text):
         made, large = from_base64(layer, m)
         out += made
@@ -236,18 +263,18 @@ def find_secrets(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     opened again, so content that decodes to itself ends too."""
     base = sorted(scan(text), key=lambda x: (x[0], RANK[x[2]], x[1]))
     spans, opened, oversize = set(base), 0, 0
-    work, seen = deque([Layer(text, range(len(text)), range(1, len(text) + 1))]), set()
+    work, seen = deque([Layer(text, lambda k: k, lambda k: k + 1)]), set()
     while work:
         layer = work.popleft()
         made, large = layers_of(layer)
         oversize += large
         for new in made:
-            if not new.text or (key := (hashlib.sha256(new.text.encode()).digest(), new.starts[0])) in seen:
+            if not new.text or (key := (hashlib.sha256(new.text.encode(errors="surrogatepass")).digest(), new.start(0))) in seen:
                 continue
             seen.add(key)
             opened += 1
             for s, e, kind in scan(new.text):
-                spans.add((min(new.starts[s:e]), max(new.ends[s:e]), kind))
+                spans.add((new.start(s), new.end(e - 1), kind))
             work.append(new)
     return base, sorted(spans, key=lambda x: (x[0], RANK[x[2]], x[1])), opened, oversize
 
