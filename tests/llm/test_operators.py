@@ -481,3 +481,9 @@ def test_pii_query_columns(spark, tmp_path):
         spans = base_spans(texts[r["doc_id"]] or "")
         assert [r[f"n_{k}"] for k in BASE] == [sum(x.startswith(k) for x in spans) for k in BASE]
         assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest() and set(spans) <= set(r["spans"].split(",")) | {""}
+
+
+def test_spellings_of_neighbours_and_clashing_ids(spark):
+    rows = spark.createDataFrame([(1, "the licence licence copyright holders copyright holder licence"), (1, "The License, license: copyright owner copyright owner license."), (None, None)], "_row int, text string")
+    got = licenses.scan_licenses(rows.withColumnRenamed("_row", "digest"), licenses.known_digests(spark), id_col="digest").collect()
+    assert len(got) == 3 and len({r["text_digest"] for r in got if r["text_digest"]}) == 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import stored, text_or_empty
 
 #: Fixed values, public wording: short licences in full, and the notices by which texts name the long ones.
 KNOWN = {
@@ -102,12 +102,17 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def canonical(text: F.Column) -> F.Column:
     """Without copyright lines, in lower case (A-Z), with everything but letters and digits as one space, equivalent
-    spellings made one."""
+    spellings made one. Words stand between two spaces each while spellings are replaced, so that none takes a space from
+    its neighbour."""
     lower = F.translate(F.regexp_replace(text, COPYRIGHT, "\n"), UPPER, LOWER)
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, OTHER, " ")), F.lit(" "))
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, OTHER, "  ")), F.lit(" "))
     for old, new in SPELLINGS.items():
-        out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(spaced(old)), F.lit(spaced(new)))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+
+def spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def digest(text: F.Column) -> F.Column:
@@ -130,16 +135,17 @@ def scan_licenses(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id",
     matches; lines without it are not digested. A null or empty text has a null digest and no licences; repeated rows
     stay repeated; a null id is kept; an empty table gives no rows. Other columns of docs are not read.
     """
-    keyed = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text")).select(F.col(id_col), "_text", digest(F.col("_text")).alias("_digest"), F.sha2("_text", 256).alias("_key"))
-    unit = lambda d, line: F.struct(d.alias("digest"), F.lit(line).alias("line"))
     lines = F.split("_text", "\n")
     if marks:
         lines = F.filter(lines, lambda x: F.rlike(x, F.lit(marks)))
-    units = keyed.select("_key", F.explode(F.concat(F.array(unit(F.col("_digest"), False)), F.transform(lines, lambda x: unit(digest(x), True)))).alias("_u")).select("_key", "_u.*")
+    # digests are written once, with a number for each row: copies never meet under one key
+    made = docs.select(F.col(id_col), text_or_empty(text_col).alias("_text"))
+    rows = stored(made.select(F.col(id_col), digest(F.col("_text")).alias("text_digest"), F.filter(F.transform(lines, digest), lambda x: x.isNotNull()).alias("_lines"), F.monotonically_increasing_id().alias("_row")))
+    unit = lambda d, line: F.struct(d.alias("digest"), F.lit(line).alias("line"))
+    units = rows.select("_row", F.explode(F.concat(F.array(unit(F.col("text_digest"), False)), F.transform(F.array_distinct("_lines"), lambda x: unit(x, True)))).alias("_u")).select("_row", "_u.*")
     of = lambda line: F.when(F.col("line") == line, F.col("license"))
-    # copies share a key, so they are grouped before the shuffle
-    per = units.where(F.col("digest").isNotNull()).join(known, "digest").groupBy("_key").agg(F.max(of(False)).alias("text_license"), F.array_join(F.sort_array(F.collect_set(of(True))), ",").alias("line_licenses"))
-    return keyed.select(id_col, "_digest", "_key").join(per, "_key", "left").select(F.col(id_col), F.col("_digest").alias("text_digest"), "text_license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
+    per = units.where(F.col("digest").isNotNull()).join(known, "digest").groupBy("_row").agg(F.max(of(False)).alias("text_license"), F.array_join(F.sort_array(F.collect_set(of(True))), ",").alias("line_licenses"))
+    return rows.select(id_col, "text_digest", "_row").join(per, "_row", "left").select(F.col(id_col), "text_digest", "text_license", F.coalesce("line_licenses", F.lit("")).alias("line_licenses"))
 
 
 def oracle() -> str:
@@ -147,10 +153,10 @@ def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(x: str) -> str:
-        out = f"' ' || trim(regexp_replace(translate(regexp_replace({x}, {quote(COPYRIGHT)}, chr(10), 'g'), '{UPPER}', '{LOWER}'), {quote(OTHER)}, ' ', 'g')) || ' '"
+        out = f"' ' || trim(regexp_replace(translate(regexp_replace({x}, {quote(COPYRIGHT)}, chr(10), 'g'), '{UPPER}', '{LOWER}'), {quote(OTHER)}, '  ', 'g')) || ' '"
         for old, new in SPELLINGS.items():
-            out = f"replace({out}, ' {old} ', ' {new} ')"
-        return f"nullif(trim({out}), '')"
+            out = f"replace({out}, '{spaced(old)}', '{spaced(new)}')"
+        return f"nullif(trim(replace({out}, '  ', ' ')), '')"
 
     rows = ", ".join(f"({quote(name)}, {quote(text)})" for name, texts in KNOWN.items() for text in texts)
     return f"""
