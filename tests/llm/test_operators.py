@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -487,3 +488,15 @@ def test_spellings_of_neighbours_and_clashing_ids(spark):
     rows = spark.createDataFrame([(1, "the licence licence copyright holders copyright holder licence"), (1, "The License, license: copyright owner copyright owner license."), (None, None)], "_row int, text string")
     got = licenses.scan_licenses(rows.withColumnRenamed("_row", "digest"), licenses.known_digests(spark), id_col="digest").collect()
     assert len(got) == 3 and len({r["text_digest"] for r in got if r["text_digest"]}) == 1
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no published texts here")
+def test_long_licenses_as_published(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3-only"}
+    texts = {}
+    for file, name in names.items():
+        with open(f"/usr/share/common-licenses/{file}") as f:
+            texts[name] = f.read()
+    docs = spark.createDataFrame([(n, re.sub(r"\bLICENSE\b", "Licence", t.upper())) for n, t in texts.items()], "doc_id string, text string")
+    got = licenses.scan_licenses(docs, licenses.known_digests(spark), marks=licenses.MARKS).collect()
+    assert all(r["text_license"] == r["doc_id"] for r in got) and len(got) == len(names)

@@ -98,6 +98,21 @@ OTHER = r"[^\p{L}\p{N}]+"
 #: The known texts of one line all hold this.
 MARKS = r"(?i)licen[cs]e|warrant"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Digests of the canonical long texts as published, and without the part that tells how to apply them.
+DIGESTS = {
+    "Apache-2.0": ("e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2", "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    "GPL-2.0": ("632eed5ccd9536a119e4736f4111f5ea096d69650e17f4a3fcacb4d273e39aec", "34646b71cb057a6b7fce252fc5685bc0f1ad2c22262d322eca0a90f39b1a0046"),
+    "GPL-3.0": ("4c0936da0137c10346f05b6b5390985a2a03297b38fa1a371517221225236f28", "3b3886969d0e2e477d1814e06c6d0b28595c2f3afda31219384020ba4b06fc0a"),
+    "LGPL-2.0-only": ("87c83ddf13b8d772a493615bbfb7368fb6c87b179e064f6b4573dd9008cbd283", "273fdbba53ad074b35cd45b58c1a4091f92c5a5d5027978e989cbbb73746d404"),
+    "LGPL-2.1": ("4b7fd8442d92b28972b9aee4eb75166ac0ea6267095bdcdbe488d5f54b725b71", "f2113c5811629fb98497e5231be94432e92103fa33213fede9037b754d55e19b"),
+    "LGPL-3.0": ("aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",),
+    "MPL-1.1": ("3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1", "80cd52a1836f5ea3706bd2afa402fc448999d4a22581ee62d4041bd8a08efd87"),
+    "MPL-2.0": ("f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", "075fcdf87448c49dbad8c5f7963f0eb6907a3d8eae1b431ba2988508499ec0de"),
+    "CC0-1.0": ("96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",),
+    "GFDL-1.3-only": ("ac48f9c5ac6627cac07c42464e71743898508f6d8718a6dc0e1259a25f0c6b68", "2a106f884036b120e13449e43972050cdada368c82d26ec9261a76f24da1eb41"),
+    "GFDL-1.2": ("dd21c1489470df7f8763c8da9d6ebad250b28e79589984a28a57cf60ae7a41be", "e5c033faab5442e1b9e32376a8793e96e10b22c9673d7367970c64b417e89e5e"),
+    "GPL-1.0": ("596622575bcd3d827e7f6bce1f02e32bed2edeb0e9d8ce0d39441ba10031d1aa", "895ad9f6ba7614276f464f8c82a8f6ebb7f9605f2ab3c7f933b3193e1c0abdda"),
+}
 
 
 def canonical(text: F.Column) -> F.Column:
@@ -120,10 +135,12 @@ def digest(text: F.Column) -> F.Column:
     return F.when(canonical(text) != "", F.sha2(canonical(text), 256))
 
 
-def known_digests(spark, known: dict[str, list[str]] | None = None) -> DataFrame:
-    """(digest, license), one row per distinct digest."""
-    rows = [(name, text) for name, texts in (known or KNOWN).items() for text in texts]
-    return spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(spark, known: dict[str, list[str]] | None = None, digests: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(digest, license), one row per distinct digest, of texts and of digests by name (by default KNOWN and DIGESTS)."""
+    rows = [(name, text) for name, texts in (KNOWN if known is None else known).items() for text in texts]
+    made = spark.createDataFrame(rows, "license string, text string").select(digest(F.col("text")).alias("digest"), "license")
+    given = [(d, name) for name, ds in (DIGESTS if digests is None else digests).items() for d in ds]
+    return made.unionAll(spark.createDataFrame(given, "digest string, license string")).groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", marks: str | None = None) -> DataFrame:
@@ -159,8 +176,10 @@ def oracle() -> str:
         return f"nullif(trim(replace({out}, '  ', ' ')), '')"
 
     rows = ", ".join(f"({quote(name)}, {quote(text)})" for name, texts in KNOWN.items() for text in texts)
+    given = ", ".join(f"({quote(d)}, {quote(name)})" for name, ds in DIGESTS.items() for d in ds)
     return f"""
-WITH known AS (SELECT sha256({canon("t")}) AS digest, min(l) AS license FROM (VALUES {rows}) AS v(l, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(license) AS license FROM
+    (SELECT sha256({canon("t")}) AS digest, l AS license FROM (VALUES {rows}) AS v(l, t) UNION ALL SELECT * FROM (VALUES {given}) AS g(digest, license)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
 whole AS (SELECT k, doc_id, sha256({canon("text")}) AS text_digest FROM d),
 line AS (SELECT k, unnest(string_split(text, chr(10))) AS l FROM d),
