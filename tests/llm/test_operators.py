@@ -500,3 +500,58 @@ def test_long_licenses_as_published(spark):
     docs = spark.createDataFrame([(n, re.sub(r"\bLICENSE\b", "Licence", t.upper())) for n, t in texts.items()], "doc_id string, text string")
     got = licenses.scan_licenses(docs, licenses.known_digests(spark), marks=licenses.MARKS).collect()
     assert all(r["text_license"] == r["doc_id"] for r in got) and len(got) == len(names)
+
+
+def brute_prints(texts):
+    """(fingerprint of each text, function for the likeness of two), by the definition: hashes of shingles from Spark's own
+    XXH64, then bins, borrowing and low bits in plain Python."""
+    from xxhash import xxh64_intdigest
+
+    def spark_hash_of_longs(a, b):
+        first = xxh64_intdigest(a.to_bytes(8, "little", signed=True), 42)
+        return xxh64_intdigest(b.to_bytes(8, "little", signed=True), first)
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    out = []
+    for t in texts:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+        shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        hashes = [signed(xxh64_intdigest(s.encode(), 42)) for s in shingles]
+        bins = {}
+        for h in hashes:
+            b = (h % (1 << 64)) >> 57
+            bins[b] = min(h, bins.get(b, h))
+        values = []
+        for j in range(128):
+            if j in bins:
+                values.append(bins[j] & 255)
+            else:
+                values.append(min((signed(spark_hash_of_longs(b, j)) & ~255) + (h & 255) for b, h in bins.items()) & 255)
+        out.append("".join(f"{v:02x}" for v in values))
+    return out
+
+
+def brute_likeness(a, b):
+    equal = sum(a[k : k + 2] == b[k : k + 2] for k in range(0, 256, 2)) / 128
+    return max(0.0, (equal - 1 / 256) / (1 - 1 / 256))
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_fingerprints_by_brute_force(spark, kind):
+    import datetime
+
+    rnd = random.Random(15)
+    texts = ["", "one two", *(" ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.choice([4, 30, 400]))) for _ in range(70))]
+    make = {"long": lambda k: k * k - 50, "string": lambda k: f"doc-{k * 7919 % 1000:03d}", "date": lambda k: datetime.date(2020, 1, 1) + datetime.timedelta(days=3 * k)}[kind]
+    rows = {make(k): t for k, t in enumerate(texts)}
+    got = {r["doc_id"]: r for r in fingerprinting.edited_fingerprints(spark.createDataFrame(list(rows.items()), f"doc_id {kind}, text string").repartition(4)).collect()}
+    ids = sorted(rows, reverse=True)
+    after = dict(zip(ids, ids[1:] + ids[:1], strict=True))
+    prints = dict(zip(ids, brute_prints([rows[i] for i in ids]), strict=True))
+    edited = {i: rows[i][: len(rows[i]) - len(rows[i]) // 2] + rows[after[i]][: len(rows[i]) // 2] for i in ids}
+    edited_prints = dict(zip(ids, brute_prints([edited[i] for i in ids]), strict=True))
+    for i in ids:
+        r = got[i]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(rows[i]), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert r["fingerprint"] == prints[i] and r["edited_fingerprint"] == edited_prints[i]
+        assert abs(r["near_edited"] - brute_likeness(prints[i], edited_prints[i])) < 1e-9 and abs(r["near_next"] - brute_likeness(prints[i], prints[after[i]])) < 1e-9

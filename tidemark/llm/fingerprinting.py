@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_or_empty, words
 
 #: Words of a shingle, bins as a power of two, bits kept of each bin.
 SHINGLE, BIN_BITS, LOW_BITS = 5, 7, 8
-#: Quantiles of the ids between which buckets of equal width are laid.
-KNOTS = 64
+#: Quantiles of numeric ids between which buckets of equal width are laid; buckets between ids of other kinds, which are
+#: those of SAMPLE ids that the least hashes draw; rows that a bucket is meant to hold; most buckets, which bounds the
+#: table of their first ids that is broadcast (some 20 MB).
+KNOTS, OTHER_KNOTS, SAMPLE, BUCKET_ROWS, MOST_BUCKETS = 64, 256, 16_384, 4_096, 1 << 18
 
 
 def with_prints(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -54,34 +57,55 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return with_prints(docs.select(F.col(id_col), text_or_empty(text_col).alias("_text")), "_text", "_p").select(F.col(id_col), packed(F.col("_p")).alias("fingerprint"))
 
 
+def bucket_of(ids: DataFrame, id_col: str) -> F.Column:
+    """Number of the bucket of an id, growing with it; null ids are in bucket -1. The driver gets a bounded number of ids.
+
+    Numeric ids: KNOTS quantiles, and buckets of equal width between two of them, so many that a bucket has about
+    BUCKET_ROWS rows and each shuffle partition several buckets. Other ids: a bucket between each two of OTHER_KNOTS ids.
+    """
+    spark = ids.sparkSession
+    x = F.col(id_col)
+    if isinstance(ids.schema[id_col].dataType, T.NumericType):
+        v = x.cast("double")
+        row = ids.agg(F.count("*").alias("n"), F.percentile_approx(v, [k / KNOTS for k in range(KNOTS + 1)], 1000).alias("k")).first()
+        knots = sorted(set(row["k"] or []))
+        wanted = min(MOST_BUCKETS, max(row["n"] // BUCKET_ROWS, 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        width = -(-wanted // KNOTS)
+    else:
+        v = x.cast("string")
+        drawn = sorted({r[0] for r in ids.select(v).where(x.isNotNull()).orderBy(F.xxhash64(v)).limit(SAMPLE).collect()})
+        knots, width = drawn[:: -(-len(drawn) // OTHER_KNOTS) or 1], 1
+    if not knots:
+        return F.lit(-1).cast("long")
+    laid = F.array(*map(F.lit, knots))
+    at = F.size(F.filter(laid, lambda k: k <= v))
+    part = F.lit(0).cast("long")
+    if width > 1:
+        lower, upper = F.coalesce(F.get(laid, at - 1), F.lit(0.0)), F.get(laid, at)
+        part = F.greatest(F.lit(0), F.least(F.lit(width - 1), F.coalesce(F.floor((v - lower) / F.nullif(upper - lower, F.lit(0.0)) * width), F.lit(0)))).cast("long")
+    return F.when(x.isNull(), -1).otherwise(at.cast("long") * width + part)
+
+
 def next_in_line(docs: DataFrame, carried: list[str], *, id_col: str = "_id") -> DataFrame:
     """Adds `_next`: struct of `carried` of the row with the next smaller id; the last row gets the first one's.
 
-    Ids are cut into buckets of descending ids: between quantiles of all ids, which the driver gets (KNOTS numbers),
-    buckets have equal widths, about one for each shuffle partition in all. One shuffle brings a bucket together; the
-    first rows of a bucket are copied to the bucket before it, and they are found by their ids, of which there are as
-    many as buckets. Rows of one id are ordered by their text; null ids come last.
+    Ids are cut into buckets that grow with the ids. One shuffle brings a bucket together; the first rows of a bucket are
+    copied to the bucket before it, and they are found by their ids, of which there are as many as buckets. Rows of one
+    id are ordered by their text, and are in one bucket; null ids come last.
     """
-    spark = docs.sparkSession
-    width = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // KNOTS) * 2
-    ids = docs.select(F.col(id_col).cast("long").alias("_i"))
-    knots = sorted(set(ids.agg(F.percentile_approx("_i", [k / KNOTS for k in range(KNOTS + 1)], 1000).alias("k")).first()["k"] or []))
-    at = F.size(F.filter(F.array(*[F.lit(k).cast("long") for k in knots]), lambda k: k <= F.col("_i"))) if knots else F.lit(0)
-    lower = F.coalesce(F.get(F.array(*[F.lit(k).cast("long") for k in knots]), at - 1), F.lit(0).cast("long")) if knots else F.lit(0)
-    upper = F.coalesce(F.get(F.array(*[F.lit(k).cast("long") for k in knots]), at), lower + 1) if knots else F.lit(1)
-    part = F.greatest(F.lit(0), F.least(F.lit(width - 1), F.floor((F.col("_i") - lower) / (upper - lower) * width))).cast("long")
-    with_bucket = lambda df: df.withColumn("_bucket", F.coalesce(at.cast("long") * width + part, F.lit(-1).cast("long")))
-    firsts = with_bucket(ids).groupBy("_bucket").agg(F.max("_i").alias("_first"))
-    # at most (KNOTS + 2) * width rows: what these windows and the broadcast see is bounded by the partitions
+    ids = docs.select(id_col)
+    bucket = bucket_of(ids, id_col)
+    firsts = ids.groupBy(bucket.alias("_bucket")).agg(F.max(id_col).alias("_first"))
+    # at most MOST_BUCKETS rows and a few: what these windows and the broadcast see is bounded
     line = Window.orderBy("_bucket")
     everything = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     bottom, top, above = F.min("_bucket").over(everything), F.max("_bucket").over(everything), F.lead("_bucket").over(line)
     hosts = firsts.select("_first", F.when(F.col("_bucket") == top, bottom).otherwise(above).alias("_host"))
-    rows = with_bucket(docs.withColumn("_i", F.col(id_col).cast("long"))).join(F.broadcast(hosts), F.col("_i").eqNullSafe(F.col("_first")), "left")
-    place = lambda bucket, guest: F.struct(bucket.alias("bucket"), F.lit(guest).alias("guest"))
+    rows = docs.withColumn("_bucket", bucket).join(F.broadcast(hosts), F.col(id_col).eqNullSafe(F.col("_first")), "left")
+    place = lambda number, guest: F.struct(number.alias("bucket"), F.lit(guest).alias("guest"))
     copies = rows.withColumn("_place", F.explode(F.when(F.col("_host").isNotNull(), F.array(place(F.col("_bucket"), False), place(F.col("_host"), True))).otherwise(F.array(place(F.col("_bucket"), False)))))
-    order = Window.partitionBy("_place.bucket").orderBy(F.col("_place.guest"), F.col("_i").desc_nulls_last(), "_text")
-    return copies.withColumn("_next", F.lead(F.struct(*carried)).over(order)).where(~F.col("_place.guest")).drop("_i", "_first", "_host", "_bucket", "_place")
+    order = Window.partitionBy("_place.bucket").orderBy(F.col("_place.guest"), F.col(id_col).desc_nulls_last(), "_text")
+    return copies.withColumn("_next", F.lead(F.struct(*carried)).over(order)).where(~F.col("_place.guest")).drop("_first", "_host", "_bucket", "_place")
 
 
 def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,8 +113,9 @@ def edited_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many (or all) of the next
     document's, ids descending, the first document after the last. A null text is an empty one; a single row is its own
-    next; an empty table gives no rows; repeated ids are ordered by their text. Other columns of docs are not read. One
-    shuffle of the texts.
+    next; an empty table gives no rows; repeated ids are ordered by their text (their rows meet in one task). Ids may be
+    numbers, strings or dates, in their own order, nulls last. Other columns of docs are not read. One shuffle of the
+    texts.
     """
     base = with_prints(docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), "_text", "_p")
     n = F.length("_text")
