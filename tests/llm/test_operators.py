@@ -555,3 +555,49 @@ def test_fingerprints_by_brute_force(spark, kind):
         assert (r["n_chars"], r["edited_sha256"]) == (len(rows[i]), hashlib.sha256(edited[i].encode()).hexdigest())
         assert r["fingerprint"] == prints[i] and r["edited_fingerprint"] == edited_prints[i]
         assert abs(r["near_edited"] - brute_likeness(prints[i], edited_prints[i])) < 1e-9 and abs(r["near_next"] - brute_likeness(prints[i], prints[after[i]])) < 1e-9
+
+
+@pytest.mark.parametrize("piece", ['<a b="', "<p ", "<noscript>", "<a<", "<ul>", "<!", "<div>", "</section>", "<x y='\"z"])
+def test_html_time_grows_with_the_page(piece):
+    import time
+
+    page = "<article><p>some words here.</p></article>" + piece * (1_000_000 // len(piece)) + ">"
+    began = time.time()
+    assert html_text.extract(page, {}).startswith("some words here.")
+    assert time.time() - began < 10
+
+
+def test_html_and_packing_take_empty_tables_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>one two three</p>", "x", 7), (1, "u", "<p>one two three</p>", "x", 7), (None, None, None, None, None), (3, "v", "", "x", 0)], "page_id int, url string, html string, text string, n_chars int")
+    got = keyed(html_text.main_text(pages).collect())
+    assert got == keyed([(1, "u", "one two three", 13)] * 2 + [(None, None, "", 0), (3, "v", "", 0)])
+    assert html_text.main_text(pages.where("false")).count() == 0
+    docs = spark.createDataFrame([(1, "a b", 9, "x"), (None, None, 9, "x")], "doc_id int, text string, length int, _salt string")
+    rows = keyed(tuple(r)[:4] for r in packing.pack_best_fit(docs, JSON).collect())
+    assert rows == keyed([(1, 0, 0, 3), (None, 0, 0, 1)])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_html_on_held_out_pages(spark):
+    """Weights from half of the pages find the article in the other half where its element is a plain div."""
+    marked = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where(F.regexp_count(F.lower("html"), F.lit("<article[ >]")) == 1)
+    weights = html_text.learn(marked.where("page_id % 2 = 0"))
+    held = [r["html"] for r in marked.where("page_id % 2 = 1").collect()]
+    want = [html_text.extract(h, weights) for h in held]
+    plain = [re.sub(r"(?i)<(/?)article\b", r"<\1div", h) for h in held]
+    same = sum(html_text.extract(p, weights) == w for p, w in zip(plain, want, strict=True))
+    assert len(held) > 20 and same >= 0.9 * len(held)
+
+
+def test_stored_tables_are_dropped(spark, tmp_path):
+    from tidemark.llm import common
+
+    made = common.stored(spark.range(5).toDF("x"))
+    assert made.count() == 5
+    path = made._stored_at.removeprefix("file:")
+    assert os.path.isdir(path)
+    common.discard(made)
+    assert not os.path.isdir(path)
+    common.stored(spark.range(5).toDF("x"))
+    common.drop_stored(spark)
+    assert not os.path.isdir(os.path.dirname(path))

@@ -18,23 +18,43 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a fresh local one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured, a local session gets one of its own; a
+    cluster, whose machines do not see each other's folders, is told to name one."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(folder)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: lineage ends there, a lost executor costs no
-    recomputation, and every later use sees the same rows."""
+    recomputation, and every later use sees the same rows. Tables of one application lie together, for drop_stored."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a result of stored() that nothing reads any more."""
+    deleted(df.sparkSession, df._stored_at)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stored. Results of the operators read them, so write those first."""
+    deleted(spark, f"{shared_folder(spark)}/stored-{spark.sparkContext.applicationId}")
 
 
 def field(df: DataFrame, column: str, name: str | None = None) -> T.StructField:

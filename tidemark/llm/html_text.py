@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 
 from .common import field, text_or_empty
 
-#: Markup.
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)([^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+)>""", re.S)
+#: Markup. A tag ends before the next < outside quotes, so what is not closed is not searched again and again;
+#: where quotes do not pair up, it ends at the first >.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*+>?|<(/?)([A-Za-z][^\s/<>]*+)((?:[^<>"']*+(?:"[^"]*"[^<>"']*+|'[^']*'[^<>"']*+)*+)(?=>)|[^<>]*+)>""", re.S)
 NAMED = re.compile(r"""(?:class|id|role)\s*=\s*["']?([\w-]+)""", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "button", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -38,8 +39,23 @@ class Region:
 
     def __init__(self):
         self.holders: list[tuple[str, str, bool]] = []  # element, key, whether inside an aside
+        self.open: Counter = Counter()  # elements of the holders
         self.block = ""
 
+    def enter(self, name: str, key: str, aside: bool) -> None:
+        self.holders.append((name, key, aside or bool(self.holders and self.holders[-1][2])))
+        self.open[name] += 1
+
+    def leave(self, name: str) -> str:
+        """Closes the innermost holder of that element and all inside it; its key, or the name if there is none."""
+        if not self.open[name]:
+            return name
+        while True:
+            last, key, _ = self.holders.pop()
+            self.open[last] -= 1
+            if last == name:
+                return key
+
     def context(self) -> tuple[str, bool]:
         name, key, aside = self.holders[-1] if self.holders else ("", "", False)
         return f"{key}>{self.block}", aside
@@ -49,6 +65,7 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool]]:
     """(what, key, text, aside) of a page in order: 'word' for text between tags with the key of its context, 'tag' for
     tags; 'break' marks where a block starts or ends. Contents of scripts, styles and the like are left out."""
     at, region, n = 0, Region(), len(page)
+    unclosed: set[str] = set()  # elements of RAW that no later tag closes
     while at < n:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else n]
@@ -63,22 +80,23 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool]]:
         close, name = m[1], m[2].lower()
         if name in RAW:
             if not close and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                if not end:
+                    unclosed.add(name)
                 at = end.end() if end else n if name in ("script", "style") else at
             continue
         named = NAMED.search(m[3])
         key = f"{name}.{named[1].lower()}" if named else name
         if name in LISTS and not close and region.holders:
-            key = f"{region.holders[-1][1]} {key}"  # a list or table is what its place makes it
+            key = f"{region.holders[-1][1].split(' ')[-1]} {key}"  # a list or table is what its place makes it
         aside = name in ASIDE or bool(named and ASIDE_NAME.search(named[1]))
         if name in HOLDERS:
             yield "break", "", "", False
-            yield "tag", ("/" if close else "") + (key if not close else next((k for e, k, _ in reversed(region.holders) if e == name), name)), "", aside
-            if not close:
-                region.holders.append((name, key, aside or bool(region.holders and region.holders[-1][2])))
-            elif any(e == name for e, *_ in region.holders):
-                while region.holders.pop()[0] != name:
-                    pass
+            if close:
+                yield "tag", f"/{region.leave(name)}", "", aside
+            else:
+                yield "tag", key, "", aside
+                region.enter(name, key, aside)
             region.block = ""
         elif name in BLOCKS:
             yield "break", "", "", False
