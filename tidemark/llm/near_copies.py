@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, stored, text_or_empty
+from .common import discard, field, stored, text_or_empty
 from .components import components
 from .simhash import joining_links, print_of, shingle_hashes
 
@@ -105,9 +105,10 @@ def shingles_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str)
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs of sets that are similar enough. shingles: (set, shingles), one row per set."""
+    """(a, b) of the pairs of sets that are similar enough, stored. shingles: (set, shingles), one row per set. The shingles
+    in use are written first, so that a set in many pairs is joined from a table and can be split."""
     ends = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).distinct()
-    used = shingles.select("set", "shingles").join(ends, "set", "left_semi")
+    used = stored(shingles.select("set", "shingles").join(ends, "set", "left_semi"))
     both = pairs.join(used.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(used.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
@@ -116,7 +117,9 @@ def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
             likes = [similarity(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) >= least for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(likes, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    made = stored(both.mapInArrow(run, "a long, b long"))
+    discard(used)
+    return made
 
 
 def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
@@ -177,7 +180,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     centred = lambda rows, first: rows.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct(first, "n", "shared", "set")).alias("centre")).where("m > 1")
     to_centre = lambda rows, centres: rows.join(stored(centres.select("key", "centre")), "key").where((F.col("set") != F.col("centre.set")) & alike(F.struct("n", "shared"), F.col("centre"))).select(*pair(F.col("set"), F.col("centre.set")))
     near = to_centre(members, centred(members, F.col("mean")))
-    links = stored(verified(stored(near.unionAll(close).distinct()), shingles, least))
+    links = verified(stored(near.unionAll(close).distinct()), shingles, least)
     rest = members
     for again in range(ROUNDS + 1):
         grouped = stored(components(links).select(F.col("node").alias("set"), "component"))
