@@ -215,7 +215,7 @@ def w17_rank_surprise(spark, sf_dir):
 
 # Books of accounts
 
-BOOK = """SELECT c_custkey AS account_id, c_mktsegment AS industry, coalesce(arr, 0.0) AS arr, 50 + c_acctbal / 200 AS score, c_custkey % 1300 - 60 AS days_to_renewal, c_custkey % 4000 AS tenure_days, c_custkey % 5 * 6 + 6 AS term_months
+BOOK = """SELECT c_custkey AS account_id, c_mktsegment AS industry, coalesce(round(arr, 2), 0.0) AS arr, 50 + c_acctbal / 200 AS score, c_custkey % 1300 - 60 AS days_to_renewal, c_custkey % 4000 AS tenure_days, c_custkey % 5 * 6 + 6 AS term_months
     FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS arr FROM orders GROUP BY 1) ON c_custkey = o_custkey"""
 VALUE = "round(arr * term_months / 12, 2)"
 
@@ -223,7 +223,7 @@ VALUE = "round(arr * term_months / 12, 2)"
 def book(spark, sf_dir):
     c, k = frames.table(spark, sf_dir, "customer"), F.col("c_custkey")
     revenue = frames.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("arr"))
-    return c.join(revenue, k == F.col("o_custkey"), "left").select(k.alias("account_id"), F.col("c_mktsegment").alias("industry"), F.coalesce("arr", F.lit(0.0)).alias("arr"), (50 + F.col("c_acctbal") / 200).alias("score"), (k % 1300 - 60).alias("days_to_renewal"), (k % 4000).alias("tenure_days"), (k % 5 * 6 + 6).alias("term_months"))
+    return c.join(revenue, k == F.col("o_custkey"), "left").select(k.alias("account_id"), F.col("c_mktsegment").alias("industry"), F.coalesce(F.round("arr", 2), F.lit(0.0)).alias("arr"), (50 + F.col("c_acctbal") / 200).alias("score"), (k % 1300 - 60).alias("days_to_renewal"), (k % 4000).alias("tenure_days"), (k % 5 * 6 + 6).alias("term_months"))
 
 
 def steps_sql(steps):
@@ -239,9 +239,9 @@ def a17_portfolio_health(spark, sf_dir):
     return rounded(standing.portfolio_health(book(spark, sf_dir)), 4)
 
 
-@query(f"SELECT account_id, round(arr, 2) AS arr, {VALUE} AS contract_value, round(100 * arr / total, 4) AS share_pct, round(100 * sum(arr) OVER (ORDER BY arr DESC, account_id ROWS UNBOUNDED PRECEDING) / total, 4) AS running_share_pct FROM ({BOOK}), (SELECT sum(arr) AS total FROM ({BOOK})) ORDER BY arr DESC, account_id LIMIT 50")
+@query(f"SELECT account_id, round(arr, 2) AS arr, round({VALUE}, 1) AS contract_value, round(100 * arr / total, 4) AS share_pct, round(100 * sum(arr) OVER (ORDER BY arr DESC, account_id ROWS UNBOUNDED PRECEDING) / total, 4) AS running_share_pct FROM ({BOOK}), (SELECT sum(arr) AS total FROM ({BOOK})) ORDER BY arr DESC, account_id LIMIT 50")
 def a19_customer_concentration(spark, sf_dir):
-    return rounded(standing.customer_concentration(book(spark, sf_dir)).withColumn("arr", F.round("arr", 2)), 4)
+    return rounded(standing.customer_concentration(book(spark, sf_dir)).withColumns({"arr": F.round("arr", 2), "contract_value": F.round("contract_value", 1)}), 4)
 
 
 @query(f"""SELECT d.runway, count(account_id) AS accounts, round(coalesce(sum(arr), 0), 2) AS arr, round(coalesce(3 * sum(arr), 0), 2) AS resign_value, round(coalesce(sum({VALUE}), 0), 2) AS secured_value, round(coalesce(sum(CASE WHEN term_months <= 12 THEN arr ELSE 0 END), 0), 2) AS one_year_arr
