@@ -17,25 +17,51 @@ def effective_registrations(regs: DataFrame, days: DataFrame, day: str, start: s
     return regs.join(days, (F.col(start) <= F.col(day)) & (F.col(end).isNull() | (F.col(day) <= F.col(end))))
 
 
-def interval_value(df: DataFrame, mw: str, price: str) -> DataFrame:
-    """Energy and money of each interval; without a reading the energy is null and money zero."""
+def join_dispatch(prices: DataFrame, regs: DataFrame, dispatch: DataFrame, scada: DataFrame) -> DataFrame:
+    """One row per unit and interval that has a price in the unit's region and a dispatch row; its reading, where there is
+    one. prices: region, ts, rrp, fcas_prices; regs: day-wise registrations with asset, unit, region, day, power_mw,
+    capacity_mwh; dispatch: unit, ts, day, target_mw, storage_mwh, enablement; scada: unit, ts, scada_mw.
+
+    Equi-joins only. Keys are unique on each side; a unit without an effective registration, an interval without a price
+    or a null key gives no row.
+    """
+    held = dispatch.join(regs, ["unit", "day"]).join(prices, ["region", "ts"])
+    return held.join(scada, ["unit", "ts"], "left")
+
+
+def interval_value(df: DataFrame, mw: str, price: str, enablement: str | None = None, fcas_prices: str | None = None) -> DataFrame:
+    """Energy and money of each interval; without a reading the energy is null and all else zero, and a null price counts
+    as zero. With enablement and fcas_prices (maps by service) also gross_fcas_value and observable_gross_value, the sum
+    of both."""
     mwh = F.col(mw) / PER_HOUR
-    charge, discharge = F.greatest(F.lit(0.0), -mwh), F.greatest(F.lit(0.0), mwh)
-    return df.withColumns({
-        "energy_mwh": mwh, "charge_mwh": F.when(mwh.isNotNull(), charge), "discharge_mwh": F.when(mwh.isNotNull(), discharge),
-        "charging_cost": F.coalesce(F.when(mwh.isNotNull(), charge) * F.col(price), F.lit(0.0)), "discharge_value": F.coalesce(F.when(mwh.isNotNull(), discharge) * F.col(price), F.lit(0.0)),
-        "energy_value": F.coalesce(mwh * F.col(price), F.lit(0.0)),
-    })
+    known = F.coalesce(mwh, F.lit(0.0))
+    charge, discharge, money = F.greatest(F.lit(0.0), -known), F.greatest(F.lit(0.0), known), F.coalesce(F.col(price), F.lit(0.0))
+    out = df.withColumns({"energy_mwh": mwh, "charge_mwh": charge, "discharge_mwh": discharge, "charging_cost": charge * money, "discharge_value": discharge * money, "energy_value": known * money})
+    if enablement is None:
+        return out
+    out = out.withColumn("gross_fcas_value", fcas_value(F.col(enablement), F.col(fcas_prices)))
+    return out.withColumn("observable_gross_value", F.col("energy_value") + F.col("gross_fcas_value"))
+
+
+def service_values(enablement: F.Column, prices: F.Column) -> F.Column:
+    """Map of service to what is enabled, not under zero, times its price; null where either map is null."""
+    return F.map_zip_with(enablement, prices, lambda k, e, p: F.greatest(F.coalesce(e, F.lit(0.0)), F.lit(0.0)) * F.coalesce(p, F.lit(0.0)) / PER_HOUR)
 
 
 def fcas_value(enablement: F.Column, prices: F.Column) -> F.Column:
-    """Sum over services of what is enabled, not under zero, times its price."""
-    each = F.map_zip_with(enablement, prices, lambda k, e, p: F.greatest(F.coalesce(e, F.lit(0.0)), F.lit(0.0)) * F.coalesce(p, F.lit(0.0)) / PER_HOUR)
-    return F.coalesce(F.aggregate(F.map_values(each), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    """Sum over services of what is enabled, not under zero, times its price; without either map zero."""
+    return F.coalesce(F.aggregate(F.map_values(service_values(enablement, prices)), F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+
+
+def fcas_breakdown(df: DataFrame, by: list[str], enablement: str, fcas_prices: str, least: float = 0.005) -> DataFrame:
+    """Value per group and service, without those under half a cent."""
+    each = df.select(*by, F.explode(service_values(F.col(enablement), F.col(fcas_prices))).alias("service", "value"))
+    return each.groupBy(*by, "service").agg(F.sum("value").alias("value")).where(F.abs("value") >= least)
 
 
 def quality_flags(mw: F.Column, storage: F.Column, capacity: F.Column) -> F.Column:
-    return F.array_compact(F.array(F.when(mw.isNull(), "missing_scada"), F.when(storage.isNull(), "missing_storage"), F.when(storage < 0, "storage_below_zero"), F.when(storage > 1.02 * capacity, "storage_above_capacity")))
+    """Names of what is odd about an interval; a null or zero capacity is not compared with."""
+    return F.array_compact(F.array(F.when(mw.isNull(), "missing_scada"), F.when(storage.isNull(), "missing_storage"), F.when(storage < 0, "storage_below_zero"), F.when((capacity != 0) & (storage > 1.02 * capacity), "storage_above_public_capacity")))
 
 
 def daily_summary(intervals: DataFrame, asset: str, day: str, mw: str, expected: int = PER_DAY) -> DataFrame:
@@ -44,6 +70,52 @@ def daily_summary(intervals: DataFrame, asset: str, day: str, mw: str, expected:
     return s.withColumns({"throughput_mwh": F.col("charge_mwh") + F.col("discharge_mwh"), "value_per_mwh": F.try_divide("energy_value", "discharge_mwh"), "capture_price": F.try_divide("discharge_value", "discharge_mwh"), "status": F.when(F.col("n") == expected, "complete").otherwise("partial")})
 
 
+def operating_summary(intervals: DataFrame, capacity: DataFrame, per_day: int = PER_DAY) -> DataFrame:
+    """The whole daily record of each asset: one row per asset and day with intervals.
+
+    intervals: asset, day, ts, scada_mw, storage_mwh, flags and the columns of interval_value with FCAS; capacity: asset,
+    day, units, capacity_mwh. Status is complete if rows, readings and storage values are all units * per_day; notes say
+    what is short, then which flags rose but for those of missing values. An asset-day without capacity has no cycles and
+    no states of charge. A day's intervals are ranked in one window for the best five.
+    """
+    best = F.row_number().over(Window.partitionBy("asset", "day").orderBy(F.col("observable_gross_value").desc(), "ts"))
+    total = {c: F.sum(c).alias(c) for c in ("charge_mwh", "discharge_mwh", "charging_cost", "discharge_value", "energy_value", "gross_fcas_value", "observable_gross_value")}
+    s = intervals.withColumn("_k", best).groupBy("asset", "day").agg(
+        F.count("*").alias("interval_count"), F.count("scada_mw").alias("scada_interval_count"), F.count("storage_mwh").alias("storage_interval_count"), *total.values(), F.max("scada_mw").alias("_most"), F.min("scada_mw").alias("_least"), F.min("storage_mwh").alias("min_storage_mwh"), F.max("storage_mwh").alias("max_storage_mwh"),
+        F.sum(F.when(F.col("_k") <= 5, F.col("observable_gross_value"))).alias("_five"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("_flags"),
+    )
+    s = s.join(capacity, ["asset", "day"], "left")
+    wanted = F.coalesce(F.col("units"), F.lit(0)) * per_day
+    held = F.when(F.col("capacity_mwh") != 0, F.col("capacity_mwh"))
+    note = lambda count, words: F.when(F.col(count) != wanted, F.concat(F.lit(words), F.lit(" "), F.col(count).cast("string"), F.lit(" of "), wanted.cast("string")))
+    short = F.array_compact(F.array(note("interval_count", "intervals"), note("scada_interval_count", "readings"), note("storage_interval_count", "storage values")))
+    odd = F.filter("_flags", lambda x: ~x.isin("missing_scada", "missing_storage"))
+    return s.withColumns({
+        "throughput_mwh": F.col("charge_mwh") + F.col("discharge_mwh"), "equivalent_cycles": F.coalesce(F.try_divide(F.col("discharge_mwh"), held), F.lit(0.0)), "value_per_discharge_mwh": F.try_divide("observable_gross_value", "discharge_mwh"), "capture_price": F.try_divide("discharge_value", "discharge_mwh"),
+        "peak_charge_mw": F.when(F.col("_least") < 0, F.abs("_least")).otherwise(0.0), "peak_discharge_mw": F.coalesce("_most", F.lit(0.0)), "min_soc_pct": 100 * F.try_divide(F.col("min_storage_mwh"), held), "max_soc_pct": 100 * F.try_divide(F.col("max_storage_mwh"), held),
+        "top_five_share": F.when(F.col("observable_gross_value") > 0, F.col("_five") / F.col("observable_gross_value")), "status": F.when(F.size(short) == 0, "complete").otherwise("partial"), "notes": F.concat(short, odd),
+    }).drop("_most", "_least", "_five", "_flags", "units", "power_mw", "capacity_mwh")
+
+
+def interval_inspector(intervals: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Each asset's units as one series by interval end: sums of what is known, share of capacity, value parts and all
+    flags, sorted; midnight is shown as 24:00 of the day that it ends."""
+    s = intervals.groupBy("asset", "day", "ts").agg(
+        F.sum("scada_mw").alias("scada_mw"), F.sum("target_mw").alias("target_mw"), F.sum("storage_mwh").alias("storage_mwh"), F.max("rrp").alias("rrp"), F.sum("energy_value").alias("energy_value"), F.sum("gross_fcas_value").alias("fcas_value"), F.sum("observable_gross_value").alias("observable_value"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))).alias("flags"),
+    )
+    time = F.date_format("ts", "HH:mm")
+    held = F.when(F.col("capacity_mwh") != 0, F.col("capacity_mwh"))
+    return s.join(capacity.select("asset", "day", "capacity_mwh"), ["asset", "day"], "left").withColumns({"time": F.when(time == "00:00", "24:00").otherwise(time), "storage_pct": 100 * F.try_divide(F.col("storage_mwh"), held)}).drop("capacity_mwh")
+
+
+def recalculate_summaries(intervals: DataFrame, capacity: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """operating_summary of all asset-days held, with the benchmark's value and the part of it that was made."""
+    series = intervals.groupBy("asset", "day", "ts").agg(F.sum("storage_mwh").alias("storage_mwh"), F.max("rrp").alias("rrp"), F.sum("energy_value").alias("energy_value"))
+    best = opportunity_benchmark(series, capacity, levels).select("asset", "day", "benchmark_value", "capture_ratio")
+    return operating_summary(intervals, capacity).join(best, ["asset", "day"], "left")
+
+
 def top_value_share(intervals: DataFrame, asset: str, day: str, order: list[str], k: int = 5) -> DataFrame:
     """Part of a day's energy value that its k best intervals make; null if the day made nothing."""
     place = F.row_number().over(Window.partitionBy(asset, day).orderBy(F.col("energy_value").desc(), *order))
@@ -51,36 +123,74 @@ def top_value_share(intervals: DataFrame, asset: str, day: str, order: list[str]
     return s.select(asset, day, F.when(F.col("_all") > 0, F.col("_top") / F.col("_all")).alias("top_share"))
 
 
-def benchmark_day(price: np.ndarray, power: float, capacity: float, start: float, end: float, levels: int = LEVELS, round_trip: float = ROUND_TRIP) -> float:
-    """Best energy value with perfect foresight between two storage levels: backward dynamic programme over levels."""
-    store = np.linspace(0.0, capacity, levels)
-    one_way = np.sqrt(round_trip)
-    delta = store[None, :] - store[:, None]  # from row to column
-    mwh = np.where(delta > 0, -delta / one_way, -delta * one_way)
-    allowed = np.abs(mwh) <= power / PER_HOUR + 1e-9
-    a, b = int(np.abs(store - start).argmin()), int(np.abs(store - end).argmin())
-    reach = np.zeros(levels, bool)
-    reach[a] = True
-    for _ in price:
-        reach = (reach[:, None] & allowed).any(axis=0)
-    b = min(np.flatnonzero(reach), key=lambda i: (abs(i - b), i))  # the nearest level that can be reached
-    best = np.full(levels, -np.inf)
-    best[b] = 0.0
-    for p in price[::-1]:
-        best = np.where(allowed, p * mwh + best[None, :], -np.inf).max(axis=1)
-    return float(best[a])
-
-
-def opportunity_benchmark(series: DataFrame, asset: str, day: str, ts: str, price: str, storage: str, power: float, capacity: float, levels: int = LEVELS) -> DataFrame:
-    """Hindsight value and captured part per asset and day: groups of a day's intervals, spread over the cluster."""
-    kinds = dict(series.dtypes)
+def benchmark_day(prices: np.ndarray, power: float, capacity: float, start: float, end: float, levels: int = LEVELS, round_trip: float = ROUND_TRIP) -> tuple[float, np.ndarray]:
+    """Best energy value with perfect foresight between two storage levels, and the MW of each interval that make it:
+    forward dynamic programme over levels. Of equal ways to a level the one from the lowest level counts; an end that
+    cannot be reached gives way to the nearest one that can, the lower of two."""
+    step, one_way, limit, top = capacity / (levels - 1), np.sqrt(round_trip), power / PER_HOUR, levels - 1
+    level = lambda stored: round(max(0.0, min(capacity, stored)) / step)
+    up, down = int(limit * one_way / step + 1e-9), int(limit / one_way / step + 1e-9)
+    move = np.arange(levels)[None, :] - np.arange(levels)[:, None]  # to column from row
+    grid = np.where(move > 0, -move * step / one_way, -move * step * one_way)
+    grid[(move > up) | (move < -down)] = np.nan
+    value, parents = np.full(levels, -np.inf), []
+    value[level(start)] = 0.0
+    for price in prices:
+        ways = value[:, None] + grid * price
+        ways[np.isnan(ways)] = -np.inf
+        before = ways.argmax(axis=0)  # the first of equal ones
+        parents.append(before)
+        value = ways[before, np.arange(levels)]
+    reached = np.flatnonzero(value > -np.inf)
+    at = int(min(reached, key=lambda k: (abs(k - level(end)), k)))
+    best, mw = float(value[at]), np.zeros(len(prices))
+    for k in range(len(prices) - 1, -1, -1):
+        before = int(parents[k][at])
+        mw[k] = grid[before, at] * PER_HOUR
+        at = before
+    assert 0 <= at <= top
+    return best, mw
+
+
+def _days(series: DataFrame, capacity: DataFrame) -> DataFrame:
+    """Intervals with their asset-day's power and capacity, which may be null."""
+    return series.select("asset", "day", "ts", F.col("rrp").cast("double").alias("rrp"), F.col("storage_mwh").cast("double").alias("storage_mwh"), F.col("energy_value").cast("double").alias("energy_value")).join(capacity.select("asset", "day", "power_mw", "capacity_mwh"), ["asset", "day"], "left")
+
+
+def _solved(rows: pd.DataFrame, levels: int) -> tuple[float | None, np.ndarray]:
+    """A day in time order: a null price counts as zero; storage starts and ends as first and last known, else half full;
+    without power or capacity there is no benchmark."""
+    power, capacity = (float(rows[c].iloc[0]) for c in ("power_mw", "capacity_mwh"))
+    if not (power > 0 and capacity > 0):
+        return None, np.full(len(rows), np.nan)
+    held = rows["storage_mwh"].dropna()
+    start, end = (held.iloc[0], held.iloc[-1]) if len(held) else (capacity / 2, capacity / 2)
+    return benchmark_day(rows["rrp"].fillna(0.0).to_numpy(float), power, capacity, start, end, levels)
+
+
+def opportunity_benchmark(series: DataFrame, capacity: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Per asset and day: n, energy_value, benchmark_value and capture_ratio (null unless the benchmark is above zero).
+    series: asset, day, ts, rrp, storage_mwh, energy_value, one row per interval, so a group holds a day's intervals, 288
+    at most; capacity: asset, day, power_mw, capacity_mwh. Groups are spread over the cluster."""
+    df = _days(series, capacity)
+    kinds = dict(df.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(ts)
-        held = rows[storage].dropna()
-        start, end = (held.iloc[0], held.iloc[-1]) if len(held) else (capacity / 2, capacity / 2)
-        best = benchmark_day(rows[price].to_numpy(float), power, capacity, start, end, levels)
-        value = float(rows["energy_value"].sum())
-        return pd.DataFrame({asset: rows[asset].iloc[:1].to_numpy(), day: rows[day].iloc[:1].to_numpy(), "n": [len(rows)], "energy_value": [value], "benchmark_value": [best], "capture_ratio": [value / best if best > 0 else None]})
-
-    return series.groupBy(asset, day).applyInPandas(run, f"{asset} {kinds[asset]}, {day} {kinds[day]}, n long, energy_value double, benchmark_value double, capture_ratio double")
+        rows = rows.sort_values("ts")
+        best, _ = _solved(rows, levels)
+        value = float(rows["energy_value"].fillna(0.0).sum())
+        return pd.DataFrame({"asset": rows["asset"].iloc[:1].to_numpy(), "day": rows["day"].iloc[:1].to_numpy(), "n": [len(rows)], "energy_value": [value], "benchmark_value": [best], "capture_ratio": [value / best if best is not None and best > 0 else None]})
+
+    return df.groupBy("asset", "day").applyInPandas(run, f"asset {kinds['asset']}, day {kinds['day']}, n long, energy_value double, benchmark_value double, capture_ratio double")
+
+
+def benchmark_schedule(series: DataFrame, capacity: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """Per interval the benchmark's MW (null without one): asset, day, ts, rrp, benchmark_mw. See opportunity_benchmark."""
+    df = _days(series, capacity)
+    kinds = dict(df.dtypes)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts").reset_index(drop=True)
+        return rows[["asset", "day", "ts", "rrp"]].assign(benchmark_mw=_solved(rows, levels)[1])
+
+    return df.groupBy("asset", "day").applyInPandas(run, f"asset {kinds['asset']}, day {kinds['day']}, ts {kinds['ts']}, rrp double, benchmark_mw double")

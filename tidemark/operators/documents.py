@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keys import same_key
+
 
 def decompose_documents(df: DataFrame, user: str, document: str) -> DataFrame:
     """(user, namespace, item, value) of a flat JSON object per user; the part after a key's first dot is the item."""
@@ -21,7 +23,30 @@ def snapshot_sync(stored: DataFrame, incoming: DataFrame, key: list[str], value:
 
 
 def append_new(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    return stored.unionByName(incoming.dropDuplicates(key).join(stored.select(*key), key, "left_anti"))
+    """stored and one row for each key of incoming that it lacks. Null key parts count as equal; rows of incoming that
+    repeat a key are taken to be alike; either side may be empty."""
+    new = incoming.dropDuplicates(key)
+    return stored.unionByName(new.join(stored.select(*key), same_key(new, stored, key), "left_anti"))
+
+
+def replace_day(stored: DataFrame, incoming: DataFrame, days: DataFrame, user: str, day: str) -> DataFrame:
+    """stored with the whole set of each (user, day) of `days` replaced by that of incoming; a day of `days` that incoming
+    has no row for is emptied. Rows of incoming on other days are left out."""
+    touched = days.select(user, day).distinct()
+    return stored.join(touched, same_key(stored, touched, [user, day]), "left_anti").unionByName(incoming.join(touched, same_key(incoming, touched, [user, day]), "left_semi"))
+
+
+def rebuild_documents(tables: dict[str, tuple[DataFrame, str, str]], user: str) -> DataFrame:
+    """(user, document): one JSON object per user with a key per table, each an object of item to value in item order.
+    tables: name -> (rows, item column, value column). A user without rows in a table lacks its key; null items are left
+    out; of rows that repeat an item the greatest value stays. A document holds all rows of its user."""
+    long = None
+    for name, (df, item, value) in tables.items():
+        part = df.where(F.col(item).isNotNull()).select(F.col(user), F.lit(name).alias("namespace"), F.col(item).cast("string").alias("item"), F.col(value).cast("string").alias("value"))
+        long = part if long is None else long.unionByName(part)
+    one = long.groupBy(user, "namespace", "item").agg(F.max("value").alias("value"))
+    spaces = one.groupBy(user, "namespace").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("item", "value")))).alias("items"))
+    return spaces.groupBy(user).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("namespace", F.to_json("items").alias("items")))))).alias("document"))
 
 
 def recent_sessions(df: DataFrame, user: str, at: str, seconds: str, mode: str, modes: list[str], tie: str, k: int = 500) -> DataFrame:

@@ -30,28 +30,56 @@ def newest_wins_merge(stored: DataFrame, incoming: DataFrame, key: list[str], up
 
 
 def plain_upsert(stored: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    return stored.join(incoming.select(*key), key, "left_anti").unionByName(incoming)
+    """stored with the rows of incoming in place of those of the same key, and new ones added. Null key parts count as
+    equal; keys are unique on either side; either side may be empty."""
+    return stored.join(incoming.select(*key), same_key(stored, incoming, key), "left_anti").unionByName(incoming)
+
+
+def superseded(stored: DataFrame, incoming: DataFrame, key: list[str], updated: str) -> DataFrame:
+    """One row: how many incoming rows newest_wins_merge leaves out as older than what is stored, and how many it takes."""
+    held = stored.select(*key, F.col(updated).alias("_held"))
+    stale = F.coalesce(F.col(updated) < F.col("_held"), F.lit(False))
+    return incoming.join(held, same_key(incoming, held, key), "left").agg(F.count_if(stale).alias("superseded"), F.count_if(~stale).alias("kept"))
 
 
 def replace_slice(stored: DataFrame, incoming: DataFrame, slice_cols: list[str]) -> DataFrame:
-    """All of the slices that incoming touches are replaced."""
-    return stored.join(incoming.select(*slice_cols).distinct(), slice_cols, "left_anti").unionByName(incoming)
+    """All of the slices that incoming touches are replaced. Null slice columns count as equal; an empty incoming changes
+    nothing; repeated rows stay."""
+    touched = incoming.select(*slice_cols).distinct()
+    return stored.join(touched, same_key(stored, touched, slice_cols), "left_anti").unionByName(incoming)
 
 
 def orphan_split(df: DataFrame, dim: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key the dimension holds, and the others; a null key part is in no dimension. Repeated rows stay."""
     known = dim.select(*key)
     return df.join(known, key, "left_semi"), df.join(known, key, "left_anti")
 
 
 def null_unknown_fk(df: DataFrame, dim: DataFrame, column: str, dim_key: str) -> DataFrame:
+    """All rows, the column null where the dimension does not hold it. Repeated rows and dimension keys change nothing."""
     known = dim.select(F.col(dim_key).alias("_known")).distinct()
     return df.join(known, df[column] == F.col("_known"), "left").withColumn(column, F.col("_known")).drop("_known")
 
 
 def source_coverage(facts: DataFrame, source: str, day: str) -> DataFrame:
+    """First and last day and number of rows per source; null days count as rows only. An empty table gives no rows."""
     return facts.groupBy(source).agg(F.min(day).alias("earliest"), F.max(day).alias("latest"), F.count("*").alias("rows_stored"))
 
 
+def coverage_margin(coverage: DataFrame, windows: DataFrame, gaps: DataFrame, today: Column, urgent_days: int = 7) -> DataFrame:
+    """How long each source can stay unread before rows leave its window at the publisher.
+
+    coverage: source, earliest, latest; windows: source, direction ('backward' or 'forward') and window_days (null: no
+    end); gaps: source, missing_days. A backward source is behind by today - latest days and loses rows window_days less
+    those from now; a forward one is ahead by latest - today and loses none. urgent: at most `urgent_days` left, or any gap. A source without rows
+    has nulls, and is urgent only by its gaps.
+    """
+    df = windows.join(coverage, "source", "left").join(gaps, "source", "left").withColumn("missing_days", F.coalesce("missing_days", F.lit(0)))
+    back, lag = F.col("direction") == "backward", F.date_diff(today, "latest")
+    out = df.withColumns({"days_behind": F.when(back, lag), "days_ahead": F.when(~back, -lag), "days_until_loss": F.when(back, F.col("window_days") - lag)})
+    return out.withColumn("urgent", F.coalesce(F.col("days_until_loss") <= urgent_days, F.lit(False)) | (F.col("missing_days") > 0))
+
+
 def missing_days(df: DataFrame, day: str) -> DataFrame:
     """Calendar days between the first and the last held that no row has."""
     held = df.select(F.col(day).cast("date").alias("day")).distinct()
@@ -60,10 +88,12 @@ def missing_days(df: DataFrame, day: str) -> DataFrame:
 
 
 def completeness_gate(df: DataFrame, key: str, day: Column, expected: int) -> DataFrame:
-    """Keys and days whose number of rows is not the expected one; days on which others have rows count as zero."""
+    """Keys and days whose number of rows is not the expected one; days on which others have rows count as zero. The grid of
+    keys and days is the result's domain; its sides are distinct values, of which Spark broadcasts the days only under its
+    own threshold."""
     counted = df.groupBy(F.col(key), day.alias("day")).agg(F.count("*").alias("n"))
     days, keys = counted.select("day").distinct(), counted.select(key).distinct()
-    grid = keys.crossJoin(F.broadcast(days))  # every key has every day: that grid is the result's domain
+    grid = keys.crossJoin(days)
     return grid.join(counted, [key, "day"], "left").select(key, "day", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") != expected)
 
 

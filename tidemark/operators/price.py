@@ -78,16 +78,16 @@ def temperature_pairs(df: DataFrame, key: list[str], day: str, price: str, tempe
 
 def fit_betas(pairs: DataFrame, by: list[str], least: int = 40) -> DataFrame:
     """Least squares through the origin of d_price on d_cool and d_heat per group, without prices outside the 2nd to
-    98th percentile; groups of fewer pairs get zeros and a reason; a collinear pair of inputs is fitted singly."""
+    98th percentile; groups of fewer pairs get zeros and a reason. Where the inputs are collinear, cooling alone is fitted if
+    it varies at all, else heating alone."""
     bounds = pairs.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("d_price", 0.02).alias("_lo"), F.percentile("d_price", 0.98).alias("_hi"))
     kept = pairs.join(bounds, by).where(F.col("d_price").between(F.col("_lo"), F.col("_hi")))
     c, h, p = F.col("d_cool"), F.col("d_heat"), F.col("d_price")
     s = kept.groupBy(*by).agg(F.sum(c * c).alias("cc"), F.sum(h * h).alias("hh"), F.sum(c * h).alias("ch"), F.sum(c * p).alias("cp"), F.sum(h * p).alias("hp"), F.max("_n").alias("n_pairs"))
     det = F.col("cc") * F.col("hh") - F.col("ch") * F.col("ch")
-    few, whole = F.col("n_pairs") < least, F.abs(det) > 1e-9
-    one = lambda top, bottom: F.coalesce(F.try_divide(F.col(top), F.col(bottom)), F.lit(0.0))
-    cool = F.when(few, 0.0).when(whole, F.try_divide(F.col("cp") * F.col("hh") - F.col("hp") * F.col("ch"), det)).otherwise(F.when(F.col("cc") >= F.col("hh"), one("cp", "cc")).otherwise(0.0))
-    heat = F.when(few, 0.0).when(whole, F.try_divide(F.col("hp") * F.col("cc") - F.col("cp") * F.col("ch"), det)).otherwise(F.when(F.col("cc") >= F.col("hh"), 0.0).otherwise(one("hp", "hh")))
+    few, whole = F.col("n_pairs") < least, det != 0
+    cool = F.when(few, 0.0).when(whole, F.try_divide(F.col("cp") * F.col("hh") - F.col("hp") * F.col("ch"), det)).when(F.col("cc") != 0, F.try_divide("cp", "cc")).otherwise(0.0)
+    heat = F.when(few, 0.0).when(whole, F.try_divide(F.col("hp") * F.col("cc") - F.col("cp") * F.col("ch"), det)).when((F.col("cc") == 0) & (F.col("hh") != 0), F.try_divide("hp", "hh")).otherwise(0.0)
     return s.select(*by, "n_pairs", cool.alias("beta_cool"), heat.alias("beta_heat"), F.when(few, "too few pairs").alias("reason"))
 
 

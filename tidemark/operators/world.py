@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,25 @@ def effective_count(edges: DataFrame, key: str, value: str) -> DataFrame:
     return edges.where(F.col(value) > 0).withColumn("_s", share).groupBy(key).agg((1 / F.sum(F.col("_s") * F.col("_s"))).alias("effective_count"))
 
 
-def zscores(values: DataFrame, indicator: str, value: str, direction: str) -> DataFrame:
-    """Population z-score per indicator, turned by its direction (1 or -1); zero where nothing varies."""
+def transformed(value: Column, transform: Column) -> Column:
+    """log10 or log1p of the value, or the value itself; null where a logarithm has none."""
+    return F.when(transform == "log10", F.when(value > 0, F.log10(value))).when(transform == "log1p", F.when(value > -1, F.log1p(value))).otherwise(value)
+
+
+def zscores(values: DataFrame, indicator: str, value: str, direction: str, transform: str | None = None, estimated: str | None = None) -> DataFrame:
+    """Population z-score per indicator, turned by its direction (1 or -1), to four places; zero where nothing varies.
+
+    transform: column with log10, log1p or null, applied first. estimated: boolean column; mean and deviation come from
+    the values that are not estimated, or from all where those are under two. A null value has a null score.
+    """
     w = Window.partitionBy(indicator)
-    spread = F.stddev_pop(value).over(w)
-    z = F.when(spread > 1e-12, (F.col(value) - F.avg(value).over(w)) / spread * F.col(direction)).otherwise(0.0)
-    return values.withColumn("z", F.round(z, 4))
+    x = transformed(F.col(value), F.col(transform)) if transform else F.col(value)
+    real = F.when(~F.coalesce(F.col(estimated), F.lit(False)), x) if estimated else x
+    used = F.when(F.count(real).over(w) >= 2, real).otherwise(x)
+    df = values.withColumn("_x", x).withColumn("_u", used)
+    spread = F.stddev_pop("_u").over(w)
+    z = F.when(spread > 1e-12, (F.col("_x") - F.avg("_u").over(w)) / spread * F.col(direction)).when(F.col("_x").isNotNull(), 0.0)
+    return df.withColumn("z", F.round(z, 4)).drop("_x", "_u")
 
 
 def pillar_scores(z: DataFrame, country: str, pillar: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import accounts, archetypes, health
 from ..operators.standing import BANDS, RUNWAY
 from . import frames
-from .queries import query, rounded
+from .queries import as_text, query, rounded
 
 TODAY = "DATE '1999-01-01'"
 
@@ -265,3 +265,7 @@ def a32_cluster_accounts(spark, sf_dir):
 def a33_archetype_profiles(spark, sf_dir):
     clusters, centres = archetypes.cluster_accounts(archetypes.robust_scale(features(spark, sf_dir)))
     return archetypes.archetype_profiles(clusters, centres, health.signal_compass(book(spark, sf_dir), today()).select("account_id", "current_arr", "score", "band"))
+
+
+for _name in ("a9_arr_series", "a11_health_trend"):
+    as_text(_name, ("month",))

@@ -14,12 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily series: a region per return flag and line status."""
+    """Daily series: a region per return flag and line status. Prices are summed in whole cents, so that the mean is the
+    same double in whatever order rows come."""
     line = table(spark, sf_dir, "lineitem")
-    return line.groupBy(F.concat("l_returnflag", "l_linestatus").alias("region"), F.to_date("l_shipdate").alias("day")).agg((F.avg("l_extendedprice") / 100 - 300).alias("rrp"), F.sum("l_quantity").alias("demand"))
+    return line.groupBy(F.concat("l_returnflag", "l_linestatus").alias("region"), F.to_date("l_shipdate").alias("day")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double") / F.count("l_extendedprice") / 10000 - 300).alias("rrp"), F.sum("l_quantity").alias("demand"))
 
 
-PRICES = "SELECT l_returnflag || l_linestatus AS region, CAST(l_shipdate AS DATE) AS day, avg(l_extendedprice) / 100 - 300 AS rrp, sum(l_quantity) AS demand FROM lineitem GROUP BY 1, 2"
+PRICES = "SELECT l_returnflag || l_linestatus AS region, CAST(l_shipdate AS DATE) AS day, sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(l_extendedprice) / 10000 - 300 AS rrp, sum(l_quantity) AS demand FROM lineitem GROUP BY 1, 2"
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +63,10 @@ def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings of a unit (user), with the price of its region (event type) taken from the reading itself."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("double")
-    return e.select("event_id", F.concat(F.lit("U"), (F.col("user_id") % 20).cast("string")).alias("asset"), F.col("event_type").alias("region"), "ts", F.to_date(F.col("ts") - F.expr("interval 1 microsecond")).alias("day"), (F.col("value") - 50).alias("mw"), (k - 20).alias("rrp"), k.alias("storage"))
+    return e.select("event_id", F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("asset"), F.col("event_type").alias("region"), "ts", F.to_date(F.col("ts") - F.expr("interval 1 microsecond")).alias("day"), (F.col("value") - 50).alias("mw"), (k - 20).alias("rrp"), k.alias("storage"))
 
 
-DISPATCH = """SELECT event_id, 'U' || (user_id % 20) AS asset, event_type AS region, ts, CAST(ts - INTERVAL 1 MICROSECOND AS DATE) AS day, value - 50 AS mw,
+DISPATCH = """SELECT event_id, 'U' || user_id AS asset, event_type AS region, ts, CAST(ts - INTERVAL 1 MICROSECOND AS DATE) AS day, value - 50 AS mw,
     CAST(json_extract_string(props, '$.k') AS DOUBLE) - 20 AS rrp, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS storage FROM events"""
 VALUED = f"""SELECT *, mw / 12 AS energy_mwh, greatest(0.0, -mw / 12) AS charge_mwh, greatest(0.0, mw / 12) AS discharge_mwh, coalesce(greatest(0.0, -mw / 12) * rrp, 0.0) AS charging_cost,
     coalesce(greatest(0.0, mw / 12) * rrp, 0.0) AS discharge_value, coalesce(mw / 12 * rrp, 0.0) AS energy_value FROM ({DISPATCH})"""

@@ -123,8 +123,8 @@ PAIRS = f"""SELECT p.region, p.day, greatest(0.0, p.demand / 10 - 18) - greatest
 
 @query(f"""WITH pairs AS ({PAIRS}), b AS (SELECT region, count(*) AS n, quantile_cont(p, 0.02) AS lo, quantile_cont(p, 0.98) AS hi FROM pairs GROUP BY 1),
 s AS (SELECT region, max(n) AS n_pairs, sum(c * c) AS cc, sum(h * h) AS hh, sum(c * h) AS ch, sum(c * p) AS cp, sum(h * p) AS hp FROM pairs JOIN b USING (region) WHERE p BETWEEN lo AND hi GROUP BY 1)
-SELECT region, n_pairs, round(CASE WHEN n_pairs < 40 THEN 0 WHEN abs(cc * hh - ch * ch) > 1e-9 THEN (cp * hh - hp * ch) / (cc * hh - ch * ch) WHEN cc >= hh THEN coalesce(cp / nullif(cc, 0), 0) ELSE 0 END, 4) AS beta_cool,
-    round(CASE WHEN n_pairs < 40 THEN 0 WHEN abs(cc * hh - ch * ch) > 1e-9 THEN (hp * cc - cp * ch) / (cc * hh - ch * ch) WHEN cc >= hh THEN 0 ELSE coalesce(hp / nullif(hh, 0), 0) END, 4) AS beta_heat, CASE WHEN n_pairs < 40 THEN 'too few pairs' END AS reason FROM s""")
+SELECT region, n_pairs, round(CASE WHEN n_pairs < 40 THEN 0 WHEN cc * hh - ch * ch <> 0 THEN (cp * hh - hp * ch) / (cc * hh - ch * ch) WHEN cc <> 0 THEN cp / cc ELSE 0 END, 4) AS beta_cool,
+    round(CASE WHEN n_pairs < 40 THEN 0 WHEN cc * hh - ch * ch <> 0 THEN (hp * cc - cp * ch) / (cc * hh - ch * ch) WHEN cc = 0 AND hh <> 0 THEN hp / hh ELSE 0 END, 4) AS beta_heat, CASE WHEN n_pairs < 40 THEN 'too few pairs' END AS reason FROM s""")
 def p15_fit_betas(spark, sf_dir):
     p = frames.prices(spark, sf_dir).withColumn("t", F.col("demand") / 10)
     return rounded(price.fit_betas(price.temperature_pairs(p, ["region"], "day", "rrp", "t"), ["region"]), 4)
@@ -278,20 +278,17 @@ def b7_top_value_share(spark, sf_dir):
     return rounded(battery.top_value_share(valued(spark, sf_dir), "asset", "day", ["ts", "event_id"]))
 
 
-@query(None)
-def b9_opportunity_benchmark(spark, sf_dir):
-    return battery.opportunity_benchmark(valued(spark, sf_dir), "asset", "day", "ts", "rrp", "storage", power=60.0, capacity=120.0, levels=61)
-
-
 # Generation
 
-GENERATION = """SELECT CAST(ts - INTERVAL 1 MICROSECOND AS DATE) AS day, event_type AS state, CASE user_id % 4 WHEN 0 THEN 'Solar' WHEN 1 THEN 'Wind' WHEN 2 THEN 'Black coal' ELSE 'Gas' END AS fuel, sum(greatest(value - 10, 0) / 12) AS mwh
+GENERATION = """SELECT CAST(ts - INTERVAL 1 MICROSECOND AS DATE) AS day, event_type AS state, (['Solar', 'Wind', 'Black coal', 'Gas', 'Liquid Fuel', 'Battery', 'Biomass', 'Other'])[user_id % 8 + 1] AS fuel, sum(greatest(value - 10, 0) / 12) AS mwh
     FROM (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 GROUP BY 1, 2, 3"""
+#: Technology, detail and gas turbine fuel of a unit by its number.
+UNITS = (("Solar PV", "Fixed", ""), (" wind ", "Onshore", None), ("Coal", "Black", ""), ("Gas turbine", "CCGT", "Natural gas pipeline"), ("Gas Turbine", "", "Diesel"), ("Battery Storage", "", ""), ("Steam", "", "Landfill methane"), ("Run of river", None, ""))
 
 
 def generation(spark, sf_dir):
-    u = F.col("user_id") % 4
-    label = fuel.classify_fuel(F.when(u == 0, "Solar PV").when(u == 1, "Wind - onshore").otherwise("Steam"), F.when(u == 2, "Black Coal").when(u == 3, "Natural gas pipeline"))
+    unit = lambda k: F.get(F.array(*[F.lit(u[k]) for u in UNITS]), (F.col("user_id") % 8).cast("int"))
+    label = fuel.classify_fuel(unit(0), unit(1), unit(2))
     e = frames.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", (F.col("value") - 10).alias("mw"), F.col("event_type").alias("state"), label.alias("fuel"))
     return fuel.daily_generation(e, "user_id", "ts", "mw", operating_day(F.col("ts")), ["state", "fuel"], "event_id")
 
@@ -307,7 +304,7 @@ def f5_fuel_mix(spark, sf_dir):
     return rounded(fuel.fuel_mix(generation(spark, sf_dir), "day", "state", "fuel"))
 
 
-@query(f"""WITH g AS (SELECT day, state, sum(CASE WHEN fuel IN ('Solar', 'Wind') THEN mwh ELSE 0 END) AS renewable, sum(CASE WHEN fuel IN ('Black coal', 'Gas') THEN mwh ELSE 0 END) AS fossil FROM ({GENERATION}) GROUP BY 1, 2)
+@query(f"""WITH g AS (SELECT day, state, sum(CASE WHEN fuel IN ('Solar', 'Wind', 'Biomass') THEN mwh ELSE 0 END) AS renewable, sum(CASE WHEN fuel IN ('Black coal', 'Gas', 'Liquid Fuel', 'Other') THEN mwh ELSE 0 END) AS fossil FROM ({GENERATION}) WHERE fuel <> 'Battery' AND day > (SELECT max(day) FROM ({GENERATION})) - 92 GROUP BY 1, 2)
 SELECT day, state, round(renewable, 6) AS renewable, round(fossil, 6) AS fossil FROM (SELECT * FROM g UNION ALL SELECT day, 'ALL', sum(renewable), sum(fossil) FROM g GROUP BY 1)""")
 def f6_renewable_trend(spark, sf_dir):
     return rounded(fuel.renewable_trend(generation(spark, sf_dir), "day", "state", "fuel"))
@@ -347,20 +344,20 @@ def w4_effective_count(spark, sf_dir):
     return rounded(world.effective_count(frames.exports(spark, sf_dir), "country", "value"), 4)
 
 
-@query(f"""SELECT country, partner, round(value, 2) AS value, round(share, 2) AS share, rank FROM (SELECT *, value / sum(value) OVER (PARTITION BY country) AS share, row_number() OVER (PARTITION BY country ORDER BY value DESC, partner)::INT AS rank FROM ({frames.EXPORTS})) WHERE rank <= 6""")
+@query(f"""SELECT country, partner, round(value, 2) AS value, round(share, 5) AS share, rank FROM (SELECT *, value / sum(value) OVER (PARTITION BY country) AS share, row_number() OVER (PARTITION BY country ORDER BY value DESC, partner)::INT AS rank FROM ({frames.EXPORTS})) WHERE rank <= 6""")
 def w14_trade_links(spark, sf_dir):
-    return rounded(world.trade_links(frames.exports(spark, sf_dir), "country", "partner", "value"), 2)
+    return world.trade_links(frames.exports(spark, sf_dir), "country", "partner", "value").withColumns({"value": F.round("value", 2), "share": F.round("share", 5)})
 
 
 INDICATORS = """SELECT c_nationkey AS country, 'balance' AS indicator, 1 AS direction, avg(c_acctbal) AS value FROM customer GROUP BY 1 UNION ALL SELECT s_nationkey, 'suppliers', -1, count(*) FROM supplier GROUP BY 1"""
 
 
-@query(f"""SELECT country, indicator, round(value, 6) AS value, round(CASE WHEN sp > 1e-12 THEN (value - m) / sp * direction ELSE 0 END, 4) AS z FROM (SELECT *, stddev_pop(value) OVER (PARTITION BY indicator) AS sp, avg(value) OVER (PARTITION BY indicator) AS m FROM ({INDICATORS}))""")
+@query(f"""SELECT country, indicator, round(value, 3) AS value, round(CASE WHEN sp > 1e-12 THEN (value - m) / sp * direction ELSE 0 END, 4) + 0.0 AS z FROM (SELECT *, stddev_pop(value) OVER (PARTITION BY indicator) AS sp, avg(value) OVER (PARTITION BY indicator) AS m FROM ({INDICATORS}))""")
 def w11_zscores(spark, sf_dir):
     a = frames.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("country")).agg(F.avg("c_acctbal").alias("value")).select("country", F.lit("balance").alias("indicator"), F.lit(1).alias("direction"), "value")
     b = frames.table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("country")).agg(F.count("*").cast("double").alias("value")).select("country", F.lit("suppliers").alias("indicator"), F.lit(-1).alias("direction"), "value")
     z = world.zscores(a.unionByName(b), "indicator", "value", "direction").select("country", "indicator", "value", "z")
-    return z.withColumn("value", F.round("value", 3))
+    return z.withColumns({"value": F.round("value", 3), "z": F.col("z") + F.lit(0.0)})
 
 
 # Documents
@@ -383,7 +380,7 @@ AS_TEXT = {
     "p1_half_hour_rollup": ("interval_end",), "p7_market_aggregate": ("day",), "p12_seasonal_naive": ("day",), "p13_rolling_median": ("day",),
     "g4_day_picture": ("gas_date",), "g6_capacity_in_force": ("gas_date", "effective_date"), "g8_pipeline_utilisation": ("gas_date",), "g10_seasonal_reference": ("gas_date",), "g12_drop_implausible": ("gas_date",),
     "g13_flow_edges": ("gas_date",), "g18_seasonal_percentile": ("gas_date",), "g22_demand_composition": ("gas_date",), "g24_constraint_outlook": ("gas_date",),
-    "b6_daily_summary": ("day",), "b7_top_value_share": ("day",), "b9_opportunity_benchmark": ("day",), "f3_daily_generation": ("day",), "f6_renewable_trend": ("day",),
+    "b6_daily_summary": ("day",), "b7_top_value_share": ("day",), "f3_daily_generation": ("day",), "f6_renewable_trend": ("day",),
     "a10_concentration_series": ("month",), "a12_arr_movement": ("month",),
 }
 

@@ -119,11 +119,11 @@ def p28_forecast_vs_actual(spark, sf_dir):
     return rounded(reviews.forecast_vs_actual(both, p, ["region", "day"], "model", ["naive", "median"], "rrp"))
 
 
-@query(f"SELECT model, region, origin, day, round(predicted + 1e-9, 6) AS predicted, round(rrp + 1e-9, 6) AS actual, (day - origin)::INT AS horizon_days, round(predicted - rrp + 1e-9, 6) + 0.0 AS error FROM ({POINTS}) LEFT JOIN (SELECT region, day, rrp FROM ({frames.PRICES})) USING (region, day)")
+@query(f"SELECT model, region, origin, day, predicted, rrp AS actual, (day - origin)::INT AS horizon_days, predicted - rrp AS error FROM ({POINTS}) LEFT JOIN (SELECT region, day, rrp FROM ({frames.PRICES})) USING (region, day)")
 def p31_forecast_errors(spark, sf_dir):
     p, both = points(spark, sf_dir)
     errors = reviews.forecast_errors(both, p, ["region", "day"], "origin", "day", "rrp")
-    return rounded(errors.withColumns({c: F.col(c) + 1e-9 for c in ("predicted", "actual", "error")}))  # halves go one way in either engine
+    return errors  # the same doubles in either engine
 
 
 # Networks
