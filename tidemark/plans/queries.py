@@ -96,25 +96,25 @@ def p6_demand_shares(spark, sf_dir):
     return rounded(price.demand_shares(frames.prices(spark, sf_dir), "region", "demand"), 4)
 
 
-@query(f"SELECT 'ALL' AS region, day, round(sum(rrp * demand) / sum(demand), 6) AS rrp, round(sum(demand), 6) AS demand FROM ({frames.PRICES}) GROUP BY 2")
+@query(f"SELECT 'ALL' AS region, day, round(sum(rrp * demand) / sum(demand), 5) AS rrp, sum(demand) AS demand FROM ({frames.PRICES}) GROUP BY 2")
 def p7_market_aggregate(spark, sf_dir):
-    return rounded(price.market_aggregate(frames.prices(spark, sf_dir), "region", "day", "rrp", "demand"))
+    return rounded(price.market_aggregate(frames.prices(spark, sf_dir), "region", "day", "rrp", "demand"), 5)
 
 
 NAIVE = f"SELECT p.region, p.day, greatest(-1000.0, q.rrp) AS predicted FROM ({frames.PRICES}) p JOIN ({frames.PRICES}) q ON p.region = q.region AND p.day = q.day + 7"
 MEDIAN = f"SELECT p.region, p.day, greatest(-1000.0, median(q.rrp)) AS predicted FROM ({frames.PRICES}) p JOIN ({frames.PRICES}) q ON p.region = q.region AND p.day - q.day IN (7, 14, 21, 28) GROUP BY 1, 2"
 
 
-@query(f"SELECT region, day, round(predicted, 6) AS predicted FROM ({NAIVE})")
+@query(f"SELECT region, day, predicted FROM ({NAIVE})")
 def p12_seasonal_naive(spark, sf_dir):
     p = frames.prices(spark, sf_dir)
-    return rounded(price.seasonal_naive(p, p.select("region", "day"), ["region"], "day", "rrp"))
+    return price.seasonal_naive(p, p.select("region", "day"), ["region"], "day", "rrp")
 
 
-@query(f"SELECT region, day, round(predicted, 6) AS predicted FROM ({MEDIAN})")
+@query(f"SELECT region, day, predicted FROM ({MEDIAN})")
 def p13_rolling_median(spark, sf_dir):
     p = frames.prices(spark, sf_dir)
-    return rounded(price.rolling_median(p, p.select("region", "day"), ["region"], "day", "rrp"))
+    return price.rolling_median(p, p.select("region", "day"), ["region"], "day", "rrp")
 
 
 PAIRS = f"""SELECT p.region, p.day, greatest(0.0, p.demand / 10 - 18) - greatest(0.0, q.demand / 10 - 18) AS c, greatest(0.0, 18 - p.demand / 10) - greatest(0.0, 18 - q.demand / 10) AS h, p.rrp - q.rrp AS p

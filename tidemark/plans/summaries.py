@@ -113,10 +113,10 @@ def p25_model_ranking(spark, sf_dir):
 
 
 @query(f"""WITH w AS (SELECT region, day, max(CASE WHEN model = 'naive' THEN predicted END) AS naive, max(CASE WHEN model = 'median' THEN predicted END) AS median FROM ({POINTS}) GROUP BY 1, 2)
-SELECT region, day, round(naive, 6) AS naive, round(median, 6) AS median, round(rrp, 6) AS actual FROM w FULL JOIN ({frames.PRICES}) USING (region, day)""")
+SELECT region, day, naive, median, rrp AS actual FROM w FULL JOIN ({frames.PRICES}) USING (region, day)""")
 def p28_forecast_vs_actual(spark, sf_dir):
     p, both = points(spark, sf_dir)
-    return rounded(reviews.forecast_vs_actual(both, p, ["region", "day"], "model", ["naive", "median"], "rrp"))
+    return reviews.forecast_vs_actual(both, p, ["region", "day"], "model", ["naive", "median"], "rrp")
 
 
 @query(f"SELECT model, region, origin, day, predicted, rrp AS actual, (day - origin)::INT AS horizon_days, predicted - rrp AS error FROM ({POINTS}) LEFT JOIN (SELECT region, day, rrp FROM ({frames.PRICES})) USING (region, day)")
