@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Bands by the hour in which an interval starts.
-BANDS = (("overnight", 0), ("morning", 6), ("midday", 10), ("afternoon", 15), ("evening", 17), ("late", 21))
+BANDS = (("overnight", 0), ("morning", 6), ("midday", 9), ("afternoon", 15), ("evening", 17), ("late", 21))
 EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 

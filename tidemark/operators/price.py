@@ -98,7 +98,10 @@ def headline_stats(df: DataFrame, region: str, day: str, price: str, demand: str
     return rows.groupBy(region).agg(F.avg(price).alias("avg_price"), F.min(price).alias("min_price"), F.max(price).alias("max_price"), F.count("*").alias("n"), (100 * F.avg((F.col(price) < 0).cast("int"))).alias("pct_negative"), F.max(demand).alias("peak_demand"))
 
 
-def daily_history(df: DataFrame, key: list[str], ts: str, price: str) -> DataFrame:
-    """By the date of the interval's end: midnight belongs to the day that it starts."""
-    return df.groupBy(*key, F.to_date(ts).alias("day")).agg(F.avg(price).alias("avg_price"), F.min(price).alias("min_price"), F.max(price).alias("max_price"))
-
+def daily_history(df: DataFrame, key: list[str], ts: str, price: str, days: int | None = None) -> DataFrame:
+    """By the date of the interval's end: midnight belongs to the day that it starts. With days, the last so many days up to
+    the newest of the whole frame."""
+    each = df.groupBy(*key, F.to_date(ts).alias("day")).agg(F.avg(price).alias("avg_price"), F.min(price).alias("min_price"), F.max(price).alias("max_price"))
+    if days is None:
+        return each
+    return each.crossJoin(F.broadcast(df.agg(F.max(F.to_date(ts)).alias("_last")))).where(F.col("day") > F.date_sub("_last", days)).drop("_last")  # one row
