@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Forms of dates and times by source, first one that fits wins.
+DAILY_FORMATS = ["yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm", "yyyy/MM/dd", "dd MMM yyyy HH:mm:ss", "dd MMM yyyy", "dd-MM-yyyy", "yyyy-MM-dd"]
+PRICE_FORMATS = ["yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm"]
+DISPATCH_FORMATS = ["yyyy/MM/dd HH:mm:ss"]
+UPLOAD_FORMATS = ["dd/MM/yyyy HH:mm", "dd/MM/yyyy hh:mm a", "dd/MM/yyyy hh:mma"]
+
 
 def multi_format_timestamp(value: Column, formats: list[str]) -> Column:
     """The first format that fits, else null."""
