@@ -31,6 +31,15 @@ def pipeline_utilisation(flows: DataFrame, in_force: DataFrame, facility: str, d
     return summed.join(in_force.select(facility, day, "capacity"), [facility, day], "left").select(facility, day, "received", "delivered", rated.alias("capacity"), used.alias("utilisation_pct"), F.coalesce(used > 100, F.lit(False)).alias("denominator_suspect"))
 
 
+def utilisation_summary(used: DataFrame, day: str, facility: str) -> DataFrame:
+    """Per day of pipeline_utilisation's rows: rated and suspect pipelines, those at 90 and at 70 percent or more, and the
+    busiest one; suspect denominators count in none of the latter. Ties go to the lower number; days without rated
+    pipelines have zeros and nulls."""
+    pct = F.when(~F.col("denominator_suspect"), F.col("utilisation_pct"))
+    best = F.max_by(F.col(facility), F.when(pct.isNotNull(), F.struct(pct, -F.col(facility))))
+    return used.groupBy(day).agg(F.count("capacity").alias("rated"), F.count_if("denominator_suspect").alias("suspect"), F.count_if(pct >= 90).alias("at_90"), F.count_if(pct >= 70).alias("at_70"), best.alias("busiest"), F.max(pct).alias("busiest_pct"))
+
+
 def day_picture(flows: DataFrame, day: str, kind: str, facility: str) -> DataFrame:
     """End-use demand per day and type: total, facilities, share of the day."""
     summed = flows.where(F.col(kind).isin(*END_USE)).groupBy(day, kind).agg(F.sum("demand").alias("demand"), F.count_distinct(facility).alias("n_facilities"))
@@ -38,6 +47,7 @@ def day_picture(flows: DataFrame, day: str, kind: str, facility: str) -> DataFra
 
 
 def storage_totals(flows: DataFrame, day: str, held: str, facility: str) -> DataFrame:
+    """Total held and reporting facilities per day; null holdings report nothing."""
     return flows.where(F.col(held).isNotNull()).groupBy(day).agg(F.sum(held).alias("held"), F.count_distinct(facility).alias("n_reporting"))
 
 
@@ -74,22 +84,24 @@ def drop_implausible(held: DataFrame, facility: str, day: str, value: str, share
 
 def flow_edges(flows: DataFrame, facility: str, day: str, place: str, least: float = LEAST_EDGE) -> DataFrame:
     """Receipts allotted to deliveries at other places in proportion; parts under `least` go before they are summed by
-    source and destination. An edge is inferred if a pipeline had several receipts and several deliveries."""
+    source and destination, with the pipelines' numbers in order. An edge is inferred if a pipeline had several receipts and
+    several deliveries. Null places and volumes make no edge."""
     at = flows.groupBy(day, facility, place).agg(F.sum(F.col("supply") + F.col("transfer_in")).alias("r"), F.sum(F.col("demand") + F.col("transfer_out")).alias("d"))
     of = Window.partitionBy(day, facility)
     receipts = at.where("r > 0").withColumn("n_r", F.count("*").over(of)).select(day, facility, F.col(place).alias("src"), "r", "n_r")
     deliveries = at.where("d > 0").withColumns({"n_d": F.count("*").over(of), "all_d": F.sum("d").over(of)}).select(day, facility, F.col(place).alias("dst"), "d", "n_d", "all_d")
     pairs = receipts.join(deliveries, [day, facility]).where("src <> dst").withColumn("volume", F.col("r") * F.col("d") / F.col("all_d")).where(F.col("volume") >= least)
-    return pairs.groupBy(day, "src", "dst").agg(F.sum("volume").alias("volume"), F.count_distinct(facility).alias("n_pipelines"), F.bool_or((F.col("n_r") > 1) & (F.col("n_d") > 1)).alias("inferred"))
+    return pairs.groupBy(day, "src", "dst").agg(F.sum("volume").alias("volume"), F.count_distinct(facility).alias("n_pipelines"), F.array_sort(F.collect_set(facility)).alias("pipelines"), F.bool_or((F.col("n_r") > 1) & (F.col("n_d") > 1)).alias("inferred"))
 
 
 def net_opposing_edges(edges: DataFrame, by: list[str]) -> DataFrame:
-    """Edges both ways become one in the direction of the larger, with the difference as its net volume."""
+    """Edges both ways become one in the direction of the larger, with the difference as its net volume; the pipelines of
+    both are named together."""
     ahead = F.sum(F.when(F.col("src") <= F.col("dst"), F.col("volume")).otherwise(0.0))
     back = F.sum(F.when(F.col("src") > F.col("dst"), F.col("volume")).otherwise(0.0))
-    both = edges.groupBy(*by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(ahead.alias("ab"), back.alias("ba"), F.bool_or("inferred").alias("inferred"))
+    both = edges.groupBy(*by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(ahead.alias("ab"), back.alias("ba"), F.bool_or("inferred").alias("inferred"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pipelines")))).alias("pipelines"))
     forward = F.col("ab") >= F.col("ba")
-    return both.select(*by, F.when(forward, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("dst"), F.abs(F.col("ab") - F.col("ba")).alias("net"), F.greatest("ab", "ba").alias("gross"), F.least("ab", "ba").alias("counterflow"), "inferred")
+    return both.select(*by, F.when(forward, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(forward, F.col("b")).otherwise(F.col("a")).alias("dst"), F.abs(F.col("ab") - F.col("ba")).alias("net"), F.greatest("ab", "ba").alias("gross"), F.least("ab", "ba").alias("counterflow"), "inferred", "pipelines")
 
 
 def seasonal_percentile(series: DataFrame, day: str, value: str, reach: int = 7) -> DataFrame:
@@ -118,6 +130,31 @@ def demand_composition(flows: DataFrame, day: str, kind: str) -> DataFrame:
     return flows.where(F.col(kind).isin(*END_USE)).groupBy(day).agg(*[F.sum(F.when(F.col(kind) == k, F.col("demand")).otherwise(0.0)).alias(k.lower()) for k in END_USE])
 
 
+def demand_matrix(flows: DataFrame, day: str, kind: str, days: int = 365) -> DataFrame:
+    """(day, kind, demand) for every day held of the last `days` and every end use that occurs in them, in fixed order by
+    `place`; zero where a day lacks one. The kinds are at most four rows."""
+    last = flows.agg(F.date_sub(F.max(day), days).alias("_from"))  # one row
+    held = flows.crossJoin(F.broadcast(last)).where(F.col(day) > F.col("_from"))
+    used = held.where(F.col(kind).isin(*END_USE)).groupBy(day, kind).agg(F.sum("demand").alias("demand"))
+    place = F.array_position(F.array(*map(F.lit, END_USE)), F.col(kind)).cast("int")
+    grid = held.select(day).distinct().crossJoin(F.broadcast(used.select(kind).distinct()))
+    return grid.join(used, [day, kind], "left").select(day, kind, F.coalesce("demand", F.lit(0.0)).alias("demand"), place.alias("place"))
+
+
+def constraint_grid(flags: DataFrame, facility: str, day: str, flag: str, days: int = 180) -> DataFrame:
+    """(facility, day, flag) of every facility ever AMBER or RED in the last `days` days, for every day that has any flag;
+    blank where the facility has none. One flag per facility and day."""
+    last = flags.agg(F.date_sub(F.max(day), days).alias("_from"))  # one row
+    held = flags.crossJoin(F.broadcast(last)).where(F.col(day) > F.col("_from")).select(facility, day, flag)
+    ever = held.where(F.col(flag).isin("AMBER", "RED")).select(facility).distinct()
+    return ever.crossJoin(held.select(day).distinct()).join(held, [facility, day], "left").select(facility, day, F.coalesce(flag, F.lit("")).alias(flag))
+
+
+def constraint_totals(flags: DataFrame, facility: str, day: str, flag: str) -> DataFrame:
+    """Constrained and assessed facilities per day."""
+    return flags.groupBy(day).agg(F.count_distinct(F.when(F.col(flag).isin("AMBER", "RED"), F.col(facility))).alias("constrained"), F.count_distinct(facility).alias("assessed"))
+
+
 def constraint_history(flags: DataFrame, facility: str, day: str, flag: str) -> DataFrame:
     """Facilities ever AMBER or RED: constrained and assessed days, their share, chronic from two thirds on."""
     bad = F.col(flag).isin("AMBER", "RED")
@@ -126,11 +163,13 @@ def constraint_history(flags: DataFrame, facility: str, day: str, flag: str) ->
     return counted.where("constrained_days > 0").withColumn("share", share).withColumn("chronic", F.col("share") >= CHRONIC)
 
 
-def constraint_outlook(flags: DataFrame, facility: str, day: str, flag: str, today: str) -> DataFrame:
-    """Assessed and flagged facilities per day; days after today end before the first that assesses under half of the
-    largest number that a day after today does."""
-    daily = flags.groupBy(day).agg(F.count_distinct(facility).alias("assessed"), *[F.count_if(F.col(flag) == f).alias(f.lower()) for f in ("GREEN", "AMBER", "RED")])
-    ahead = F.col(day) > F.lit(today).cast("date")
-    most = daily.where(ahead).agg(F.max("assessed").alias("_most"))
-    thin = daily.crossJoin(F.broadcast(most)).where(ahead & (F.col("assessed") < F.col("_most") / 2)).agg(F.min(day).alias("_stop"))
-    return daily.crossJoin(F.broadcast(thin)).where(F.col("_stop").isNull() | (F.col(day) < F.col("_stop"))).drop("_stop")
+def constraint_outlook(flags: DataFrame, facility: str, day: str, flag: str, today: str, trailing: int | None = None) -> DataFrame:
+    """Assessed and flagged facilities per day, the constrained ones by number, and whether the day lies before today. Days
+    from today on end before the first that assesses under half of the largest number that any of them does; earlier days
+    are observed and stay, the last `trailing` of them if given. One flag per facility and day."""
+    now = F.lit(today).cast("date")
+    held = flags if trailing is None else flags.where(F.col(day) >= F.date_sub(now, trailing))
+    daily = held.groupBy(day).agg(F.count_distinct(facility).alias("assessed"), *[F.count_if(F.col(flag) == f).alias(f.lower()) for f in ("GREEN", "AMBER", "RED")], F.array_sort(F.collect_set(F.when(F.col(flag).isin("AMBER", "RED"), F.col(facility)))).alias("constrained")).withColumn("observed", F.col(day) < now)
+    most = daily.where(~F.col("observed")).agg(F.max("assessed").alias("_most"))
+    thin = daily.crossJoin(F.broadcast(most)).where(~F.col("observed") & (F.col("assessed") < F.col("_most") / 2)).agg(F.min(day).alias("_stop"))
+    return daily.crossJoin(F.broadcast(thin)).where(F.col("_stop").isNull() | (F.col(day) < F.col("_stop"))).drop("_stop")  # one row

@@ -12,6 +12,7 @@ EXPORT, EXPANSION, LEGEND_QUANTILES, LEGEND_STEP = "LNG", "2023-03-15", (0.25, 0
 
 
 def latest_day(flows: DataFrame, day: str) -> DataFrame:
+    """One row with the newest day held; null without rows."""
     return flows.agg(F.max(day).alias("latest"))
 
 
@@ -39,6 +40,11 @@ def edge_export_split(edges: DataFrame, flows: DataFrame, day: str, place: str,
     return marked.withColumn("peak", F.max(volume).over(Window.partitionBy(day, "export")))
 
 
+def unplaced_nodes(nodes: DataFrame, locations: DataFrame, place: str) -> DataFrame:
+    """Distinct places of nodes that no location is held for; null places are not listed."""
+    return nodes.where(F.col(place).isNotNull()).select(place).distinct().join(locations.select(place), place, "left_anti")
+
+
 def legend_examples(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Distinct positive quantiles of each group's values, to the nearest step (half to even)."""
     found = values.groupBy(*by).agg(F.percentile(value, list(LEGEND_QUANTILES)).alias("_q")).select(*by, F.explode("_q").alias("_v"))

@@ -32,13 +32,15 @@ def forecast_errors(points: DataFrame, actuals: DataFrame, on: list[str], origin
     return joined.withColumns({"horizon_days": F.date_diff(day, origin), "error": F.col("predicted") - F.col("actual")})
 
 
-def performance_summary(scores: DataFrame, region: str, model: str, origin: str, baseline: str) -> DataFrame:
+def performance_summary(scores: DataFrame, region: str, model: str, origin: str, baseline: str, safe: str | None = None) -> DataFrame:
     """Per region and model, over all scored origins: weeks, mean errors, the worst one, skill from the mean errors, and
-    beside them the newest origin of the region and its error."""
+    beside them the newest origin of the region and its error. With safe, a boolean column, also whether all origins are
+    leakage-safe."""
+    more = [F.bool_and(safe).alias("leakage_safe")] if safe else []
     newest = F.max(origin).over(Window.partitionBy(region))
     all_weeks = scores.withColumn("_newest", newest).groupBy(region, model).agg(
         F.count_distinct(origin).alias("weeks"), F.avg("mae").alias("avg_mae"), F.avg("median_ae").alias("avg_median_ae"), F.max("max_ae").alias("worst_error"),
-        F.max("_newest").alias("last_origin"), F.max(F.when(F.col(origin) == F.col("_newest"), F.col("mae"))).alias("last_mae"),
+        F.max("_newest").alias("last_origin"), F.max(F.when(F.col(origin) == F.col("_newest"), F.col("mae"))).alias("last_mae"), *more,
     )
     base = F.max(F.when(F.col(model) == baseline, F.col("avg_mae"))).over(Window.partitionBy(region))
     return all_weeks.withColumn("avg_skill", 1 - F.try_divide(F.col("avg_mae"), base))
@@ -56,7 +58,15 @@ def forecast_vs_actual(points: DataFrame, actuals: DataFrame, on: list[str], mod
     return wide.join(actuals.select(*on, F.col(actual).alias("actual")), on, "full")
 
 
+def forecast_progress(points: DataFrame, actuals: DataFrame, on: list[str], by: list[str], actual: str) -> DataFrame:
+    """Per run: intervals forecast, those settled, and whether all are. Repeated points of several models count once."""
+    asked = points.select(*by, *[c for c in on if c not in by]).distinct()
+    settled = asked.join(actuals.select(*on, F.col(actual).alias("_a")), on, "left")
+    return settled.groupBy(*by).agg(F.count("*").alias("total"), F.count("_a").alias("settled")).withColumn("complete", F.col("settled") == F.col("total"))
+
+
 def weather_error(readings: DataFrame, key: list[str], kind: str, value: str) -> DataFrame:
-    """Observed and forecast readings side by side, and forecast minus observed."""
+    """Observed and forecast readings side by side, and forecast minus observed; one that is missing is null, and so is the
+    error. Of repeated readings the greatest counts."""
     of = lambda k: F.max(F.when(F.col(kind) == k, F.col(value)))
     return readings.groupBy(*key).agg(of("observed").alias("observed"), of("forecast").alias("forecast")).withColumn("error", F.col("forecast") - F.col("observed"))

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def effective_count(edges: DataFrame, key: str, value: str) -> DataFrame:
-    """1 / sum of squared shares: how many equal partners would be as concentrated."""
+def effective_count(edges: DataFrame, key: str, value: str, keys: DataFrame | None = None) -> DataFrame:
+    """1 / sum of squared shares: how many equal partners would be as concentrated. With keys, those without any positive
+    value have 0."""
     share = F.col(value) / F.sum(value).over(Window.partitionBy(key))
-    return edges.where(F.col(value) > 0).withColumn("_s", share).groupBy(key).agg((1 / F.sum(F.col("_s") * F.col("_s"))).alias("effective_count"))
+    found = edges.where(F.col(value) > 0).withColumn("_s", share).groupBy(key).agg((1 / F.sum(F.col("_s") * F.col("_s"))).alias("effective_count"))
+    return found if keys is None else keys.select(key).join(found, key, "left").select(key, F.coalesce("effective_count", F.lit(0.0)).alias("effective_count"))
 
 
 def transformed(value: Column, transform: Column) -> Column:
@@ -34,6 +36,7 @@ def zscores(values: DataFrame, indicator: str, value: str, direction: str, trans
 
 
 def pillar_scores(z: DataFrame, country: str, pillar: str) -> DataFrame:
+    """Mean of the scores of each country and pillar, to four places; null scores are left out."""
     return z.groupBy(country, pillar).agg(F.round(F.avg("z"), 4).alias("pillar_score"))
 
 

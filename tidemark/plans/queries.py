@@ -199,22 +199,22 @@ def g12_drop_implausible(spark, sf_dir):
 EDGES = f"""WITH places AS (SELECT gas_date, facility, place, sum(supply + transfer_in) AS r, sum(demand + transfer_out) AS d FROM ({frames.FLOWS}) WHERE kind = 'PIPE' GROUP BY 1, 2, 3),
 rs AS (SELECT gas_date, facility, place AS src, r, count(*) OVER (PARTITION BY gas_date, facility) AS n_r FROM places WHERE r > 0),
 ds AS (SELECT gas_date, facility, place AS dst, d, count(*) OVER (PARTITION BY gas_date, facility) AS n_d, sum(d) OVER (PARTITION BY gas_date, facility) AS all_d FROM places WHERE d > 0)
-SELECT gas_date, src, dst, sum(r * d / all_d) AS volume, count(DISTINCT facility) AS n_pipelines, bool_or(n_r > 1 AND n_d > 1) AS inferred FROM rs JOIN ds USING (gas_date, facility) WHERE src <> dst AND r * d / all_d >= 5 GROUP BY 1, 2, 3"""
+SELECT gas_date, src, dst, sum(r * d / all_d) AS volume, count(DISTINCT facility) AS n_pipelines, list_sort(list(DISTINCT facility)) AS pipelines, bool_or(n_r > 1 AND n_d > 1) AS inferred FROM rs JOIN ds USING (gas_date, facility) WHERE src <> dst AND r * d / all_d >= 5 GROUP BY 1, 2, 3"""
 
 
 def edges(spark, sf_dir):
     return gas.flow_edges(frames.flows(spark, sf_dir).where("kind = 'PIPE'"), "facility", "gas_date", "place")
 
 
-@query(f"SELECT gas_date, src, dst, round(volume, 6) AS volume, n_pipelines, inferred FROM ({EDGES})")
+@query(f"SELECT gas_date, src, dst, round(volume, 6) AS volume, n_pipelines, array_to_string(pipelines, ',') AS pipelines, inferred FROM ({EDGES})")
 def g13_flow_edges(spark, sf_dir):
-    return rounded(edges(spark, sf_dir))
+    return rounded(edges(spark, sf_dir)).withColumn("pipelines", F.array_join("pipelines", ","))
 
 
-@query(f"""WITH b AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(CASE WHEN src <= dst THEN volume ELSE 0 END) AS ab, sum(CASE WHEN src > dst THEN volume ELSE 0 END) AS ba, bool_or(inferred) AS inferred FROM ({EDGES}) GROUP BY 1, 2)
-SELECT CASE WHEN ab >= ba THEN a ELSE b END AS src, CASE WHEN ab >= ba THEN b ELSE a END AS dst, round(abs(ab - ba), 6) AS net, round(greatest(ab, ba), 6) AS gross, round(least(ab, ba), 6) AS counterflow, inferred FROM b""")
+@query(f"""WITH b AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(CASE WHEN src <= dst THEN volume ELSE 0 END) AS ab, sum(CASE WHEN src > dst THEN volume ELSE 0 END) AS ba, bool_or(inferred) AS inferred, list_sort(list_distinct(flatten(list(pipelines)))) AS pipelines FROM ({EDGES}) GROUP BY 1, 2)
+SELECT CASE WHEN ab >= ba THEN a ELSE b END AS src, CASE WHEN ab >= ba THEN b ELSE a END AS dst, round(abs(ab - ba), 6) AS net, round(greatest(ab, ba), 6) AS gross, round(least(ab, ba), 6) AS counterflow, inferred, array_to_string(pipelines, ',') AS pipelines FROM b""")
 def g14_net_opposing_edges(spark, sf_dir):
-    return rounded(gas.net_opposing_edges(edges(spark, sf_dir), []))
+    return rounded(gas.net_opposing_edges(edges(spark, sf_dir), [])).withColumn("pipelines", F.array_join("pipelines", ","))
 
 
 TOTAL = f"SELECT gas_date, sum(supply) AS v FROM ({frames.FLOWS}) GROUP BY 1"
@@ -246,11 +246,12 @@ def g23_constraint_history(spark, sf_dir):
     return rounded(gas.constraint_history(frames.flags(spark, sf_dir), "facility", "gas_date", "flag"), 4)
 
 
-@query(f"""WITH d AS (SELECT gas_date, count(DISTINCT facility) AS assessed, count_if(flag = 'GREEN') AS green, count_if(flag = 'AMBER') AS amber, count_if(flag = 'RED') AS red FROM ({frames.FLAGS}) GROUP BY 1),
-stop AS (SELECT min(gas_date) AS s FROM d WHERE gas_date > DATE '2000-06-30' AND assessed < (SELECT max(assessed) FROM d WHERE gas_date > DATE '2000-06-30') / 2)
+@query(f"""WITH d AS (SELECT gas_date, count(DISTINCT facility) AS assessed, count_if(flag = 'GREEN') AS green, count_if(flag = 'AMBER') AS amber, count_if(flag = 'RED') AS red, coalesce(string_agg(DISTINCT facility::VARCHAR, ',' ORDER BY facility::VARCHAR) FILTER (flag IN ('AMBER', 'RED')), '') AS constrained, gas_date < DATE '2000-06-30' AS observed FROM ({frames.FLAGS}) GROUP BY 1),
+stop AS (SELECT min(gas_date) AS s FROM d WHERE NOT observed AND assessed < (SELECT max(assessed) FROM d WHERE NOT observed) / 2)
 SELECT d.* FROM d, stop WHERE s IS NULL OR gas_date < s""")
 def g24_constraint_outlook(spark, sf_dir):
-    return gas.constraint_outlook(frames.flags(spark, sf_dir), "facility", "gas_date", "flag", "2000-06-30")
+    df = gas.constraint_outlook(frames.flags(spark, sf_dir), "facility", "gas_date", "flag", "2000-06-30")
+    return df.withColumn("constrained", F.array_join(F.array_sort(F.transform("constrained", lambda x: x.cast("string"))), ","))
 
 
 # Batteries
