@@ -45,18 +45,18 @@ FLOWS = f"""SELECT CAST(l_shipdate AS DATE) AS gas_date, l_suppkey AS facility,
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("facility"), F.to_date("o_orderdate").alias("effective_date"), (F.col("o_totalprice") / 1000).alias("capacity"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("facility"), F.to_date("o_orderdate").alias("effective_date"), (F.col("o_totalprice") / 1000).alias("capacity"))
 
 
-RATINGS = "SELECT o_custkey % 100 AS facility, CAST(o_orderdate AS DATE) AS effective_date, o_totalprice / 1000 AS capacity FROM orders"
+RATINGS = "SELECT o_custkey AS facility, CAST(o_orderdate AS DATE) AS effective_date, o_totalprice / 1000 AS capacity FROM orders"
 
 
 def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.when(F.col("o_orderstatus") == "F", "GREEN").when(F.col("o_orderstatus") == "O", "AMBER").otherwise("RED")
-    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 100).alias("facility"), F.to_date("o_orderdate").alias("gas_date"), flag.alias("flag"))
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("facility"), F.to_date("o_orderdate").alias("gas_date"), flag.alias("flag"))
 
 
-FLAGS = "SELECT o_custkey % 100 AS facility, CAST(o_orderdate AS DATE) AS gas_date, CASE o_orderstatus WHEN 'F' THEN 'GREEN' WHEN 'O' THEN 'AMBER' ELSE 'RED' END AS flag FROM orders"
+FLAGS = "SELECT o_custkey AS facility, CAST(o_orderdate AS DATE) AS gas_date, CASE o_orderstatus WHEN 'F' THEN 'GREEN' WHEN 'O' THEN 'AMBER' ELSE 'RED' END AS flag FROM orders"
 
 
 def dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:

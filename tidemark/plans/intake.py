@@ -168,20 +168,21 @@ def register_document(spark, sf_dir):
         F.concat(F.lit("D"), k.cast("string")).alias("duid"), *filled(("direction_model", "aemo_generation_info_unit_id", "connection_point_id", "notes")), F.when(k % 13 != 1, F.lit("unit")).alias("unit_name"), F.when(k % 11 == 2, "2024-13-01").otherwise("2024-02-01").alias("effective_from"), F.when(k % 7 == 3, "2023-01-01").when(k % 2 == 0, "2025-01-01").alias("effective_to"),
         F.when(k % 5 == 4, F.lit("-1")).otherwise((k % 50 + 1).cast("string")).alias("power_capacity_mw"), (k % 9 + 1).cast("string").alias("storage_capacity_mwh"),
     )
-    asset = frames.table(spark, sf_dir, "supplier").groupBy((k % 40).alias("a")).agg(F.collect_list(unit).alias("registrations"))
+    # documents of up to forty registrations, four to an asset
+    asset = frames.table(spark, sf_dir, "supplier").groupBy(F.floor(k / 40).alias("doc"), F.floor(k / 4).alias("a")).agg(F.collect_list(unit).alias("registrations"))
     one = F.struct(F.concat(F.lit("a"), F.col("a").cast("string")).alias("slug"), *filled(("name", "region", "owner", "custodian", "aemo_survey_id", "commitment_status")), F.lit("true").alias("is_spike_cohort"), "registrations")
-    return asset.groupBy().agg(F.to_json(F.struct(F.collect_list(one).alias("assets"))).alias("payload"))
+    return asset.groupBy("doc").agg(F.to_json(F.struct(F.collect_list(one).alias("assets"))).alias("payload"))
 
 
 _PROBLEM = "CASE WHEN s_suppkey % 13 = 1 THEN 'unit_name is missing' WHEN s_suppkey % 11 = 2 THEN 'effective_from is no date' WHEN s_suppkey % 7 = 3 THEN 'effective_to is before effective_from' WHEN s_suppkey % 5 = 4 THEN 'power_capacity_mw is no number above zero' END"
 
 
-@query(f"SELECT 'a' || s_suppkey % 40 AS slug, 'D' || s_suppkey AS duid, {_PROBLEM} AS problem FROM supplier WHERE {_PROBLEM} IS NOT NULL")
+@query(f"SELECT 'a' || s_suppkey // 4 AS slug, 'D' || s_suppkey AS duid, {_PROBLEM} AS problem FROM supplier WHERE {_PROBLEM} IS NOT NULL")
 def i12_registry_problems(spark, sf_dir):
     return ingest.registry_flatten(register_document(spark, sf_dir))[1].select("slug", "duid", "problem")
 
 
-@query(f"SELECT 'a' || s_suppkey % 40 AS slug, 'D' || s_suppkey AS duid, '2024-02-01' AS effective_from, CASE WHEN s_suppkey % 2 = 0 THEN '2025-01-01' END AS effective_to, (s_suppkey % 50 + 1)::DOUBLE AS power_capacity_mw, (s_suppkey % 9 + 1)::DOUBLE AS storage_capacity_mwh FROM supplier WHERE {_PROBLEM} IS NULL")
+@query(f"SELECT 'a' || s_suppkey // 4 AS slug, 'D' || s_suppkey AS duid, '2024-02-01' AS effective_from, CASE WHEN s_suppkey % 2 = 0 THEN '2025-01-01' END AS effective_to, (s_suppkey % 50 + 1)::DOUBLE AS power_capacity_mw, (s_suppkey % 9 + 1)::DOUBLE AS storage_capacity_mwh FROM supplier WHERE {_PROBLEM} IS NULL")
 def i12_registry_flatten(spark, sf_dir):
     return ingest.registry_flatten(register_document(spark, sf_dir))[0].select("slug", "duid", *[F.col(c).cast("string").alias(c) for c in ("effective_from", "effective_to")], *[F.col(c).cast("double").alias(c) for c in ("power_capacity_mw", "storage_capacity_mwh")])
 

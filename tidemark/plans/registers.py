@@ -31,13 +31,13 @@ def d13_missing_runs(spark, sf_dir):
     return registers.missing_runs(frames.table(spark, sf_dir, "customer").select("c_custkey"), runs, "c_custkey", "o_orderdate")
 
 
-REGISTRY = "SELECT 'U' || (s_suppkey % 20) AS asset, min(s_nationkey) AS label FROM supplier GROUP BY 1 HAVING min(s_acctbal) > -700"
+REGISTRY = "SELECT 'U' || s_suppkey AS asset, min(s_nationkey) AS label FROM supplier GROUP BY 1 HAVING min(s_acctbal) > -700"
 MAPPED = f"SELECT asset, day, mw / 12 AS energy, label FROM ({frames.DISPATCH}) LEFT JOIN ({REGISTRY}) USING (asset) WHERE mw > 0"
 
 
 def mapped(spark, sf_dir):
     s = frames.table(spark, sf_dir, "supplier")
-    registry = s.groupBy(F.concat(F.lit("U"), (F.col("s_suppkey") % 20).cast("string")).alias("asset")).agg(F.min("s_nationkey").alias("label"), F.min("s_acctbal").alias("_b")).where("_b > -700")
+    registry = s.groupBy(F.concat(F.lit("U"), F.col("s_suppkey").cast("string")).alias("asset")).agg(F.min("s_nationkey").alias("label"), F.min("s_acctbal").alias("_b")).where("_b > -700")
     return registers.mapped_energy(frames.dispatch(spark, sf_dir), registry, "asset", "mw", "label")
 
 
@@ -101,7 +101,7 @@ def w7_supplement_newer(spark, sf_dir):
 
 # Accounts
 
-USED = "SELECT o_custkey % 50 AS account_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS arr, CASE WHEN count(*) > 1 THEN 100.0 * count_if(o_orderpriority < '3') / count(*) END AS usage FROM orders GROUP BY 1, 2"
+USED = "SELECT o_custkey AS account_id, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS arr, CASE WHEN count(*) > 1 THEN 100.0 * count_if(o_orderpriority < '3') / count(*) END AS usage FROM orders GROUP BY 1, 2"
 
 
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY month DESC) AS k FROM ({USED})),
@@ -113,15 +113,15 @@ SELECT account_id, n, usage_n, start_month, end_month, span_months, eligible, ro
 def a7_trend_evidence(spark, sf_dir):
     o = frames.table(spark, sf_dir, "orders")
     share = 100.0 * F.count_if(F.col("o_orderpriority") < "3") / F.count("*")
-    used = o.groupBy((F.col("o_custkey") % 50).alias("account_id"), F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(F.sum("o_totalprice").alias("arr"), F.when(F.count("*") > 1, share).alias("usage"))
+    used = o.groupBy(F.col("o_custkey").alias("account_id"), F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(F.sum("o_totalprice").alias("arr"), F.when(F.count("*") > 1, share).alias("usage"))
     return rounded(accounts.trend_evidence(used, "usage"), 1)
 
 
-@query(f"""WITH a AS (SELECT c_custkey % 50 AS account_id, min(c_mktsegment) AS segment, min(c_nationkey)::VARCHAR AS industry FROM customer GROUP BY 1), t AS (SELECT * FROM ({frames.TIMELINE}) JOIN a USING (account_id)),
+@query(f"""WITH a AS (SELECT c_custkey AS account_id, min(c_mktsegment) AS segment, min(c_nationkey)::VARCHAR AS industry FROM customer GROUP BY 1), t AS (SELECT * FROM ({frames.TIMELINE}) JOIN a USING (account_id)),
 l AS (SELECT month, 'segment' AS dimension, segment AS g, sum(arr) AS arr FROM t GROUP BY ALL UNION ALL SELECT month, 'industry', industry, sum(arr) FROM t GROUP BY ALL),
 k AS (SELECT dimension, g, row_number() OVER (PARTITION BY dimension ORDER BY coalesce(sum(arr) FILTER (month = (SELECT max(month) FROM l)), 0) DESC, g) AS k FROM l GROUP BY 1, 2)
 SELECT month, dimension, CASE WHEN k <= 5 THEN g ELSE 'Other' END AS shown, round(sum(arr), 2) AS arr FROM l JOIN k USING (dimension, g) GROUP BY 1, 2, 3""")
 def a13_revenue_by_group(spark, sf_dir):
     c = frames.table(spark, sf_dir, "customer")
-    book = c.groupBy((F.col("c_custkey") % 50).alias("account_id")).agg(F.min("c_mktsegment").alias("segment"), F.min("c_nationkey").alias("industry"))
+    book = c.groupBy(F.col("c_custkey").alias("account_id")).agg(F.min("c_mktsegment").alias("segment"), F.min("c_nationkey").alias("industry"))
     return rounded(accounts.revenue_by_group(frames.timeline(spark, sf_dir), book, ["segment", "industry"]), 2)
