@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,38 +88,52 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def shingles_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(set, parities, shingles), one row for each row of chosen (set, least: an id that has it)."""
+    """(set, n, parities, shingles) of the sets of chosen (set, least: an id that has it); a set again for each row that has
+    both, which changes no result."""
     def run(batches):
         for batch in batches:
-            sets, odd, held = [], [], []
+            sets, ns, odd, held = [], [], [], []
             for text in batch.column(0).to_pylist():
                 distinct, key = distinct_shingles(shingle_hashes(text, SHINGLE))
                 sets.append(key)
+                ns.append(len(distinct))
                 odd.append(parities(distinct))
                 held.append(distinct.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(held, pa.binary())], names=["set", "parities", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(ns, pa.int64()), pa.array(odd, pa.list_(pa.int64())), pa.array(held, pa.binary())], names=["set", "n", "parities", "shingles"])
 
     texts = docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).join(chosen, F.col(id_col).eqNullSafe(F.col("least")), "left_semi").select("text")
-    made = texts.mapInArrow(run, "set long, parities array<long>, shingles binary")
-    # an id may stand for several texts, and several rows for a text
-    return made.join(chosen, "set", "left_semi").groupBy("set").agg(F.first("parities").alias("parities"), F.first("shingles").alias("shingles"))
+    # an id may stand for several texts
+    return texts.mapInArrow(run, "set long, n long, parities array<long>, shingles binary").join(chosen, "set", "left_semi")
+
+
+def few_differ(a: str, b: str, least: float) -> F.Column:
+    """Whether the parities of two texts, structs of n and parities, allow a similarity of `least`."""
+    differ = sum(F.bit_count(F.get(f"{a}.parities", i).bitwiseXOR(F.get(f"{b}.parities", i))) for i in range(PARITIES // 64))
+    return differ * (1 + least) <= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (1 - least) + 1e-6
+
+
+def joined(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with structs x and y of the columns of either end in table (set, columns)."""
+    end = lambda side, name: table.select(F.col("set").alias(side), F.struct(*columns).alias(name))
+    return pairs.join(end("a", "x"), "a").join(end("b", "y"), "b")
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs of sets that are similar enough, stored. shingles: (set, shingles), one row per set. The shingles
-    in use are written first, so that a set in many pairs is joined from a table and can be split."""
-    ends = pairs.select(F.col("a").alias("set")).unionAll(pairs.select(F.col("b").alias("set"))).distinct()
+    """(a, b) of the pairs of sets that are similar enough, stored. Their parities rule most others out before shingles are
+    brought together; those in use are written first, so that a set in many pairs is joined from a table and can be split."""
+    likely = stored(joined(pairs, shingles, ["n", "parities"]).where(few_differ("x", "y", least)).select("a", "b").distinct())
+    ends = likely.select(F.col("a").alias("set")).unionAll(likely.select(F.col("b").alias("set"))).distinct()
     used = stored(shingles.select("set", "shingles").join(ends, "set", "left_semi"))
-    both = pairs.join(used.select(F.col("set").alias("a"), F.col("shingles").alias("x")), "a").join(used.select(F.col("set").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
-            x, y = batch.column(2), batch.column(3)
+            x, y = (pyarrow.compute.struct_field(batch.column(k), 0) for k in (2, 3))
             likes = [similarity(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) >= least for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(likes, pa.bool_()))
 
-    made = stored(both.mapInArrow(run, "a long, b long"))
+    made = stored(joined(likely, used, ["shingles"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
     discard(used)
+    discard(likely)
     return made
 
 
@@ -169,12 +184,12 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     close = joining_links(prints.select("print")).join(prints.select(F.col("print").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("print").alias("b"), F.col("one").alias("y")), "b").select(*pair(F.col("x"), F.col("y")))
     close = stored(same.unionAll(close).distinct())
     met = banded.select("set").unionAll(close.select(F.col("a").alias("set"))).unionAll(close.select(F.col("b").alias("set"))).distinct()
-    chosen = stored(nodes.select("set", "n", "least").join(met, "set"))
-    shingles = stored(shingles_of(docs, chosen.select("set", "least"), id_col, text_col))
+    chosen = stored(nodes.select("set", "least").join(met, "set"))
+    shingles = stored(shingles_of(docs, chosen, id_col, text_col))
     busy = stored(banded.where(F.col("m") > hot).select("set").distinct())
     members = banded.where(F.col("m") <= hot).select("set", "n", "key", F.col("n").alias("shared"), F.col("n").cast("double").alias("mean"))
     if not busy.isEmpty():
-        members = stored(members.unionByName(rare_shingles(chosen.join(busy, "set", "left_semi").join(shingles, "set"), least)))
+        members = stored(members.unionByName(rare_shingles(shingles.join(busy, "set", "left_semi"), least)))
     # what two texts have in common is no more than either has left at the first bucket where they meet
     alike = lambda x, y: F.least(x["shared"], y["shared"]) * (1 + least) >= (x["n"] + y["n"]) * least - 1e-6
     centred = lambda rows, first: rows.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct(first, "n", "shared", "set")).alias("centre")).where("m > 1")
@@ -193,11 +208,9 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             break
         rows = rest.join(large, "key", "left_semi")
         links = stored(links.unionAll(verified(stored(to_centre(rows, centred(rows, F.xxhash64("set", "key", F.lit(again)))).distinct()), shingles, least)).distinct())
-    rest = stored(rest.join(shingles.select("set", "parities"), "set"))
+    rest = stored(rest.join(shingles.select("set", "parities").distinct(), "set"))
     left, right = (rest.select("key", F.struct("set", "n", "shared", "component", "parities").alias(side)) for side in ("x", "y"))
-    differ = sum(F.bit_count(F.get("x.parities", i).bitwiseXOR(F.get("y.parities", i))) for i in range(PARITIES // 64))
-    few = differ * (1 + least) <= (F.col("x.n") + F.col("y.n")) * (1 - least) + 1e-6
-    more = left.join(right, "key").where((F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x"), F.col("y")) & few).select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
+    more = left.join(right, "key").where((F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x"), F.col("y")) & few_differ("x", "y", least)).select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
     links = links.unionAll(verified(stored(more.distinct()), shingles, least))
     found = stored(components(links).select(F.col("node").alias("set"), "component").join(nodes.select("set", "least"), "set"))
     ids = stored(found.groupBy("component").agg(F.min("least").alias("component_id")))

@@ -134,13 +134,14 @@ def joining_links(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> Da
         raise ValueError("two halves find prints that differ in 3 bits at most")
     near = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= distance
     keyed = keys_of(prints)
-    crowded = stored(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("print").alias("first")).where(F.col("n") > hot).select("key", "first"))
+    crowded = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
     quiet = keyed.join(crowded, "key", "left_anti") if (busy := not crowded.isEmpty()) else keyed
     left, right = quiet.select(F.col("print").alias("a"), "key"), quiet.select(F.col("print").alias("b"), "key")
     links = left.join(right, "key").where((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b").distinct()
     if not busy:
         return links
     full = stored(keyed.join(crowded, "key"))
+    full = stored(full.join(stored(full.groupBy("key").agg(F.min("print").alias("first"))), "key"))
     stars = full.where((F.col("first") < F.col("print")) & near(F.col("first"), F.col("print"))).select(F.col("first").alias("a"), F.col("print").alias("b")).distinct()
     links = stored(links.unionAll(stars).distinct())
     grouped = stored(components(links))
