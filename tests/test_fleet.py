@@ -143,3 +143,19 @@ def test_orders_of_merge_agree(spark):
         for row in order:
             stored = keys.newest_wins_merge(stored, spark.createDataFrame([row], stored.schema), ["k"], "at")
         assert [tuple(r) for r in stored.collect()] == [(1, 9, "new")]
+
+
+def test_drop_implausible_by_plain_walk(spark):
+    from tidemark.operators import gas
+
+    rnd = random.Random(9)
+    rows = [(f, DAY + datetime.timedelta(days=d), float(rnd.choice([100, 1000, 1100, 1250, 5000, 0]) + rnd.randint(0, 90))) for f in range(6) for d in range(40) if rnd.random() < 0.9]
+    got = {(r["f"], r["d"]): r["kept"] for r in gas.drop_implausible(spark.createDataFrame([*rows, (9, DAY, None)], "f int, d date, v double"), "f", "d", "v").collect()}
+    for f in range(6):
+        mine = sorted((d, v) for g, d, v in rows if g == f)
+        reach, last = max(float(np.median([v for _, v in mine])) * 0.5, 200.0), None
+        for d, v in mine:
+            good = last is None or abs(v - last) <= reach
+            assert got[(f, d)] == good
+            last = v if good else last
+    assert len(got) == len(rows)
