@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 
 def arr_series(timeline: DataFrame) -> DataFrame:
+    """Revenue and accounts with any, per month; null revenue counts as none."""
     return timeline.groupBy("month").agg(F.sum("arr").alias("arr"), F.count_if(F.col("arr") > 0).alias("active"))
 
 
@@ -40,14 +41,6 @@ def arr_movement(timeline: DataFrame) -> DataFrame:
     return both.groupBy("month").agg(part(F.col("old").isNull(), "new_arr"), part(F.col("old").isNotNull() & (d > 0), "expansion"), part(F.col("old").isNotNull() & (d < 0) & ~gone, "contraction"), part(F.col("old").isNotNull() & (d < 0) & gone, "churn"), F.sum(d).alias("net"))
 
 
-def linear_trend(timeline: DataFrame, value: str, rows: int = 13) -> DataFrame:
-    """Least-squares slope per year and r squared of the last rows of each account."""
-    back = F.row_number().over(Window.partitionBy("account_id").orderBy(F.col("month").desc()))
-    window = timeline.where(F.col(value).isNotNull()).withColumn("_k", back).where(F.col("_k") <= rows).withColumn("_x", F.months_between("month", F.lit("2000-01-01").cast("date")))
-    fit = window.groupBy("account_id").agg(F.count("*").alias("n"), F.regr_slope(value, "_x").alias("_s"), F.regr_r2(value, "_x").alias("r2"))
-    return fit.select("account_id", "n", (12 * F.col("_s")).alias("annual_slope"), "r2")
-
-
 def growers_decliners(changes: DataFrame, k: int = 5) -> DataFrame:
     """The k largest falls and the k largest rises; in a small book an account may be both."""
     down = changes.orderBy(F.col("change"), "account_id").limit(k).withColumn("side", F.lit("decliner"))

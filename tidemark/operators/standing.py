@@ -37,6 +37,7 @@ def portfolio_health(book: DataFrame) -> DataFrame:
 
 
 def health_distribution(book: DataFrame) -> DataFrame:
+    """Accounts and revenue per band; every band has a row, accounts without a score have none."""
     found = book.groupBy(labelled(F.col("score"), BANDS).alias("band")).agg(F.count("*").alias("accounts"), F.sum("arr").alias("arr"))
     return with_all(found, "band", BANDS, ["accounts", "arr"])
 
@@ -53,6 +54,7 @@ def contract_runway(book: DataFrame) -> DataFrame:
 
 
 def customer_tenure(book: DataFrame) -> DataFrame:
+    """Accounts, revenue and contract value per tenure; every step has a row. Negative and null tenures count nowhere."""
     found = book.where("tenure_days >= 0").groupBy(labelled(F.col("tenure_days"), TENURE).alias("tenure")).agg(F.count("*").alias("accounts"), F.sum("arr").alias("arr"), F.sum(contract_value(F.col("arr"), F.col("term_months"))).alias("contract_value"))
     return with_all(found, "tenure", TENURE, ["accounts", "arr", "contract_value"])
 

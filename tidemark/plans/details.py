@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar
 from ..operators import accounts, cohorts, estimates, gas, keys, network, price, reviews, world
-from . import frames, intake, ladder
+from . import frames, intake, ladder, summaries
 from .queries import EDGES, as_text, edges, query, rounded
 
 # Keys
@@ -126,6 +126,13 @@ def p28_forecast_progress(spark, sf_dir):
     return reviews.forecast_progress(points, ladder.prices(spark, sf_dir), ["region", "ts"], ["region", "origin"], "rrp")
 
 
+@query(f"SELECT model, region, origin, round(mae, 7) AS mae, round(1 - mae / nullif(max(CASE WHEN model = 'naive' THEN mae END) OVER (PARTITION BY region, origin), 0), 7) + 0.0 AS skill FROM ({summaries.RUNS})")
+def p22_skill_by_origin(spark, sf_dir):
+    p, both = summaries.points(spark, sf_dir)
+    scores = price.score_runs(both, p, ["model", "region", "origin"], ["region", "day"], "rrp")
+    return rounded(price.skill(scores, ["region", "origin"], "model", "naive").select("model", "region", "origin", "mae", "skill"), 7)
+
+
 # Accounts and countries
 
 
@@ -158,5 +165,5 @@ def w10_whole_cohort(spark, sf_dir):
     return estimates.whole_cohort(cohort, "country", min(3, cohort.count())).select("country", "place")
 
 
-for _name, _columns in {"g8_utilisation_summary": ("gas_date",), "g22_demand_matrix": ("gas_date",), "g23_constraint_grid": ("gas_date",), "g23_constraint_totals": ("gas_date",), "p28_forecast_progress": ("origin",)}.items():
+for _name, _columns in {"g8_utilisation_summary": ("gas_date",), "g22_demand_matrix": ("gas_date",), "g23_constraint_grid": ("gas_date",), "g23_constraint_totals": ("gas_date",), "p28_forecast_progress": ("origin",), "p22_skill_by_origin": ("origin",)}.items():
     as_text(_name, _columns)

@@ -366,7 +366,7 @@ def w12_model_scores(spark, sf_dir):
 _LOGGED = f"SELECT country, indicator, country % 4 = 0 AS estimated, CASE WHEN indicator = 'suppliers' THEN log10(raw) WHEN indicator = 'orders' THEN ln(1 + raw) ELSE raw END AS x, CASE WHEN indicator = 'orders' THEN -1 ELSE 1 END AS direction FROM ({PREPARED})"
 
 
-@query(f"SELECT country, indicator, round(round(CASE WHEN s > 1e-12 THEN (x - m) / s * direction ELSE 0 END, 4), 3) + 0.0 AS z FROM (SELECT *, avg(x) FILTER (NOT estimated) OVER w AS m, stddev_pop(x) FILTER (NOT estimated) OVER w AS s FROM ({_LOGGED}) WINDOW w AS (PARTITION BY indicator))")
+@query(f"SELECT country, indicator, round(round(CASE WHEN s > 1e-12 THEN (x - m) / s * direction ELSE 0 END, 4), 3) + 0.0 AS z FROM (SELECT *, CASE WHEN n >= 2 THEN m1 ELSE m0 END AS m, CASE WHEN n >= 2 THEN s1 ELSE s0 END AS s FROM (SELECT *, count(x) FILTER (NOT estimated) OVER w AS n, avg(x) FILTER (NOT estimated) OVER w AS m1, stddev_pop(x) FILTER (NOT estimated) OVER w AS s1, avg(x) OVER w AS m0, stddev_pop(x) OVER w AS s0 FROM ({_LOGGED}) WINDOW w AS (PARTITION BY indicator)))")
 def w11_zscores_of_real_values(spark, sf_dir):
     i = F.col("indicator")
     df = prepared(spark, sf_dir).withColumns({"estimated": F.col("country") % 4 == 0, "direction": F.when(i == "orders", -1).otherwise(1), "transform": F.when(i == "suppliers", "log10").when(i == "orders", "log1p")})

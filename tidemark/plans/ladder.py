@@ -153,9 +153,9 @@ def p30_weather_error(spark, sf_dir):
     return reviews.weather_error(weather(spark, sf_dir), ["region", "ts"], "kind", "temperature").withColumn("error", F.round("error", 6))
 
 
-@query(f"SELECT region, CAST(ts AS DATE) AS day, round(avg(rrp), 3) AS avg_price, min(rrp) AS min_price, max(rrp) AS max_price FROM ({PRICES}) WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM ({PRICES})) - 90 GROUP BY 1, 2")
+@query(f"SELECT region, CAST(ts AS DATE) AS day, round(avg(rrp), 8) AS avg_price, min(rrp) AS min_price, max(rrp) AS max_price FROM ({PRICES}) WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM ({PRICES})) - 90 GROUP BY 1, 2")
 def p27_daily_price_history(spark, sf_dir):
-    return price.daily_history(prices(spark, sf_dir), ["region"], "ts", "rrp", days=90).withColumn("avg_price", F.round("avg_price", 3))
+    return price.daily_history(prices(spark, sf_dir), ["region"], "ts", "rrp", days=90).withColumn("avg_price", F.round("avg_price", 8))
 
 
 @query(f"""WITH t AS (SELECT region, ts, temperature, lead(ts) OVER w AS later, lead(temperature) OVER w AS after FROM (SELECT DISTINCT event_type AS region, date_trunc('hour', ts) AS ts, max(value) AS temperature FROM events GROUP BY 1, 2) WINDOW w AS (PARTITION BY region ORDER BY ts))
