@@ -5,15 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keys import same_key
+from .keys import dedupe_last, same_key
+
+#: Columns of a board in order; cards that were put away from none of them come from the last.
+COLUMNS = ("Ideas", "This Week", "Complete", "Parking Lot")
 
 
 def decompose_documents(df: DataFrame, user: str, document: str) -> DataFrame:
-    """(user, namespace, item, value) of a flat JSON object per user; the part after a key's first dot is the item."""
+    """(user, namespace, item, value) of a flat JSON object per user; the part after a key's first dot is the item. A null
+    document, or one that is no object, gives no rows."""
     flat = df.select(user, F.explode(F.from_json(document, "map<string,string>")).alias("key", "value"))
     return flat.select(user, F.substring_index("key", ".", 1).alias("namespace"), F.when(F.contains("key", F.lit(".")), F.regexp_replace("key", r"^[^.]*\.", "")).alias("item"), "value")
 
 
+def document_tables(df: DataFrame, user: str, document: str, prefix: str) -> dict[str, DataFrame]:
+    """Typed tables of a flat JSON object per user whose keys start with `prefix`:
+
+    cards (user, card, title, priority, board_column, archived): from kanban, a list per column, and archive, a list; of a
+    card that is in several the archive counts, then the later column, then the later place. daily_tasks (user, day,
+    place, text, done) from dailyTasks.DATE, weekly_focus (user, week, main, secondary, health) from weeklyFocus.WEEK,
+    calendar (user, day) from calendar's marked days, done (user, text, source, day) from doneLedger. Keys of another form,
+    columns that are none, cards without an id and values that cannot be read give no rows; a document holds all of a user.
+    """
+    flat = df.select(user, F.explode(F.from_json(document, "map<string,string>")).alias("key", "value")).where(F.startswith("key", F.lit(prefix))).withColumn("key", F.substring("key", F.lit(len(prefix) + 1), F.length("key")))
+    of = lambda key: flat.where(F.col("key") == key)
+    card = "struct<id:string,title:string,priority:string,archivedFromColumn:string>"
+    field = lambda c: F.coalesce(F.col(f"x.{c}"), F.lit("")).alias(c)
+    live = of("kanban").select(user, F.explode(F.from_json("value", f"map<string,array<{card}>>")).alias("board_column", "cards")).where(F.col("board_column").isin(*COLUMNS)).select(user, "board_column", F.posexplode("cards").alias("at", "x"))
+    live = live.select(user, F.col("x.id").alias("card"), field("title"), field("priority"), "board_column", F.lit(False).alias("archived"), F.array_position(F.array(*map(F.lit, COLUMNS)), F.col("board_column")).alias("_c"), "at")
+    kept = of("archive").select(user, F.posexplode(F.from_json("value", f"array<{card}>")).alias("at", "x"))
+    kept = kept.select(user, F.col("x.id").alias("card"), field("title"), field("priority"), F.coalesce(F.nullif(F.col("x.archivedFromColumn"), F.lit("")), F.lit(COLUMNS[-1])).alias("board_column"), F.lit(True).alias("archived"), F.lit(99).cast("long").alias("_c"), "at")
+    cards = dedupe_last(live.unionByName(kept).where("card IS NOT NULL AND card <> ''"), [user, "card"], [F.col("_c"), F.col("at")]).drop("_c", "at")
+    dated = flat.withColumn("day", F.regexp_extract("key", r"^dailyTasks\.(\d{4}-\d{2}-\d{2})$", 1)).where("day <> ''")
+    tasks = dated.select(user, "day", F.posexplode(F.from_json("value", "array<struct<text:string,done:boolean>>")).alias("place", "x")).select(user, F.col("day").try_cast("date").alias("day"), "place", field("text"), F.coalesce("x.done", F.lit(False)).alias("done")).where("day IS NOT NULL")
+    weeks = flat.withColumn("week", F.regexp_extract("key", r"^weeklyFocus\.(\d{4}-\d{2})$", 1)).where("week <> ''").withColumn("x", F.from_json("value", "struct<main:string,secondary:string,health:string>")).where("x IS NOT NULL")
+    marks = of("calendar").select(user, F.explode(F.from_json("value", "map<string,string>")).alias("day", "mark")).where("mark = 'true'").select(user, F.col("day").try_cast("date").alias("day")).where("day IS NOT NULL")
+    done = of("doneLedger").select(user, F.explode(F.from_json("value", "array<struct<text:string,source:string,date:string>>")).alias("x")).select(user, field("text"), field("source"), F.col("x.date").try_cast("date").alias("day")).where("day IS NOT NULL")
+    return {"cards": cards, "daily_tasks": tasks, "weekly_focus": weeks.select(user, "week", field("main"), field("secondary"), field("health")), "calendar": marks, "done": done}
+
+
 def snapshot_sync(stored: DataFrame, incoming: DataFrame, key: list[str], value: str) -> DataFrame:
     """What turns stored into incoming for the users that incoming has: insert, update, delete or keep per key."""
     touched = stored.join(incoming.select(key[0]).distinct(), key[0], "left_semi")

@@ -58,6 +58,17 @@ def forecast_vs_actual(points: DataFrame, actuals: DataFrame, on: list[str], mod
     return wide.join(actuals.select(*on, F.col(actual).alias("actual")), on, "full")
 
 
+def forecast_axis(points: DataFrame, actuals: DataFrame, by: list[str], ts: str, origin: str, actual: str, model: str, models: list[str], days: int = 7) -> DataFrame:
+    """What a chart of each run (by: the region, and origin) shows: the settled intervals of the `days` before the origin,
+    then those forecast, with the settled value and a column per model, which is null before the origin. context tells the
+    two apart."""
+    ahead = points.groupBy(*by, origin, ts).agg(*[F.max(F.when(F.col(model) == m, F.col("predicted"))).alias(m) for m in models]).join(actuals.select(*by, ts, F.col(actual).alias("actual")), [*by, ts], "left").withColumn("context", F.lit(False))
+    runs = points.select(*by, origin).distinct()
+    behind = runs.join(actuals.select(*by, ts, F.col(actual).alias("actual")).where("actual IS NOT NULL"), by).where((F.col(ts) <= F.col(origin)) & (F.col(ts) > F.col(origin) - F.make_dt_interval(days=F.lit(days))))
+    behind = behind.withColumns({m: F.lit(None).cast("double") for m in models}).withColumn("context", F.lit(True))
+    return ahead.unionByName(behind)
+
+
 def forecast_progress(points: DataFrame, actuals: DataFrame, on: list[str], by: list[str], actual: str) -> DataFrame:
     """Per run: intervals forecast, those settled, and whether all are. Repeated points of several models count once."""
     asked = points.select(*by, *[c for c in on if c not in by]).distinct()

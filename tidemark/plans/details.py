@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import accounts, cohorts, estimates, gas, keys, network, price, reviews, world
+from ..operators import accounts, cohorts, documents, estimates, gas, keys, network, price, reviews, world
 from . import frames, intake, ladder, summaries
 from .queries import EDGES, as_text, edges, query, rounded
 
@@ -133,6 +133,51 @@ def p22_skill_by_origin(spark, sf_dir):
     return rounded(price.skill(scores, ["region", "origin"], "model", "naive").select("model", "region", "origin", "mae", "skill"), 7)
 
 
+@query(f"""SELECT g.region, g.origin, g.ts, greatest(-1000.0, p.rrp) AS seasonal_naive, a.rrp AS actual, false AS context FROM ({ladder.GRID}) g JOIN ({ladder.PRICES}) p ON p.region = g.region AND p.ts = g.ts - INTERVAL 7 DAY LEFT JOIN ({ladder.PRICES}) a ON a.region = g.region AND a.ts = g.ts
+UNION ALL SELECT o.region, o.origin, p.ts, NULL, p.rrp, true FROM (SELECT DISTINCT region, origin FROM ({ladder.GRID}) g JOIN ({ladder.PRICES}) USING (region, ts)) o JOIN ({ladder.PRICES}) p USING (region) WHERE p.ts <= o.origin AND p.ts > o.origin - INTERVAL 7 DAY""")
+def p28_forecast_axis(spark, sf_dir):
+    p, g = ladder.prices(spark, sf_dir), ladder.grid(spark, sf_dir)
+    points = ladder.forecast.naive_intervals(p, g).withColumn("model", F.lit("seasonal_naive"))
+    return reviews.forecast_axis(points, p, ["region"], "ts", "origin", "rrp", "model", ["seasonal_naive"])
+
+
+# Documents
+
+_BOARD = "(['Ideas', 'This Week', 'Complete', 'Other'])[event_id % 4 + 1]"
+
+
+def boards(spark, sf_dir):
+    """A document per user: its events as cards, put away or on the board, and as tasks of days and weeks."""
+    e = frames.table(spark, sf_dir, "events")
+    k = F.col("event_id")
+    column = F.get(F.array(*map(F.lit, ("Ideas", "This Week", "Complete", "Other"))), (k % 4).cast("int"))
+    item = F.struct((k % 50).cast("string").alias("id"), k.cast("string").alias("title"), F.col("event_type").alias("priority"), F.when(k % 2 == 0, column).alias("archivedFromColumn"))
+    parts = lambda rule, x: F.sort_array(F.collect_list(F.when(rule, F.struct(k.alias("o"), x.alias("x")))))
+    plain = lambda xs: F.transform(xs, lambda y: y["x"])
+    one = e.groupBy("user_id").agg(*[parts((k % 10 != 0) & (column == c), item).alias(f"c{i}") for i, c in enumerate(("Ideas", "This Week", "Complete", "Other"))], parts(k % 10 == 0, item).alias("put"), F.max("event_id").alias("top"))
+    board = F.create_map(*[v for i, c in enumerate(("Ideas", "This Week", "Complete", "Other")) for v in (F.lit(c), plain(f"c{i}"))])
+    days = e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("d")).agg(F.to_json(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: F.struct(x.cast("string").alias("text"), (x % 2 == 0).alias("done")))).alias("tasks"))
+    more = days.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("app.dailyTasks."), F.col("d")), "tasks"))).alias("more"))
+    fixed = F.create_map(F.lit("app.kanban"), F.to_json(board), F.lit("app.archive"), F.to_json(plain("put")), F.lit("app.weeklyFocus.2024-05"), F.to_json(F.struct(F.col("top").cast("string").alias("main"))), F.lit("other.kanban"), F.lit("{}"))
+    return one.join(more, "user_id").select("user_id", F.to_json(F.map_concat(fixed, "more")).alias("document"))
+
+
+@query(f"""SELECT user_id, (event_id % 50)::VARCHAR AS card, event_id::VARCHAR AS title, event_type AS priority, CASE WHEN event_id % 10 = 0 THEN CASE WHEN event_id % 2 = 0 THEN {_BOARD} ELSE 'Parking Lot' END ELSE {_BOARD} END AS board_column, event_id % 10 = 0 AS archived
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 50 ORDER BY event_id % 10 = 0 DESC, CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id % 4 END DESC, event_id DESC) AS r FROM events WHERE event_id % 10 = 0 OR event_id % 4 <> 3) WHERE r = 1""")
+def s1_cards(spark, sf_dir):
+    return documents.document_tables(boards(spark, sf_dir), "user_id", "document", "app.")["cards"]
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, (row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY event_id) - 1)::INT AS place, event_id::VARCHAR AS text, event_id % 2 = 0 AS done FROM events")
+def s1_daily_tasks(spark, sf_dir):
+    return documents.document_tables(boards(spark, sf_dir), "user_id", "document", "app.")["daily_tasks"]
+
+
+@query("SELECT user_id, '2024-05' AS week, max(event_id)::VARCHAR AS main, '' AS secondary, '' AS health FROM events GROUP BY 1")
+def s1_weekly_focus(spark, sf_dir):
+    return documents.document_tables(boards(spark, sf_dir), "user_id", "document", "app.")["weekly_focus"]
+
+
 # Accounts and countries
 
 
@@ -165,5 +210,5 @@ def w10_whole_cohort(spark, sf_dir):
     return estimates.whole_cohort(cohort, "country", min(3, cohort.count())).select("country", "place")
 
 
-for _name, _columns in {"g8_utilisation_summary": ("gas_date",), "g22_demand_matrix": ("gas_date",), "g23_constraint_grid": ("gas_date",), "g23_constraint_totals": ("gas_date",), "p28_forecast_progress": ("origin",), "p22_skill_by_origin": ("origin",)}.items():
+for _name, _columns in {"g8_utilisation_summary": ("gas_date",), "g22_demand_matrix": ("gas_date",), "g23_constraint_grid": ("gas_date",), "g23_constraint_totals": ("gas_date",), "p28_forecast_progress": ("origin",), "p22_skill_by_origin": ("origin",), "p28_forecast_axis": ("origin", "ts"), "s1_daily_tasks": ("day",)}.items():
     as_text(_name, _columns)
