@@ -119,9 +119,9 @@ def joined(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs of sets that are similar enough, stored. Their parities rule most others out before shingles are
+    """(a, b) of the pairs of sets that are similar enough, stored; a pair may come again. Their parities rule most others out before shingles are
     brought together; those in use are written first, so that a set in many pairs is joined from a table and can be split."""
-    likely = stored(joined(pairs, shingles, ["n", "parities"]).where(few_differ("x", "y", least)).select("a", "b").distinct())
+    likely = stored(joined(pairs, shingles, ["n", "parities"]).where(few_differ("x", "y", least)).select("a", "b"))
     ends = likely.select(F.col("a").alias("set")).unionAll(likely.select(F.col("b").alias("set"))).distinct()
     used = stored(shingles.select("set", "shingles").join(ends, "set", "left_semi"))
 
@@ -131,7 +131,7 @@ def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
             likes = [similarity(np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)) >= least for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(likes, pa.bool_()))
 
-    made = stored(joined(likely, used, ["shingles"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
+    made = stored(joined(likely, used, ["shingles"]).select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
     discard(used)
     discard(likely)
     return made
@@ -178,7 +178,8 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     banded = nodes.select("set", "n", F.explode("bands").alias("key"))
     sizes = stored(banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
-    banded = stored(banded.join(sizes, "key"))
+    # most keys are of one text, so both sides grow alike: the same join at every size
+    banded = stored(banded.join(sizes.hint("merge"), "key"))
     prints = stored(nodes.groupBy("print").agg(F.min("set").alias("one")))
     same = nodes.select("print", "set").join(prints, "print").where("set != one").select(*pair(F.col("set"), F.col("one")))
     close = joining_links(prints.select("print")).join(prints.select(F.col("print").alias("a"), F.col("one").alias("x")), "a").join(prints.select(F.col("print").alias("b"), F.col("one").alias("y")), "b").select(*pair(F.col("x"), F.col("y")))
