@@ -17,7 +17,7 @@ from .tokenizing import MEMO_CHARS, Memo, White, read_ranks
 
 #: Ranks of one word of the lower bitmap, as a power of two; the upper bitmap has a bit for each of these words.
 WORD_BITS = 8
-#: Pieces and matches that a worker remembers before it forgets all.
+#: Pieces and matches that a worker remembers before it forgets all: of either, at some 200 bytes each (240 MB in all).
 REMEMBERED = 600_000
 #: Marks that a word of letters often ends in; a run of them is one match.
 MARKS = ".,;:!?"

@@ -160,7 +160,8 @@ def label_counts(page: str) -> Counter:
 def learn(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", labelled: int = LABELLED) -> dict[str, float]:
     """Weights from labelled pages: pages that mark their text as exactly one article element, of which the `labelled` with
     the least hash of id are read. A key's weight is the logarithm of the odds that it lies inside the article, bounded
-    by LEAST and MOST; tags stay negative. Spark counts; the driver gets one row per key of these pages."""
+    by LEAST and MOST; tags stay negative. Spark counts; the driver gets one row per key of these pages. The chosen ids are
+    broadcast, `labelled` numbers at most (16 KB)."""
     marked = F.regexp_count(F.lower(F.col(html_col)), F.lit("<article[ >]")) == 1
     chosen = pages.where(F.col(id_col).isNotNull() & marked).select(F.col(id_col).alias("_i")).distinct().orderBy(F.xxhash64("_i"), "_i").limit(labelled)
     sample = pages.select(F.col(id_col).alias("_i"), F.col(html_col).alias("html")).where(marked).join(F.broadcast(chosen), "_i", "left_semi")

@@ -84,7 +84,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
     and rank within length. Ranks are counted per length and salt, the salts' counts give the offsets between them, so
     a length that most rows have, or one row that is repeated, is spread over as many tasks as there are shuffle
     partitions (the salt is drawn per row and stored with it). The plan is broadcast:
-    its size depends on capacity alone.
+    its size depends on capacity alone (1 MB at capacity 2048, for 0.1 and for 0.5 GB of documents).
 
     A null text is an empty one (end_id alone); repeated rows are packed as often as they occur; a null id is kept;
     an empty table gives no rows. Other columns of docs are not read.
