@@ -23,12 +23,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     before, last = None, None
     while True:
         both = links.select(F.col("low").alias("u"), F.col("high").alias("v")).unionAll(links.select(F.col("high").alias("u"), F.col("low").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        # written, so that the join reads tables on both sides and Spark can split a node that most links meet in
+        least = stored(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("low"), F.col("v").alias("high")).where("low < high").distinct()
         down = large.groupBy("high").agg(F.min("low").alias("m"))
         small = large.join(down, "high")
         made = small.select(F.col("m").alias("low"), F.col("high")).unionAll(small.where("low > m").select(F.col("m").alias("low"), F.col("low").alias("high"))).distinct()
         links = stored(made)
+        discard(least)
         if last is not None:
             discard(last)
         last = links
