@@ -246,7 +246,7 @@ def g23_constraint_history(spark, sf_dir):
     return rounded(gas.constraint_history(frames.flags(spark, sf_dir), "facility", "gas_date", "flag"), 4)
 
 
-@query(f"""WITH d AS (SELECT gas_date, count(DISTINCT facility) AS assessed, count_if(flag = 'GREEN') AS green, count_if(flag = 'AMBER') AS amber, count_if(flag = 'RED') AS red, coalesce(string_agg(DISTINCT facility::VARCHAR, ',' ORDER BY facility::VARCHAR) FILTER (flag IN ('AMBER', 'RED')), '') AS constrained, gas_date < DATE '2000-06-30' AS observed FROM ({frames.FLAGS}) GROUP BY 1),
+@query(f"""WITH d AS (SELECT gas_date, count(DISTINCT facility) AS assessed, count_if(flag = 'GREEN')::BIGINT AS green, count_if(flag = 'AMBER')::BIGINT AS amber, count_if(flag = 'RED')::BIGINT AS red, coalesce(string_agg(DISTINCT facility::VARCHAR, ',' ORDER BY facility::VARCHAR) FILTER (flag IN ('AMBER', 'RED')), '') AS constrained, gas_date < DATE '2000-06-30' AS observed FROM ({frames.FLAGS}) GROUP BY 1),
 stop AS (SELECT min(gas_date) AS s FROM d WHERE NOT observed AND assessed < (SELECT max(assessed) FROM d WHERE NOT observed) / 2)
 SELECT d.* FROM d, stop WHERE s IS NULL OR gas_date < s""")
 def g24_constraint_outlook(spark, sf_dir):
