@@ -191,3 +191,23 @@ def test_stream_interval_value(spark, tmp_path):
     prices = batches(spark, tmp_path / "p", "region string, ts timestamp, rrp double", [("r", at(10), -100.0)], [("r", at(5), 100.0)])
     drained(jobs.stream_interval_value(dispatch, prices, "region", "ts", "mw", "rrp"), "valued")
     assert {(r["ts"], r["energy_value"]) for r in spark.table("valued").collect()} == {(at(5), 1000.0), (at(10), 500.0)}
+
+
+def test_typed_csv(spark, tmp_path):
+    (tmp_path / "typed.csv").write_text("﻿Region,RRP,Extra\nR, 1.5 ,x\nS,oops,y\n", encoding="utf-8")
+    casts = {"region": lambda c: F.trim(c), "rrp": parsing.safe_float, "periodtype": lambda c: c}
+    got = ingest.read_typed_csv(spark, f"file://{tmp_path}/typed.csv", casts, {"region", "rrp"})
+    assert got.columns == ["region", "rrp", "periodtype"] and sorted(map(tuple, got.collect())) == [("R", 1.5, None), ("S", None, None)]
+    good, bad = ingest.split_valid_rejects(got, {"no price": F.col("rrp").isNotNull()})
+    assert [r["region"] for r in good.collect()] == ["R"] and [tuple(r) for r in ingest.import_report(bad).collect()] == [("no price", 1)]
+    with pytest.raises(ValueError, match="totaldemand"):
+        ingest.read_typed_csv(spark, f"file://{tmp_path}/typed.csv", casts, {"totaldemand"})
+
+
+def test_rollup_of_a_bad_row_and_market_without_demand(spark):
+    from tidemark.operators import price
+
+    rows = [("a", datetime.datetime(2026, 8, 1, 0, 30), None, 5.0), ("b", datetime.datetime(2026, 8, 1, 0, 30), 7.0, 0.0), ("ALL", datetime.datetime(2026, 8, 1, 0, 30), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "region string, ts timestamp_ntz, rrp double, demand double")
+    assert price.market_aggregate(df, "region", "ts", "rrp", "demand").count() == 0
+    assert price.demand_shares(df.where("false"), "region", "demand").count() == 0
