@@ -134,7 +134,7 @@ def p22_skill_by_origin(spark, sf_dir):
 
 
 @query(f"""SELECT g.region, g.origin, g.ts, greatest(-1000.0, p.rrp) AS seasonal_naive, a.rrp AS actual, false AS context FROM ({ladder.GRID}) g JOIN ({ladder.PRICES}) p ON p.region = g.region AND p.ts = g.ts - INTERVAL 7 DAY LEFT JOIN ({ladder.PRICES}) a ON a.region = g.region AND a.ts = g.ts
-UNION ALL SELECT o.region, o.origin, p.ts, NULL, p.rrp, true FROM (SELECT DISTINCT region, origin FROM ({ladder.GRID}) g JOIN ({ladder.PRICES}) USING (region, ts)) o JOIN ({ladder.PRICES}) p USING (region) WHERE p.ts <= o.origin AND p.ts > o.origin - INTERVAL 7 DAY""")
+UNION ALL SELECT o.region, o.origin, p.ts, NULL, p.rrp, true FROM (SELECT DISTINCT g.region, g.origin FROM ({ladder.GRID}) g JOIN ({ladder.PRICES}) p ON p.region = g.region AND p.ts = g.ts - INTERVAL 7 DAY) o JOIN ({ladder.PRICES}) p USING (region) WHERE p.ts <= o.origin AND p.ts > o.origin - INTERVAL 7 DAY""")
 def p28_forecast_axis(spark, sf_dir):
     p, g = ladder.prices(spark, sf_dir), ladder.grid(spark, sf_dir)
     points = ladder.forecast.naive_intervals(p, g).withColumn("model", F.lit("seasonal_naive"))
