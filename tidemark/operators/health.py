@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import positions, tile
 from .standing import BANDS, RUNWAY, labelled
 
 #: Days since a review and tickets a year at which deductions begin and are whole, by segment; others are as Mid-Market.
@@ -205,13 +206,16 @@ def usage_arr_divergence(accounts: DataFrame, evidence: DataFrame) -> DataFrame:
 
 def account_journeys(accounts: DataFrame, timeline: DataFrame, evidence: DataFrame) -> DataFrame:
     """Per account with a timeline: its months, revenue and usage as arrays in order, and a place by attention, revenue
-    and name. Arrays hold an account's months; the place is a global order, one row per account."""
+    and name. Arrays hold an account's months; the place is a global order, dealt by ranges, see ranking."""
     state = attention(evidence).select("account_id", "attention_state", "attention_reason")
     rows = timeline.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("month", F.round("arr", 2).alias("arr"), F.col("seat_utilisation_pct").alias("usage")))).alias("_rows"))
     df = accounts.select("account_id", "account_name", F.round("current_arr", 2).alias("current_arr")).join(rows, "account_id").join(state, "account_id", "left").withColumns({"attention_state": F.coalesce("attention_state", F.lit("standard")), "attention_reason": F.coalesce("attention_reason", F.lit("Insufficient timeline evidence"))})
     rank = F.when(F.col("attention_state") == "attention", 0).when(F.col("attention_state") == "acceleration", 1).otherwise(2)
-    place = F.row_number().over(Window.orderBy(rank, F.col("current_arr").desc(), "account_name", "account_id"))
-    return df.select("account_id", "account_name", "attention_state", "attention_reason", "current_arr", F.transform("_rows", lambda x: F.date_format(x["month"], "yyyy-MM")).alias("months"), F.transform("_rows", lambda x: x["arr"]).alias("arr"), F.transform("_rows", lambda x: x["usage"]).alias("usage")).withColumn("place", place)
+    order = [F.col("_rank").asc(), F.col("current_arr").desc(), F.col("account_name").asc(), F.col("account_id").asc()]
+    place = positions(df.select("account_id", "account_name", "attention_state", "current_arr", rank.alias("_rank")), order, "_place")
+    placed = df.join(place.select("account_id", (F.col("_place") + 1).cast("int").alias("place")), "account_id")
+    series = {"months": F.transform("_rows", lambda x: F.date_format(x["month"], "yyyy-MM")), "arr": F.transform("_rows", lambda x: x["arr"]), "usage": F.transform("_rows", lambda x: x["usage"])}
+    return placed.select("account_id", "account_name", "attention_state", "attention_reason", "current_arr", *[c.alias(n) for n, c in series.items()], "place")
 
 
 def usage_trend(timeline: DataFrame, rows: int = 13) -> DataFrame:
@@ -271,8 +275,10 @@ def kpi(book: DataFrame, series: DataFrame) -> DataFrame:
 
 def value_tiers(book: DataFrame, tiers: tuple[str, ...] = ("Gold", "Silver", "Bronze")) -> DataFrame:
     """Cohorts of equal size by revenue, larger ones first where the number does not divide: accounts, mean, sum, most and
-    least. The order is global: one row per account; ties go by id."""
-    placed = book.select(F.coalesce("current_arr", F.lit(0.0)).alias("arr"), F.ntile(len(tiers)).over(Window.orderBy(F.coalesce("current_arr", F.lit(0.0)).desc(), "account_id")).alias("_tier"))
+    least. The order is global and dealt by ranges, see ranking; ties go by id."""
+    rows = book.select("account_id", F.coalesce("current_arr", F.lit(0.0)).alias("arr"))
+    placed = positions(rows, [F.col("arr").desc(), F.col("account_id").asc()], "_place", total="_total")
+    placed = placed.select("arr", tile(F.col("_place"), F.col("_total"), len(tiers)).alias("_tier"))
     label = F.get(F.array(*map(F.lit, tiers)), F.col("_tier") - 1)
     return placed.groupBy(label.alias("tier")).agg(F.count("*").alias("accounts"), F.avg("arr").alias("average_arr"), F.sum("arr").alias("total_arr"), F.max("arr").alias("highest_arr"), F.min("arr").alias("lowest_arr"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import positions
+
 #: Days of a week and of a quarter, the anchor included.
 WEEK, QUARTER = 7, 91
 
@@ -46,11 +48,12 @@ def weekly_rollup(summaries: DataFrame, asset: str, day: str, sums: list[str], a
 
 
 def asset_leaderboard(summaries: DataFrame, asset: str, day: str, value: str, discharge: str, start: str, end: str) -> DataFrame:
-    """Value, discharge, value per MWh and rank of the assets over a range of days; the ranking sees one row per asset."""
+    """Value, discharge, value per MWh and rank of the assets over a range of days, ties by asset. The order is global and
+    dealt by ranges, see ranking."""
     held = summaries.where(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     summed = held.groupBy(asset).agg(F.sum(value).alias("value"), F.sum(discharge).alias("discharge_mwh"))
-    place = F.row_number().over(Window.orderBy(F.col("value").desc(), asset))
-    return summed.withColumns({"value_per_mwh": F.try_divide("value", "discharge_mwh"), "rank": place})
+    placed = positions(summed, [F.col("value").desc(), F.col(asset).asc()], "_place")
+    return placed.withColumns({"value_per_mwh": F.try_divide("value", "discharge_mwh"), "rank": (F.col("_place") + 1).cast("int")}).drop("_place")
 
 
 def asset_interval_series(intervals: DataFrame, asset: str, ts: str, mw: str, storage: str, price: str) -> DataFrame:
