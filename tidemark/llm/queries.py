@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, fingerprinting, html_text, licenses, packing, pii, quality, secret_scan, simhash, token_counts, whitening
+from . import alignment, byte_bpe, chat_format, fingerprinting, html_text, licenses, packing, pii, quality, secret_scan, simhash, token_counts, whitening
 from .common import documents
 
-VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+VOCABULARY, RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +68,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(documents(spark, sf_dir, "embeddings"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), public_tokenizers.path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_token_counts, op2_simhash_near_duplicates, op3_secret_scan, op4_quality_rules, op5_byte_bpe, op6_document_fingerprints, op7_html_extraction, op8_best_fit_packing, op9_license_scan, op10_pii, op11_chat_format, op12_embedding_whitening)
+    made = (op1_token_counts, op2_simhash_near_duplicates, op3_secret_scan, op4_quality_rules, op5_byte_bpe, op6_document_fingerprints, op7_html_extraction, op8_best_fit_packing, op9_license_scan, op10_pii, op11_chat_format, op12_embedding_whitening, op13_token_alignment)
     return {f.__name__: f for f in made}
 
 
