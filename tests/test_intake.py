@@ -175,14 +175,19 @@ def test_stream_rollup_takes_late_ticks_and_drops_too_late_ones(spark, tmp_path)
 
 
 def test_stream_newest_revision(spark, tmp_path):
-    held = {"rows": [(1, 5, "stored")]}
-    schema = "k int, at int, v string"
-    sink = jobs.newest_revision_sink(lambda: spark.createDataFrame(held["rows"], schema), lambda df: held.update(rows=[tuple(r) for r in df.collect()]), ["k"], "at")
-    stream = batches(spark, tmp_path, schema, [(1, 4, "stale"), (2, 1, "new")], [(1, 9, "newer"), (1, 8, "older in the batch")], [(2, 0, "late")])
+    from tidemark.operators import merging
+
+    schema = "k int, at int, v string, day int"
+    path, staging = f"file://{tmp_path}/table", f"file://{tmp_path}/staging"
+    merging.write_days(spark.createDataFrame([(1, 5, "stored", 1), (9, 1, "other day", 2)], schema), path, "day")
+    sink = jobs.newest_revision_sink(path, staging, ["k", "day"], "at", "day")
+    stream = batches(spark, tmp_path, schema, [(1, 4, "stale", 1), (2, 1, "new", 1)], [(1, 9, "newer", 1), (1, 8, "older in the batch", 1)], [(2, 0, "late", 1)])
     stream.writeStream.foreachBatch(sink).trigger(availableNow=True).start().awaitTermination(120)
-    assert sorted(held["rows"]) == [(1, 9, "newer"), (2, 1, "new")]
-    sink(spark.createDataFrame([(1, 9, "newer")], schema), 7)
-    assert sorted(held["rows"]) == [(1, 9, "newer"), (2, 1, "new")]
+    held = lambda: sorted(tuple(r) for r in merging.read_table(spark, path, spark.createDataFrame([], schema).schema).collect())
+    want = [(1, 9, "newer", 1), (2, 1, "new", 1), (9, 1, "other day", 2)]
+    assert held() == want
+    sink(spark.createDataFrame([(1, 9, "newer", 1)], schema), 7)
+    assert held() == want
 
 
 def test_stream_interval_value(spark, tmp_path):

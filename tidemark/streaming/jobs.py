@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.battery import interval_value
-from ..operators.keys import dedupe_last, newest_wins_merge
+from ..operators.keys import dedupe_last
+from ..operators.merging import merge_into, newest_wins
 
 
 def stream_half_hour_rollup(ticks: DataFrame, key: list[str], ts: str, columns: list[str], late: str = "10 minutes") -> DataFrame:
@@ -18,11 +19,14 @@ def stream_half_hour_rollup(ticks: DataFrame, key: list[str], ts: str, columns:
     return shifted.groupBy(*key, F.window("_at", "30 minutes").alias("_w")).agg(*[F.avg(c).alias(c) for c in columns]).select(*key, F.col("_w.end").alias("interval_end"), *columns)
 
 
-def newest_revision_sink(read: Callable[[], DataFrame], write: Callable[[DataFrame], None], key: list[str], updated: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merges a batch into the stored table; a batch that comes again changes nothing."""
+def newest_revision_sink(path: str, staging: str, key: list[str], updated: str, day: str, ties: list[str] | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merges a batch into the table at path, which is partitioned by day, a part of the key. Only the
+    days of the batch are read and written. A batch that comes again under its id, after a crash at any point, changes
+    nothing more, see merging.merge_into. Of a batch's rows of one key and stamp the greatest in `ties` counts."""
 
-    def sink(batch: DataFrame, _: int) -> None:
-        write(newest_wins_merge(read(), dedupe_last(batch, key, [F.col(updated)]), key, updated))
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        newest = dedupe_last(batch, key, [F.col(updated), *map(F.col, ties or [])])
+        merge_into(batch.sparkSession, path, newest, day, newest_wins(key, updated), staging, batch_id)
 
     return sink
 
