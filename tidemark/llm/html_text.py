@@ -27,9 +27,13 @@ BLOCKS = HOLDERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "
 #: Prior knowledge for what the labelled pages do not show: signs of what is not the article, by element and by name.
 ASIDE = {"nav", "header", "footer", "aside", "form", "dialog", "head"}
 ASIDE_NAME = re.compile(r"(^|[-_])(ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|footer|header|menu|modal|nav\w*|newsletter|notice|popup|promo|related|share|sidebar|social|sponsor\w*|subscribe)($|[-_])", re.I)
+#: Elements that mark the article. What is aside within one costs nothing, so that it does not cut the region in two, and is
+#: left out; a header there has the title.
+ARTICLE, TITLED = {"article", "main"}, {"header"}
 #: Weights: a word where nothing is known, a word in an aside, a tag, the tag of an aside or of a holder; bounds of learned ones,
 #: and the least of a tag that is no holder, as links and list items stand in articles too.
 WORD, ASIDE_WORD, TAG_WEIGHT, ASIDE_TAG, MOST, LEAST, LEAST_INNER = 1.0, -1.0, -0.2, -6.0, 2.0, -8.0, -1.5
+OUTSIDE, WITHIN = "outside", "within"
 #: Pages that weights are learned from, at most.
 LABELLED = 2_000
 
@@ -38,12 +42,20 @@ class Region:
     """Where the walk through a page stands: the open holders and the block inside them."""
 
     def __init__(self):
-        self.holders: list[tuple[str, str, bool]] = []  # element, key, whether inside an aside
+        self.holders: list[tuple[str, str, str]] = []  # element, key, what it is aside of
         self.open: Counter = Counter()  # elements of the holders
         self.block = ""
 
-    def enter(self, name: str, key: str, aside: bool) -> None:
-        self.holders.append((name, key, aside or bool(self.holders and self.holders[-1][2])))
+    def aside(self, name: str, named: str) -> str:
+        """Whether an element that opens here is aside: not (""), of the page, or within an article."""
+        inside = bool(self.open.keys() & ARTICLE)
+        if self.holders and self.holders[-1][2]:
+            return self.holders[-1][2]
+        own = (name in ASIDE and not (inside and name in TITLED)) or bool(named and ASIDE_NAME.search(named))
+        return (WITHIN if inside else OUTSIDE) if own else ""
+
+    def enter(self, name: str, key: str, aside: str) -> None:
+        self.holders.append((name, key, aside))
         self.open[name] += 1
 
     def leave(self, name: str) -> str:
@@ -53,17 +65,19 @@ class Region:
         while True:
             last, key, _ = self.holders.pop()
             self.open[last] -= 1
+            if not self.open[last]:
+                del self.open[last]
             if last == name:
                 return key
 
-    def context(self) -> tuple[str, bool]:
-        name, key, aside = self.holders[-1] if self.holders else ("", "", False)
+    def context(self) -> tuple[str, str]:
+        name, key, aside = self.holders[-1] if self.holders else ("", "", "")
         return f"{key}>{self.block}", aside
 
 
-def walk(page: str) -> Iterator[tuple[str, str, str, bool]]:
+def walk(page: str) -> Iterator[tuple[str, str, str, str]]:
     """(what, key, text, aside) of a page in order: 'word' for text between tags with the key of its context, 'tag' for
-    tags; 'break' marks where a block starts or ends. Contents of scripts, styles and the like are left out."""
+    tags; 'break' marks where a block starts or ends; aside is OUTSIDE or WITHIN an article, or empty. Contents of scripts, styles and the like are left out."""
     at, region, n = 0, Region(), len(page)
     unclosed: set[str] = set()  # elements of RAW that no later tag closes
     while at < n:
@@ -89,32 +103,34 @@ def walk(page: str) -> Iterator[tuple[str, str, str, bool]]:
         key = f"{name}.{named[1].lower()}" if named else name
         if name in LISTS and not close and region.holders:
             key = f"{region.holders[-1][1].split(' ')[-1]} {key}"  # a list or table is what its place makes it
-        aside = name in ASIDE or bool(named and ASIDE_NAME.search(named[1]))
         if name in HOLDERS:
-            yield "break", "", "", False
+            yield "break", "", "", ""
             if close:
+                aside = region.context()[1] if region.open[name] else ""
                 yield "tag", f"/{region.leave(name)}", "", aside
             else:
+                aside = region.aside(name, named[1] if named else "")
                 yield "tag", key, "", aside
                 region.enter(name, key, aside)
             region.block = ""
         elif name in BLOCKS:
-            yield "break", "", "", False
-            yield "tag", ("/" if close else "") + name, "", False
+            yield "break", "", "", ""
+            yield "tag", ("/" if close else "") + name, "", region.context()[1]
             region.block = "" if close else name
         elif name == "br":
             yield "word", region.context()[0], " ", region.context()[1]
         elif name not in VOID:
-            yield "tag", ("/" if close else "") + name, "", False
+            yield "tag", ("/" if close else "") + name, "", region.context()[1]
 
 
-def weight_of(what: str, key: str, aside: bool, learned: dict[str, float]) -> float:
+def weight_of(what: str, key: str, aside: str, learned: dict[str, float]) -> float:
+    """Learned, or prior where nothing was learned; what is aside is never above zero, whatever was learned."""
     known = learned.get(f"{what} {key}")
-    if known is not None:
-        return known
+    if aside == WITHIN:
+        return 0.0
     if what == "word":
-        return ASIDE_WORD if aside else WORD
-    return ASIDE_TAG if aside else TAG_WEIGHT
+        return min(ASIDE_WORD if known is None else known, 0.0) if aside else WORD if known is None else known
+    return known if known is not None else ASIDE_TAG if aside and key.removeprefix("/").split(".")[0] in HOLDERS else TAG_WEIGHT
 
 
 def extract(page: str, learned: dict[str, float]) -> str:
@@ -145,15 +161,15 @@ def extract(page: str, learned: dict[str, float]) -> str:
 
 
 def label_counts(page: str) -> Counter:
-    """Words and tags of a labelled page, by key, inside and outside its one article."""
+    """Words and tags of a labelled page, by key, inside and outside its one article. What is aside within it is outside."""
     counts: Counter = Counter()
     inside = False
-    for what, key, text, _ in walk(page):
+    for what, key, text, aside in walk(page):
         if what == "tag" and key.split(".")[0] in ("article", "/article"):
             counts[f"tag {key}", False] += 1
             inside = not key.startswith("/")
         elif what != "break":
-            counts[f"{what} {key}", inside] += len(text.split()) if what == "word" else 1
+            counts[f"{what} {key}", inside and not aside] += len(text.split()) if what == "word" else 1
     return counts
 
 
