@@ -40,6 +40,8 @@ BREAK = re.compile(r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t>]*")
 PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 #: Readable characters in a row that a decoded run must have somewhere.
 STRETCH = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f-\x9f\udc80-\udcff]{12,}")
+#: Bytes of a piece in which such a stretch may begin that ends in the next one.
+SEEN = 48
 #: Bytes of compressed content scanned at once; more is scanned block by block, each with the end of the one before it.
 BLOCK, OVERLAP, PIECE = 1 << 26, 1 << 20, 1 << 16
 
@@ -112,14 +114,31 @@ def same(place: int) -> Callable[[int], int]:
     return lambda k: place
 
 
-def raw_inflated(data: bytes) -> bytes | None:
-    """What data that are one whole deflate stream without a header hold, if it is readable text of one block."""
+def raw_pieces(data: bytes) -> Iterator[bytes]:
+    """What a deflate stream without a header holds, in pieces of bounded size; an error of zlib where it is none, and
+    EOFError where it breaks off or other bytes follow it."""
     unzip = zlib.decompressobj(-15)
+    while not unzip.eof:
+        out = unzip.decompress(data, PIECE)
+        data = unzip.unconsumed_tail
+        if not out and not data and not unzip.eof:
+            raise EOFError
+        yield out
+    if unzip.unused_data:
+        raise EOFError
+
+
+def raw_inflated(data: bytes) -> Iterator[bytes] | None:
+    """The pieces of data that are one whole deflate stream without a header, if any of it is readable. The stream is read
+    once to find that out, as most data are none, and once more for its pieces, so its size does not matter."""
+    readable, before = False, b""
     try:
-        out = unzip.decompress(data, BLOCK)
-    except zlib.error:
+        for piece in raw_pieces(data):
+            readable = readable or bool(STRETCH.search((before + piece).decode(errors="surrogateescape")))
+            before = piece[-SEEN:]
+    except (zlib.error, EOFError):
         return None
-    return out if unzip.eof and not unzip.unused_data and STRETCH.search(out.decode(errors="surrogateescape")) else None
+    return raw_pieces(data) if readable else None
 
 
 def inflate(pieces: Iterable[bytes], ended: list[int]) -> Iterator[bytes]:
@@ -229,7 +248,9 @@ def from_base64(layer: Layer, m: re.Match) -> tuple[list[Layer], int]:
         text = data.decode(errors="surrogateescape")
         if not (found := list(STRETCH.finditer(text))):
             if not done and (raw := raw_inflated(data)):
-                out.append(Layer(shown(raw.decode(errors="surrogateescape")), same(first(0)), same(last(len(data)))))
+                made = list(blocks(raw))
+                out += [Layer(shown(x.decode(errors="surrogateescape")), same(first(0)), same(last(len(data)))) for x in made]
+                large += len(made) > 1
             continue
         a, b = found[0].start(), found[-1].end()
         k = len(text[:a].encode(errors="surrogateescape"))
