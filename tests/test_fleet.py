@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import battery, documents, fuel, keys
@@ -159,3 +160,38 @@ def test_drop_implausible_by_plain_walk(spark):
             assert got[(f, d)] == good
             last = v if good else last
     assert len(got) == len(rows)
+
+
+@pytest.mark.parametrize("before", [0, 1, 3, 8, 200])
+def test_sliding_maximum(before):
+    values = np.random.default_rng(before).normal(size=(4, 37))
+    values[1, ::3] = -np.inf
+    want = [[max(row[max(0, k - before) : k + 1]) for k in range(37)] for row in values]
+    assert np.array_equal(battery.sliding_max(values, before), want)
+
+
+def test_days_of_any_size_are_solved_side_by_side():
+    rnd = np.random.default_rng(3)
+    days = [battery.Day(np.round(rnd.normal(40, 80, n), 1), power, capacity, start, capacity / 3) for n, power, capacity, start in ((7, 5, 10, 0), (288, 50, 100, 40), (1, 200, 50, 50), (40, 1, 400, 399), (12, 30, 60, 7))]
+    best, mw = battery.benchmark_days(days)
+    for day, value, plan in zip(days, best, mw, strict=True):
+        alone, own = battery.benchmark_day(day.prices, day.power, day.capacity, day.start, day.end)
+        assert alone == value and np.array_equal(own, plan) and len(plan) == len(day.prices)
+        assert abs(float((plan / 12 * day.prices).sum()) - value) < 1e-6
+
+
+def test_registrations_meet_days_by_an_equality(spark):
+    """No product of both sides where Spark may not broadcast; open and reversed ranges, missing starts, months apart."""
+    date = datetime.date
+    regs = spark.createDataFrame([("a", date(2024, 1, 31), date(2024, 2, 1)), ("b", date(2023, 5, 1), None), ("c", None, None), ("d", date(2024, 3, 1), date(2024, 2, 1)), ("e", date(2019, 1, 1), date(2030, 1, 1)), ("f", date(2024, 2, 2), date(2024, 2, 2))], "unit string, s date, e date")
+    days = spark.createDataFrame([(date(2024, 1, 31),), (date(2024, 2, 1),), (date(2024, 2, 2),), (date(2024, 4, 1),), (None,)], "day date")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        held = battery.effective_registrations(regs, days, "day", "s", "e")
+        plan = held._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["unit"], r["day"]) for r in held.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "CartesianProduct" not in plan and "SortMergeJoin" in plan
+    assert got == sorted((u, d) for u, s, e in (tuple(r) for r in regs.collect()) for (d,) in days.collect() if d and s and s <= d and (e is None or d <= e))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import pairwise
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,12 +13,25 @@ from pyspark.sql import functions as F
 
 #: Intervals of an hour and of a day, round-trip efficiency and levels of the benchmark.
 PER_HOUR, PER_DAY, ROUND_TRIP, LEVELS = 12, 288, 0.9, 201
+#: Days that a task solves side by side, and the relative difference under which two ways count as equally good.
+DAYS, NEAR = 100, 1e-9
 
 
 def effective_registrations(regs: DataFrame, days: DataFrame, day: str, start: str, end: str) -> DataFrame:
-    """Registrations that hold on each day, both ends inclusive, a null end open. `days` is a short list of distinct
-    days, and Spark broadcasts it only under its own threshold."""
-    return regs.join(days, (F.col(start) <= F.col(day)) & (F.col(end).isNull() | (F.col(day) <= F.col(end))))
+    """Registrations that hold on each day, both ends inclusive, a null end open.
+
+    An interval join: ranges are cut into the months that they touch and that have days at all, and meet the days by
+    month, so Spark has an equality to hash or sort by. A range without a start, or that ends before it starts, holds on
+    no day. The span of months that bounds open ends is one row.
+    """
+    month = lambda c: F.months_between(F.trunc(c, "month"), F.lit("2000-01-01").cast("date")).cast("int")
+    dated = days.withColumn("_month", month(F.col(day)))
+    span = dated.agg(F.min("_month").alias("_low"), F.max("_month").alias("_high"))
+    ranges = regs.join(F.broadcast(span), F.lit(True))  # one row
+    low, high = F.greatest(month(F.col(start)), F.col("_low")), F.least(F.coalesce(month(F.col(end)), F.col("_high")), F.col("_high"))
+    cut = ranges.where(F.col(start).isNotNull() & (low <= high)).withColumn("_month", F.explode(F.sequence(low, high))).drop("_low", "_high")
+    held = (F.col(start) <= F.col(day)) & (F.col(end).isNull() | (F.col(day) <= F.col(end)))
+    return cut.join(dated, "_month").where(held).drop("_month")
 
 
 def join_dispatch(prices: DataFrame, regs: DataFrame, dispatch: DataFrame, scada: DataFrame) -> DataFrame:
@@ -123,74 +140,166 @@ def top_value_share(intervals: DataFrame, asset: str, day: str, order: list[str]
     return s.select(asset, day, F.when(F.col("_all") > 0, F.col("_top") / F.col("_all")).alias("top_share"))
 
 
-def benchmark_day(prices: np.ndarray, power: float, capacity: float, start: float, end: float, levels: int = LEVELS, round_trip: float = ROUND_TRIP) -> tuple[float, np.ndarray]:
-    """Best energy value with perfect foresight between two storage levels, and the MW of each interval that make it:
-    forward dynamic programme over levels. Of equal ways to a level the one from the lowest level counts; an end that
-    cannot be reached gives way to the nearest one that can, the lower of two."""
-    step, one_way, limit, top = capacity / (levels - 1), np.sqrt(round_trip), power / PER_HOUR, levels - 1
-    level = lambda stored: round(max(0.0, min(capacity, stored)) / step)
-    up, down = int(limit * one_way / step + 1e-9), int(limit / one_way / step + 1e-9)
-    move = np.arange(levels)[None, :] - np.arange(levels)[:, None]  # to column from row
-    grid = np.where(move > 0, -move * step / one_way, -move * step * one_way)
-    grid[(move > up) | (move < -down)] = np.nan
-    value, parents = np.full(levels, -np.inf), []
-    value[level(start)] = 0.0
-    for price in prices:
-        ways = value[:, None] + grid * price
-        ways[np.isnan(ways)] = -np.inf
-        before = ways.argmax(axis=0)  # the first of equal ones
-        parents.append(before)
-        value = ways[before, np.arange(levels)]
-    reached = np.flatnonzero(value > -np.inf)
-    at = int(min(reached, key=lambda k: (abs(k - level(end)), k)))
-    best, mw = float(value[at]), np.zeros(len(prices))
-    for k in range(len(prices) - 1, -1, -1):
-        before = int(parents[k][at])
-        mw[k] = grid[before, at] * PER_HOUR
-        at = before
-    assert 0 <= at <= top
-    return best, mw
+# The hindsight benchmark: a dynamic programme over storage levels, for many days at once
+
+
+def sliding_max(values: np.ndarray, before: int) -> np.ndarray:
+    """Along the last axis the largest of each value and the `before` ones ahead of it, in time that does not depend on
+    `before`: maxima from either end of blocks as long as the window, two of which cover any window."""
+    n, width = values.shape[-1], before + 1
+    padded = np.full((*values.shape[:-1], -(-(n + before) // width) * width), -np.inf)
+    padded[..., before : before + n] = values
+    cut = padded.reshape(*values.shape[:-1], -1, width)
+    ahead = np.maximum.accumulate(cut, axis=-1).reshape(padded.shape)
+    back = np.maximum.accumulate(cut[..., ::-1], axis=-1)[..., ::-1].reshape(padded.shape)
+    return np.maximum(back[..., :n], ahead[..., before : before + n])
+
 
+@dataclass
+class Day:
+    """Prices of a day's intervals, the battery, and its storage before the first and after the last of them."""
 
-def _days(series: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Intervals with their asset-day's power and capacity, which may be null."""
-    return series.select("asset", "day", "ts", F.col("rrp").cast("double").alias("rrp"), F.col("storage_mwh").cast("double").alias("storage_mwh"), F.col("energy_value").cast("double").alias("energy_value")).join(capacity.select("asset", "day", "power_mw", "capacity_mwh"), ["asset", "day"], "left")
+    prices: np.ndarray
+    power: float
+    capacity: float
+    start: float
+    end: float
+
+
+def benchmark_days(days: list[Day], levels: int = LEVELS, round_trip: float = ROUND_TRIP) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Best energy value of each day with perfect foresight between two storage levels, and the MW of each interval that
+    make it.
+
+    Days are solved side by side. What a level is worth after an interval is the largest of the levels that reach it, each
+    with its linear cost of charging or discharging taken off, so a step is two sliding maxima. An end that cannot be
+    reached gives way to the nearest level that can, the lower of two. The way back takes, of moves that are as good but
+    for rounding (NEAR), the one from the lowest level; the value is added up along it, so it has no rounding of the maxima.
+    """
+    if not days:
+        return np.empty(0), []
+    top, one_way = levels - 1, np.sqrt(round_trip)
+    at = np.arange(levels)
+    column = lambda f: np.array([f(d) for d in days], float)[:, None]
+    capacity, limit = column(lambda d: d.capacity), column(lambda d: d.power) / PER_HOUR
+    step = capacity / top
+    nearest = lambda f: np.rint(np.clip(column(f), 0.0, capacity) / step).astype(int)[:, 0]
+    first, wanted = nearest(lambda d: d.start), nearest(lambda d: d.end)
+    up = np.minimum((limit * one_way / step + 1e-9).astype(int), top)[:, 0]
+    down = np.minimum((limit / one_way / step + 1e-9).astype(int), top)[:, 0]
+    size = np.array([len(d.prices) for d in days])
+    prices = np.zeros((len(days), size.max(initial=0)))
+    for row, d in zip(prices, days, strict=True):
+        row[: len(d.prices)] = d.prices
+    charge, discharge = step / one_way * at, step * one_way * at  # MWh at the grid from level 0
+    value = np.full((len(days), levels), -np.inf)
+    value[np.arange(len(days)), first] = 0.0
+    held = [value]
+    for t in range(prices.shape[1]):
+        price, new = prices[:, t : t + 1], value.copy()
+        for moves, worth, turn in ((up, charge * price, slice(None)), (down, discharge * price, slice(None, None, -1))):
+            for width in np.unique(moves[t < size]):
+                own = (moves == width) & (t < size)
+                reached = sliding_max((value[own] + worth[own])[:, turn], int(width))[:, turn] - worth[own]
+                new[own] = np.maximum(new[own], reached)
+        value = new
+        held.append(value)
+    apart = np.where(value > -np.inf, np.abs(at - wanted[:, None]), levels)
+    level = apart.argmin(axis=1)  # the lower of two
+    grids = np.zeros(prices.shape)
+    for t in range(prices.shape[1] - 1, -1, -1):
+        move = level[:, None] - at  # levels up from each one before
+        grid = np.where(move > 0, -move * step / one_way, -move * step * one_way)
+        ways = np.where((move <= up[:, None]) & (move >= -down[:, None]), held[t] + grid * prices[:, t : t + 1], -np.inf)
+        most = ways.max(axis=1, keepdims=True)
+        before = (ways >= most - NEAR * np.maximum(1.0, np.abs(most))).argmax(axis=1)
+        own = t < size
+        grids[own, t] = grid[np.arange(len(days)), before][own]
+        level = np.where(own, before, level)
+    best = np.zeros(len(days))
+    for t in range(prices.shape[1]):
+        best = best + grids[:, t] * prices[:, t]
+    return best, [row[:n] * PER_HOUR for row, n in zip(grids, size, strict=True)]
+
+
+def benchmark_day(prices: np.ndarray, power: float, capacity: float, start: float, end: float, levels: int = LEVELS, round_trip: float = ROUND_TRIP) -> tuple[float, np.ndarray]:
+    """benchmark_days of one day."""
+    best, mw = benchmark_days([Day(np.asarray(prices, float), power, capacity, start, end)], levels, round_trip)
+    return float(best[0]), mw[0]
+
+
+def _solved(rows: pd.DataFrame, bounds: np.ndarray, levels: int) -> tuple[list[float | None], list[np.ndarray]]:
+    """Days of rows in time order, each from one bound to the next: a null price counts as zero; storage starts and ends as
+    first and last known, else half full; without power or capacity there is no benchmark."""
+    prices, storage = rows["rrp"].fillna(0.0).to_numpy(float), rows["storage_mwh"].to_numpy(float)
+    power, capacity = (rows[c].to_numpy(float) for c in ("power_mw", "capacity_mwh"))
+    days, where = [], []
+    for k, (a, b) in enumerate(pairwise(bounds)):
+        if power[a] > 0 and capacity[a] > 0:
+            known = storage[a:b][~np.isnan(storage[a:b])]
+            start, end = (known[0], known[-1]) if len(known) else (capacity[a] / 2,) * 2
+            days.append(Day(prices[a:b], power[a], capacity[a], start, end))
+            where.append(k)
+    best: list[float | None] = [None] * (len(bounds) - 1)
+    mw = [np.full(b - a, np.nan) for a, b in pairwise(bounds)]
+    for low in range(0, len(days), DAYS):
+        values, plans = benchmark_days(days[low : low + DAYS], levels)
+        for k, value, plan in zip(where[low:], values.tolist(), plans, strict=False):
+            best[k], mw[k] = value, plan
+    return best, mw
 
 
-def _solved(rows: pd.DataFrame, levels: int) -> tuple[float | None, np.ndarray]:
-    """A day in time order: a null price counts as zero; storage starts and ends as first and last known, else half full;
-    without power or capacity there is no benchmark."""
-    power, capacity = (float(rows[c].iloc[0]) for c in ("power_mw", "capacity_mwh"))
-    if not (power > 0 and capacity > 0):
-        return None, np.full(len(rows), np.nan)
-    held = rows["storage_mwh"].dropna()
-    start, end = (held.iloc[0], held.iloc[-1]) if len(held) else (capacity / 2, capacity / 2)
-    return benchmark_day(rows["rrp"].fillna(0.0).to_numpy(float), power, capacity, start, end, levels)
+def _by_day(series: DataFrame, capacity: DataFrame, solve: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """Runs solve over whole asset-days: their rows are dealt by asset and day over all shuffle partitions, which Spark does
+    not join again, sorted there, and handed on in batches cut between days. A task holds one batch and one day more."""
+    df = series.select("asset", "day", "ts", F.col("rrp").cast("double").alias("rrp"), F.col("storage_mwh").cast("double").alias("storage_mwh"), F.col("energy_value").cast("double").alias("energy_value"))
+    df = df.join(capacity.select("asset", "day", "power_mw", "capacity_mwh"), ["asset", "day"], "left")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(rows: pd.DataFrame) -> np.ndarray:
+        codes = np.stack([pd.factorize(rows[c])[0] for c in ("asset", "day")])
+        return np.flatnonzero(np.concatenate([[True], (codes[:, 1:] != codes[:, :-1]).any(axis=0)]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, size = [], 0
+        for batch in batches:
+            kept.append(batch)
+            size += len(batch)
+            if size < DAYS * PER_DAY:
+                continue
+            rows = pd.concat(kept, ignore_index=True)
+            starts = cut(rows)
+            if len(starts) > 1:
+                yield solve(rows.iloc[: starts[-1]], starts)
+            kept = [rows.iloc[starts[-1] :]]
+            size = len(kept[0])
+        if size:
+            rows = pd.concat(kept, ignore_index=True)
+            yield solve(rows, np.append(cut(rows), len(rows)))
+
+    return df.repartition(n, "asset", "day").sortWithinPartitions("asset", "day", "ts").mapInPandas(run, schema)
 
 
 def opportunity_benchmark(series: DataFrame, capacity: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Per asset and day: n, energy_value, benchmark_value and capture_ratio (null unless the benchmark is above zero).
-    series: asset, day, ts, rrp, storage_mwh, energy_value, one row per interval, so a group holds a day's intervals, 288
-    at most; capacity: asset, day, power_mw, capacity_mwh. Groups are spread over the cluster."""
-    df = _days(series, capacity)
-    kinds = dict(df.dtypes)
+    series: asset, day, ts, rrp, storage_mwh, energy_value, one row per interval; capacity: asset, day, power_mw,
+    capacity_mwh. Days are solved in batches, see _by_day."""
+    kinds = dict(series.dtypes)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        best, _ = _solved(rows, levels)
-        value = float(rows["energy_value"].fillna(0.0).sum())
-        return pd.DataFrame({"asset": rows["asset"].iloc[:1].to_numpy(), "day": rows["day"].iloc[:1].to_numpy(), "n": [len(rows)], "energy_value": [value], "benchmark_value": [best], "capture_ratio": [value / best if best is not None and best > 0 else None]})
+    def solve(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        best, _ = _solved(rows, bounds, levels)
+        value = np.add.reduceat(rows["energy_value"].fillna(0.0).to_numpy(float), bounds[:-1])
+        ratio = [v / b if b is not None and b > 0 else None for v, b in zip(value, best, strict=True)]
+        first = rows.iloc[bounds[:-1]]
+        return pd.DataFrame({"asset": first["asset"].to_numpy(), "day": first["day"].to_numpy(), "n": np.diff(bounds), "energy_value": value, "benchmark_value": best, "capture_ratio": ratio})
 
-    return df.groupBy("asset", "day").applyInPandas(run, f"asset {kinds['asset']}, day {kinds['day']}, n long, energy_value double, benchmark_value double, capture_ratio double")
+    return _by_day(series, capacity, solve, f"asset {kinds['asset']}, day {kinds['day']}, n long, energy_value double, benchmark_value double, capture_ratio double")
 
 
 def benchmark_schedule(series: DataFrame, capacity: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Per interval the benchmark's MW (null without one): asset, day, ts, rrp, benchmark_mw. See opportunity_benchmark."""
-    df = _days(series, capacity)
-    kinds = dict(df.dtypes)
+    kinds = dict(series.dtypes)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts").reset_index(drop=True)
-        return rows[["asset", "day", "ts", "rrp"]].assign(benchmark_mw=_solved(rows, levels)[1])
+    def solve(rows: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        return rows[["asset", "day", "ts", "rrp"]].assign(benchmark_mw=np.concatenate(_solved(rows, bounds, levels)[1]))
 
-    return df.groupBy("asset", "day").applyInPandas(run, f"asset {kinds['asset']}, day {kinds['day']}, ts {kinds['ts']}, rrp double, benchmark_mw double")
+    return _by_day(series, capacity, solve, f"asset {kinds['asset']}, day {kinds['day']}, ts {kinds['ts']}, rrp double, benchmark_mw double")

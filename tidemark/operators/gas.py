@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed values of the network jobs.
@@ -66,20 +65,21 @@ def seasonal_reference(held: DataFrame, facility: str, day: str, value: str) ->
 
 
 def drop_implausible(held: DataFrame, facility: str, day: str, value: str, share: float = PLAUSIBLE_SHARE, floor: float = PLAUSIBLE_FLOOR) -> DataFrame:
-    """Rows with `kept`: a day goes if it is further than max(median * share, floor) from the last day kept. The rule
-    depends on what was kept before, so a facility's days (one row each) are walked in order."""
-    schema = held.select(facility, F.col(day), F.col(value).cast("double")).schema.simpleString()[7:-1].replace(":", " ")
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(day)
-        reach, last, kept = max(rows[value].median() * share, floor), None, []
-        for x in rows[value]:
-            good = last is None or abs(x - last) <= reach
-            kept.append(good)
-            last = x if good else last
-        return rows.assign(kept=kept)
-
-    return held.where(F.col(value).isNotNull()).select(facility, day, F.col(value).cast("double")).groupBy(facility).applyInPandas(walk, f"{schema}, kept boolean")
+    """Rows with `kept`: a day goes if it is further than max(median * share, floor) from the last day kept.
+
+    The rule depends on what was kept before, so a facility's days, one row each, are sorted into an array and folded with
+    the last kept value as state; facilities are independent. Null values are left out; a facility's first day is kept.
+    """
+    rows = held.where(F.col(value).isNotNull()).select(F.col(facility).alias("_f"), F.col(day).alias("_d"), F.col(value).cast("double").alias("_v"))
+    walks = rows.groupBy("_f").agg(F.array_sort(F.collect_list(F.struct("_d", "_v"))).alias("_days"), F.greatest(F.median("_v") * share, F.lit(float(floor))).alias("_reach"))
+
+    def step(state: Column, x: Column) -> Column:
+        kept = state["last"].isNull() | (F.abs(x["_v"] - state["last"]) <= F.col("_reach"))
+        return F.struct(F.when(kept, x["_v"]).otherwise(state["last"]).alias("last"), F.concat(state["kept"], F.array(kept)).alias("kept"))
+
+    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<boolean>").alias("kept"))
+    walked = walks.select("_f", F.explode(F.arrays_zip("_days", F.aggregate("_days", start, step, lambda s: s["kept"]).alias("_kept"))).alias("x"))
+    return walked.select(F.col("_f").alias(facility), F.col("x._days._d").alias(day), F.col("x._days._v").alias(value), F.col("x._kept").alias("kept"))
 
 
 def flow_edges(flows: DataFrame, facility: str, day: str, place: str, least: float = LEAST_EDGE) -> DataFrame:

@@ -112,17 +112,37 @@ def b6_operating_summary(spark, sf_dir):
     return rounded(battery.operating_summary(valued(spark, sf_dir), capacity(spark, sf_dir))).withColumn("notes", F.array_join("notes", ";"))
 
 
-@query(None)
+#: The benchmark in SQL: a recursion over a day's intervals that carries the values of all levels. A day without power or
+#: capacity has none. Way back: of moves that are as good but for rounding, the one from the lowest level.
+SERIES = f"SELECT asset, day, ts, sum(storage_mwh) AS storage_mwh, max(rrp) AS rrp, sum(energy_value) AS energy_value FROM ({VALUED}) GROUP BY 1, 2, 3"
+_REWARD = "CASE WHEN {to} > {of} THEN -({to} - {of}) * step / eta * {price} ELSE ({of} - {to}) * step * eta * {price} END"
+SOLVED = f"""series AS MATERIALIZED (SELECT s.*, row_number() OVER (PARTITION BY asset, day ORDER BY ts) AS i, power_mw, capacity_mwh FROM ({SERIES}) s LEFT JOIN ({CAPACITY}) USING (asset, day)),
+days AS MATERIALIZED (SELECT *, round_even(greatest(0, least(capacity, coalesce(first_held, capacity / 2))) / step, 0)::INT AS start_level, round_even(greatest(0, least(capacity, coalesce(last_held, capacity / 2))) / step, 0)::INT AS end_level,
+    least(floor(power / 12 * eta / step + 1e-9), 200)::INT AS up, least(floor(power / 12 / eta / step + 1e-9), 200)::INT AS down FROM (SELECT asset, day, count(*) AS n, sum(coalesce(energy_value, 0)) AS energy_value, max(power_mw) AS power, max(capacity_mwh) AS capacity, max(capacity_mwh) / 200 AS step, sqrt(0.9) AS eta,
+    arg_min(storage_mwh, ts) FILTER (storage_mwh IS NOT NULL) AS first_held, arg_max(storage_mwh, ts) FILTER (storage_mwh IS NOT NULL) AS last_held, list(coalesce(rrp, 0) ORDER BY ts) AS prices FROM series GROUP BY 1, 2) WHERE power > 0 AND capacity > 0),
+forward AS (SELECT asset, day, 0 AS i, list_transform(range(201), lambda k: CASE WHEN k = start_level THEN 0.0 ELSE '-infinity'::DOUBLE END) AS v FROM days UNION ALL
+    SELECT f.asset, f.day, f.i + 1, list_transform(range(201), lambda k: list_max(list_transform(range(greatest(0, k - up), least(200, k + down) + 1), lambda j: f.v[j + 1] + {_REWARD.format(to="k", of="j", price="d.prices[f.i + 1]")}))) FROM forward f JOIN days d USING (asset, day) WHERE f.i < d.n),
+ends AS (SELECT asset, day, n, list_sort(list_transform(list_filter(range(201), lambda k: v[k + 1] > '-infinity'::DOUBLE), lambda k: {{'a': abs(k - end_level), 'k': k}}))[1].k AS level, v FROM forward JOIN days USING (asset, day) WHERE i = n)"""
+BENCHMARK = f"""SELECT asset, day, count(*) AS n, round(sum(coalesce(s.energy_value, 0)), 6) + 0.0 AS energy_value, round(any_value(e.v[e.level + 1]), 6) + 0.0 AS benchmark_value,
+    round(CASE WHEN any_value(e.v[e.level + 1]) > 0 THEN sum(coalesce(s.energy_value, 0)) / any_value(e.v[e.level + 1]) END, 6) + 0.0 AS capture_ratio FROM series s LEFT JOIN ends e USING (asset, day) GROUP BY 1, 2"""
+
+
+def series_of(spark, sf_dir):
+    return valued(spark, sf_dir).groupBy("asset", "day", "ts").agg(F.sum("storage_mwh").alias("storage_mwh"), F.max("rrp").alias("rrp"), F.sum("energy_value").alias("energy_value"))
+
+
+@query(f"WITH RECURSIVE {SOLVED} {BENCHMARK}")
 def b9_opportunity_benchmark(spark, sf_dir):
-    """A dynamic programme: no SQL; the tests compare it with a plain search."""
-    series = valued(spark, sf_dir).groupBy("asset", "day", "ts").agg(F.sum("storage_mwh").alias("storage_mwh"), F.max("rrp").alias("rrp"), F.sum("energy_value").alias("energy_value"))
-    return battery.opportunity_benchmark(series, capacity(spark, sf_dir))
+    return rounded(battery.opportunity_benchmark(series_of(spark, sf_dir), capacity(spark, sf_dir)))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {SOLVED}, back AS (SELECT asset, day, n AS i, level, NULL::INT AS up_to FROM ends UNION ALL SELECT asset, day, i - 1, least_of(ways, list_max(ways)) AS level, b_level AS up_to FROM (
+    SELECT b.asset, b.day, b.i, b.level AS b_level, list_transform(range(201), lambda j: CASE WHEN j >= b.level - up AND j <= b.level + down THEN f.v[j + 1] + {_REWARD.format(to="b.level", of="j", price="d.prices[b.i]")} ELSE '-infinity'::DOUBLE END) AS ways
+    FROM back b JOIN days d USING (asset, day) JOIN forward f ON f.asset = b.asset AND f.day = b.day AND f.i = b.i - 1 WHERE b.i > 0)),
+plan AS (SELECT b.asset, b.day, b.i + 1 AS i, CASE WHEN up_to > level THEN -(up_to - level) * step / eta ELSE (level - up_to) * step * eta END * 12 AS mw FROM back b JOIN days USING (asset, day) WHERE up_to IS NOT NULL)
+SELECT s.asset, s.day, s.ts, s.rrp, round(p.mw, 6) + 0.0 AS benchmark_mw FROM series s LEFT JOIN plan p USING (asset, day, i)""".replace("least_of(ways, list_max(ways))", "list_filter(range(201), lambda j: ways[j + 1] >= list_max(ways) - 1e-9 * greatest(1, abs(list_max(ways))))[1]"))
 def b9_benchmark_schedule(spark, sf_dir):
-    series = valued(spark, sf_dir).groupBy("asset", "day", "ts").agg(F.sum("storage_mwh").alias("storage_mwh"), F.max("rrp").alias("rrp"), F.sum("energy_value").alias("energy_value"))
-    return battery.benchmark_schedule(series, capacity(spark, sf_dir))
+    return rounded(battery.benchmark_schedule(series_of(spark, sf_dir), capacity(spark, sf_dir)))
 
 
 @query(f"""SELECT asset, day, strftime(ts, '%H:%M') AS clock, CASE WHEN strftime(ts, '%H:%M') = '00:00' THEN '24:00' ELSE strftime(ts, '%H:%M') END AS time, round(scada_mw, 6) AS scada_mw, round(target_mw, 6) AS target_mw, storage_mwh, rrp, round(energy_value, 6) + 0.0 AS energy_value, round(fcas_value, 6) AS fcas_value, round(observable_value, 6) + 0.0 AS observable_value,
@@ -138,9 +158,9 @@ def b16_fcas_breakdown(spark, sf_dir):
     return rounded(battery.fcas_breakdown(valued(spark, sf_dir), ["asset"], "enablement", "fcas_prices"))
 
 
-@query(None)
+@query(f"WITH RECURSIVE {SOLVED} SELECT u.*, b.benchmark_value, b.capture_ratio FROM ({SUMMARY}) u LEFT JOIN ({BENCHMARK}) b USING (asset, day)")
 def b18_recalculate_summaries(spark, sf_dir):
-    """b6 and b9 over all that is held; compared with them in the tests."""
+    """b6 and b9 over all that is held."""
     return rounded(battery.recalculate_summaries(valued(spark, sf_dir), capacity(spark, sf_dir))).withColumn("notes", F.array_join("notes", ";"))
 
 
@@ -196,7 +216,8 @@ def d9_coverage_margin(spark, sf_dir):
     return df.select("source", "rows_stored", "missing_days", "days_behind", "days_ahead", "days_until_loss", "urgent")
 
 
-for _name in ("b2_effective_registrations", "b6_operating_summary", "b15_interval_inspector"):
+for _name in ("b2_effective_registrations", "b6_operating_summary", "b9_opportunity_benchmark", "b15_interval_inspector", "b18_recalculate_summaries"):
     as_text(_name, ("day",))
 for _name in ("b3_join_dispatch", "b4_observable_value"):
     as_text(_name, ("ts",))
+as_text("b9_benchmark_schedule", ("day", "ts"))

@@ -191,7 +191,9 @@ def g10_seasonal_reference(spark, sf_dir):
     return rounded(gas.seasonal_reference(held(spark, sf_dir), "facility", "gas_date", "held"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE h AS MATERIALIZED (SELECT facility, gas_date, held, row_number() OVER (PARTITION BY facility ORDER BY gas_date) AS i, greatest(median(held) OVER (PARTITION BY facility) * 0.5, 20) AS reach FROM ({HELD}) WHERE held IS NOT NULL),
+w AS (SELECT facility, i, held AS last, true AS kept FROM h WHERE i = 1 UNION ALL SELECT h.facility, h.i, CASE WHEN abs(h.held - w.last) <= reach THEN h.held ELSE w.last END, abs(h.held - w.last) <= reach FROM w JOIN h ON h.facility = w.facility AND h.i = w.i + 1)
+SELECT facility, gas_date, held, kept FROM h JOIN w USING (facility, i)""")
 def g12_drop_implausible(spark, sf_dir):
     return gas.drop_implausible(held(spark, sf_dir), "facility", "gas_date", "held", share=0.5, floor=20.0)
 
