@@ -122,3 +122,34 @@ def test_attention_rules(spark):
         elif a is not None and a >= 10 and u >= 10:
             want = "acceleration"
         assert got[str(k)] == want
+
+
+def test_fits_of_all_k_at_once_by_brute_force(spark):
+    """A thousand accounts: the shared passes give each k what a fit of its own gives."""
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    points = np.round(rnd.normal(size=(1000, 5)) + rnd.integers(-2, 3, size=(1000, 1)), 3)
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "account_id int, " + ", ".join(f"{c} double" for c in archetypes.FEATURES)).repartition(5)
+    apart = lambda centres: np.sqrt(((points[:, None, :] - np.array(centres)[None]) ** 2).sum(axis=2))
+    got = archetypes.seeded_kmeans(df, [3, 4, 5])
+    scores = archetypes.silhouettes(df, got)
+    for k in (3, 4, 5):
+        centres = [points[apart([points.mean(axis=0)])[:, 0].argmin()]]
+        while len(centres) < k:
+            centres.append(points[apart(centres).min(axis=1).argmax()])
+        before = None
+        for _ in range(archetypes.ROUNDS):
+            near = apart(centres).argmin(axis=1)
+            if before is not None and (near == before).all():
+                break
+            before = near
+            centres = [points[near == j].mean(axis=0) for j in range(k)]
+        assert np.allclose(got[k], centres, atol=1e-9)
+        near = apart(got[k]).argmin(axis=1)
+        square = ((points[:, None, :] - points[None]) ** 2).sum(axis=2)
+        means = np.array([[square[i, near == j].sum() / max(1, (near == j).sum() - (near[i] == j)) for j in range(k)] for i in range(1000)])
+        own = means[np.arange(1000), near]
+        means[np.arange(1000), near] = np.inf
+        value = np.where(np.bincount(near, minlength=k)[near] > 1, (means.min(axis=1) - own) / np.maximum(means.min(axis=1), own), 0.0)
+        assert abs(scores[k][0] - value.mean()) < 1e-9 and scores[k][1] == np.bincount(near).min()

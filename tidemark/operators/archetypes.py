@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
+from .order_stats import order_statistics, quantile
+
 #: Features in order, the bounds of a scaled one, and the limits of the fit.
 FEATURES = ("adoption_level", "adoption_momentum", "arr_momentum", "support_position", "engagement_position")
 BOUND, LEAST_ROWS, LEAST_ACCOUNTS, LEAST_MEMBERS, ROUNDS, EXTRA_CLUSTER, OLDEST_REVIEW = 3.0, 4, 15, 2, 60, 0.005, 730
@@ -45,82 +48,113 @@ def behaviour_features(accounts: DataFrame, timeline: DataFrame, evidence: DataF
 
 def robust_scale(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
     """Each column as (x - median) / spread, within BOUND; null is the median. The spread is the distance between the
-    medians of the lower and the upper half, else the population's deviation, else 1. Medians are exact: a task holds the
-    distinct values of a column."""
-    counts = features.agg(*[F.count(c).alias(c) for c in columns]).first()
-    found = []
+    medians of the lower and the upper half, else the population's deviation, else 1. Medians are exact and found by
+    refined histograms, all columns in the same passes; the driver gets one row per column."""
+    long = features.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select("x.*")
+    half = lambda n: (F.floor(n / 2) - 1) / 2
+    places = {"middle": quantile(0.5), "a": half, "b": lambda n: (n - 1) - half(n)}
+    found = {r["column"]: r for r in order_statistics(long, ["column"], "value", places).collect()}
+    deviation = features.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    kept, scaled = [c for c in features.columns if c not in columns], []
     for c in columns:
-        n = counts[c]
-        low = max(0.0, ((n // 2 - 1) / 2) / (n - 1)) if n >= 4 else 0.0
-        found += [F.median(c).alias(f"_{c}_m"), F.stddev_pop(c).alias(f"_{c}_d"), *((F.percentile(c, p) if n >= 4 else F.lit(0.0)).alias(f"_{c}_{side}") for side, p in (("a", low), ("b", 1 - low)))]
-    df = features.crossJoin(F.broadcast(features.agg(*found)))  # one row
-    half = {c: F.col(f"_{c}_b") - F.col(f"_{c}_a") for c in columns}
-    spread = {c: F.when(half[c] > 0, half[c]).when(F.col(f"_{c}_d") > 0, F.col(f"_{c}_d")).otherwise(1.0) for c in columns}
-    middle = {c: F.coalesce(F.col(f"_{c}_m"), F.lit(0.0)) for c in columns}
-    kept = [c for c in features.columns if c not in columns]
-    return df.select(*kept, *[F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), (F.coalesce(F.col(c), middle[c]) - middle[c]) / spread[c])).alias(c) for c in columns])
+        r = found.get(c)
+        middle, spread = (r["middle"], r["b"] - r["a"] if r["n"] >= 4 else 0.0) if r else (0.0, 0.0)
+        spread = spread if spread > 0 else deviation[c] if deviation[c] and deviation[c] > 0 else 1.0
+        x = (F.coalesce(F.col(c), F.lit(middle)) - F.lit(middle)) / F.lit(spread)
+        scaled.append(F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), x)).alias(c))
+    return features.select(*kept, *scaled)
 
 
-def _distance(columns: tuple[str, ...], centre: list[float]) -> Column:
-    return F.sqrt(sum(((F.col(c) - F.lit(float(x))) * (F.col(c) - F.lit(float(x))) for c, x in zip(columns, centre, strict=True)), F.lit(0.0)))
+def _apart(columns: tuple[str, ...], centre: Column) -> Column:
+    """Squared distance of a row from a centre, an array in the columns' order."""
+    return F.aggregate(F.zip_with(F.array(*columns), centre, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
 
 
-def _nearest(columns: tuple[str, ...], centres: list[list[float]]) -> Column:
+def _nearest(columns: tuple[str, ...], centres: Column) -> Column:
     """Number of the nearest centre, the first of equal ones."""
-    return F.array_min(F.array(*[F.struct(_distance(columns, c).alias("d"), F.lit(k).alias("k")) for k, c in enumerate(centres)]))["k"]
+    return F.array_min(F.transform(centres, lambda c, k: F.struct(F.sqrt(_apart(columns, c)).alias("d"), k.alias("k"))))["k"]
+
+
+def _given(spark: SparkSession, centres: dict[int, list[list[float]]]) -> DataFrame:
+    """A row per k with its centres: three at most, which are broadcast."""
+    return F.broadcast(spark.createDataFrame([(k, c) for k, c in sorted(centres.items())], "k int, centres array<array<double>>"))
 
 
-def seeded_kmeans(vectors: DataFrame, k: int, columns: tuple[str, ...] = FEATURES, id_col: str = "account_id") -> list[list[float]]:
-    """Centres: the first is the vector nearest to the mean, each next one the farthest from those before, ties by id; then
-    means of members until none moves, at most ROUNDS times."""
-    one = lambda order: [float(x) for x in vectors.orderBy(*order, id_col).select(*columns).first()]
+def seeds(vectors: DataFrame, k: int, columns: tuple[str, ...] = FEATURES, id_col: str = "account_id") -> list[list[float]]:
+    """First centres: the vector nearest to the mean, then each time the farthest from those before, ties by id. Those of a
+    smaller k are the first of them. One pass over the vectors for each."""
+    spark = vectors.sparkSession
+    best = lambda order, held: list(vectors.crossJoin(_given(spark, {0: held})).orderBy(order, id_col).select(F.array(*columns)).first()[0])
     mean = [float(x) for x in vectors.agg(*[F.avg(c) for c in columns]).first()]
-    centres = [one([_distance(columns, mean)])]
-    while len(centres) < k:
-        centres.append(one([F.least(*[_distance(columns, c) for c in centres], F.lit(float("inf"))).desc()]))
-    before = None
+    found = [best(F.sqrt(_apart(columns, F.get("centres", 0))), [mean])]
+    while len(found) < k:
+        found.append(best(F.array_min(F.transform("centres", lambda c: F.sqrt(_apart(columns, c)))).desc(), found))
+    return found
+
+
+def seeded_kmeans(vectors: DataFrame, ks: list[int], columns: tuple[str, ...] = FEATURES, id_col: str = "account_id") -> dict[int, list[list[float]]]:
+    """Centres for every k at once: from the seeds, means of members until no member moves, at most ROUNDS times. A round
+    is one aggregate over the vectors, stacked for those k that still move; the driver gets k rows for each."""
+    if not ks:
+        return {}
+    first = seeds(vectors, max(ks), columns, id_col)
+    centres = {k: [list(c) for c in first[:k]] for k in ks}
+    moving, before = set(ks), {}
     for _ in range(ROUNDS):
-        near = _nearest(columns, centres)
-        rows = vectors.groupBy(near.alias("k")).agg(F.count("*").alias("n"), F.sum(F.xxhash64(id_col).cast("decimal(38,0)")).alias("who"), *[F.avg(c).alias(c) for c in columns]).collect()  # k rows
-        now = sorted((r["k"], r["n"], r["who"]) for r in rows)
-        if now == before:
-            break
-        before = now
+        stacked = vectors.crossJoin(_given(vectors.sparkSession, {k: centres[k] for k in moving}))
+        rows = stacked.groupBy("k", _nearest(columns, F.col("centres")).alias("at")).agg(F.count("*").alias("n"), F.sum(F.xxhash64(id_col).cast("decimal(38,0)")).alias("who"), *[F.avg(c).alias(c) for c in columns]).collect()
+        now = {k: sorted((r["at"], r["n"], r["who"]) for r in rows if r["k"] == k) for k in moving}
+        moving = {k for k in moving if now[k] != before.get(k)}
+        before |= now
         for r in rows:
-            centres[r["k"]] = [float(r[c]) for c in columns]
+            if r["k"] in moving:
+                centres[r["k"]][r["at"]] = [float(r[c]) for c in columns]
+        if not moving:
+            break
     return centres
 
 
-def silhouette(vectors: DataFrame, centres: list[list[float]], columns: tuple[str, ...] = FEATURES) -> tuple[float, int]:
-    """Mean silhouette by squared distances, which needs only the sums of each group, and the smallest group's size."""
-    marked = vectors.withColumn("_k", _nearest(columns, centres))
+def silhouettes(vectors: DataFrame, centres: dict[int, list[list[float]]], columns: tuple[str, ...] = FEATURES) -> dict[int, tuple[float, int]]:
+    """For each k the mean silhouette by squared distances, which needs only the sums of each group, and the smallest
+    group's size; -1 and 0 where a group has no members. Two passes for all k."""
+    if not centres:
+        return {}
+    spark = vectors.sparkSession
     square = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
-    groups = {r["_k"]: r for r in marked.groupBy("_k").agg(F.count("*").alias("n"), F.avg(square).alias("q"), *[F.avg(c).alias(c) for c in columns]).collect()}  # at most five rows
-    if len(groups) < len(centres):
-        return -1.0, 0
-    to = lambda g: square + g["q"] - 2 * sum((F.col(c) * F.lit(float(g[c])) for c in columns), F.lit(0.0))
-    own = F.coalesce(*[F.when(F.col("_k") == k, F.when(F.lit(g["n"] > 1), to(g) * g["n"] / max(1, g["n"] - 1))) for k, g in groups.items()])
-    other = F.least(*[F.when(F.col("_k") != k, to(g)) for k, g in groups.items()])
-    value = F.when(own.isNull(), 0.0).otherwise(F.coalesce(F.try_divide(other - own, F.greatest(other, own)), F.lit(0.0)))
-    return float(marked.agg(F.avg(value)).first()[0]), min(g["n"] for g in groups.values())
+    marked = vectors.crossJoin(_given(spark, centres)).withColumn("_at", _nearest(columns, F.col("centres"))).drop("centres")
+    groups = marked.groupBy("k", "_at").agg(F.count("*").alias("n"), F.avg(square).alias("q"), *[F.avg(c).alias(c) for c in columns]).collect()  # k rows for each k
+    whole = {k for k, c in centres.items() if sum(g["k"] == k for g in groups) == len(c)}
+    table = [(k, sorted((g["_at"], g["n"], g["q"], [float(g[c]) for c in columns]) for g in groups if g["k"] == k)) for k in sorted(whole)]
+    found = dict.fromkeys(centres, (-1.0, 0))
+    if not table:
+        return found
+    known = F.broadcast(spark.createDataFrame(table, "k int, _groups array<struct<at: int, n: long, q: double, mean: array<double>>>"))
+    to = lambda g: square + g["q"] - 2 * F.aggregate(F.zip_with(F.array(*columns), g["mean"], lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
+    mine = F.get(F.filter("_groups", lambda g: g["at"] == F.col("_at")), 0)
+    df = marked.join(known, "k").withColumns({"_mine": mine, "_other": F.array_min(F.transform(F.filter("_groups", lambda g: g["at"] != F.col("_at")), to))})
+    own = F.when(F.col("_mine.n") > 1, to(F.col("_mine")) * F.col("_mine.n") / (F.col("_mine.n") - 1))
+    value = F.when(own.isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("_other") - own, F.greatest(F.col("_other"), own)), F.lit(0.0)))
+    for r in df.groupBy("k").agg(F.avg(value).alias("score")).collect():
+        found[r["k"]] = float(r["score"]), min(g["n"] for g in groups if g["k"] == r["k"])
+    return found
 
 
 def cluster_accounts(vectors: DataFrame, columns: tuple[str, ...] = FEATURES) -> tuple[DataFrame, list[list[float]]]:
     """vectors with the number of each row's group, and the centres: of three groups to five (a fifth of the accounts at
     most), those of the best silhouette, less a little for each further group. Without LEAST_ACCOUNTS accounts, or groups of
-    LEAST_MEMBERS, no rows and no centres. Null vectors are not allowed; robust_scale leaves none."""
-    held = vectors.persist()
+    LEAST_MEMBERS, no rows and no centres. Null vectors are not allowed; robust_scale leaves none. All three fits share
+    their passes over the vectors, which are written once."""
+    held = written(vectors)
     n = held.count()
+    centres = seeded_kmeans(held, list(range(3, min(5, n // 5) + 1)) if n >= LEAST_ACCOUNTS else [], columns)
     best = None
-    for k in range(3, min(5, n // 5) + 1) if n >= LEAST_ACCOUNTS else ():
-        centres = seeded_kmeans(held, k, columns)
-        score, least = silhouette(held, centres, columns)
+    for k, (score, least) in sorted(silhouettes(held, centres, columns).items()):
         if least >= LEAST_MEMBERS and (best is None or score - EXTRA_CLUSTER * (k - 3) > best[0]):
-            best = score - EXTRA_CLUSTER * (k - 3), centres
-    held.unpersist()
+            best = score - EXTRA_CLUSTER * (k - 3), centres[k]
     if best is None:
         return vectors.withColumn("cluster", F.lit(0)).where("false"), []
-    return vectors.withColumn("cluster", _nearest(columns, best[1])), best[1]
+    chosen = _given(vectors.sparkSession, {0: best[1]}).withColumnRenamed("centres", "_centres").drop("k")
+    return held.crossJoin(chosen).withColumn("cluster", _nearest(columns, F.col("_centres"))).drop("_centres"), best[1]
 
 
 def named(centres: list[list[float]], columns: tuple[str, ...] = FEATURES) -> list[str]:

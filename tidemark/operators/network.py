@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gas import END_USE, SUPPLY
+from .order_stats import order_statistics, quantile
 
 #: Kind of an export facility, first day with end-use facilities, quantiles and step of a legend.
 EXPORT, EXPANSION, LEGEND_QUANTILES, LEGEND_STEP = "LNG", "2023-03-15", (0.25, 0.60, 0.95), 5
@@ -45,9 +46,14 @@ def unplaced_nodes(nodes: DataFrame, locations: DataFrame, place: str) -> DataFr
     return nodes.where(F.col(place).isNotNull()).select(place).distinct().join(locations.select(place), place, "left_anti")
 
 
-def legend_examples(values: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Distinct positive quantiles of each group's values, to the nearest step (half to even)."""
-    found = values.groupBy(*by).agg(F.percentile(value, list(LEGEND_QUANTILES)).alias("_q")).select(*by, F.explode("_q").alias("_v"))
+def legend_examples(values: DataFrame, by: list[str], value: str, large: bool = False) -> DataFrame:
+    """Distinct positive quantiles of each group's values, to the nearest step (half to even). large: groups whose distinct
+    values one task should not hold; quantiles then come from refined histograms, and are the same."""
+    if large:
+        places = {f"_q{i}": quantile(p) for i, p in enumerate(LEGEND_QUANTILES)}
+        found = order_statistics(values, by, value, places).select(*by, F.explode(F.array(*places)).alias("_v"))
+    else:
+        found = values.groupBy(*by).agg(F.percentile(value, list(LEGEND_QUANTILES)).alias("_q")).select(*by, F.explode("_q").alias("_v"))
     return found.select(*by, (F.bround(F.col("_v") / LEGEND_STEP, 0) * LEGEND_STEP).alias("example")).where("example > 0").distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import interval_end
+from .order_stats import order_statistics, quantile
 
 #: Fixed value: the market's floor price.
 FLOOR = -1000.0
@@ -56,9 +57,15 @@ def rolling_median(df: DataFrame, grid: DataFrame, key: list[str], day: str, val
     return joined.groupBy(*grid.columns).agg(F.greatest(F.lit(FLOOR), F.median("lag_value")).alias("predicted"))
 
 
-def score_runs(points: DataFrame, actuals: DataFrame, run: list[str], on: list[str], actual: str) -> DataFrame:
-    """n, mean, median and largest absolute error of each run over what is settled."""
+def score_runs(points: DataFrame, actuals: DataFrame, run: list[str], on: list[str], actual: str, large: bool = False) -> DataFrame:
+    """n, mean, median and largest absolute error of each run over what is settled. large: runs whose distinct errors one
+    task should not hold; the median then comes from refined histograms, and is the same."""
     error = F.abs(F.col("predicted") - F.col(actual))
+    if large:
+        met = points.join(actuals.select(*on, actual), on).select(*run, error.alias("_error"))
+        found = met.groupBy(*run).agg(F.count("*").alias("_all"), F.avg("_error").alias("mae"), F.max("_error").alias("max_ae"))
+        middle = order_statistics(met, run, "_error", {"median_ae": quantile(0.5)}).select(*run, "median_ae")
+        return found.join(middle, run, "left").select(*run, F.col("_all").alias("n"), "mae", "median_ae", "max_ae")
     return points.join(actuals.select(*on, actual), on).groupBy(*run).agg(F.count("*").alias("n"), F.avg(error).alias("mae"), F.median(error).alias("median_ae"), F.max(error).alias("max_ae"))
 
 
@@ -76,11 +83,15 @@ def temperature_pairs(df: DataFrame, key: list[str], day: str, price: str, tempe
     return df.join(before, [*key, day]).select(*key, day, (cooling(F.col(temperature)) - cooling(F.col("_t"))).alias("d_cool"), (heating(F.col(temperature)) - heating(F.col("_t"))).alias("d_heat"), (F.col(price) - F.col("_p")).alias("d_price"))
 
 
-def fit_betas(pairs: DataFrame, by: list[str], least: int = 40) -> DataFrame:
+def fit_betas(pairs: DataFrame, by: list[str], least: int = 40, large: bool = False) -> DataFrame:
     """Least squares through the origin of d_price on d_cool and d_heat per group, without prices outside the 2nd to
     98th percentile; groups of fewer pairs get zeros and a reason. Where the inputs are collinear, cooling alone is fitted if
-    it varies at all, else heating alone."""
-    bounds = pairs.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("d_price", 0.02).alias("_lo"), F.percentile("d_price", 0.98).alias("_hi"))
+    it varies at all, else heating alone. large: groups whose distinct prices one task should not hold; the percentiles
+    then come from refined histograms, and are the same."""
+    if large:
+        bounds = order_statistics(pairs, by, "d_price", {"_lo": quantile(0.02), "_hi": quantile(0.98)}).withColumnRenamed("n", "_n")
+    else:
+        bounds = pairs.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("d_price", 0.02).alias("_lo"), F.percentile("d_price", 0.98).alias("_hi"))
     kept = pairs.join(bounds, by).where(F.col("d_price").between(F.col("_lo"), F.col("_hi")))
     c, h, p = F.col("d_cool"), F.col("d_heat"), F.col("d_price")
     s = kept.groupBy(*by).agg(F.sum(c * c).alias("cc"), F.sum(h * h).alias("hh"), F.sum(c * h).alias("ch"), F.sum(c * p).alias("cp"), F.sum(h * p).alias("hp"), F.max("_n").alias("n_pairs"))
