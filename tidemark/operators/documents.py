@@ -76,7 +76,8 @@ def rebuild_documents(tables: dict[str, tuple[DataFrame, str, str]], user: str)
         long = part if long is None else long.unionByName(part)
     one = long.groupBy(user, "namespace", "item").agg(F.max("value").alias("value"))
     spaces = one.groupBy(user, "namespace").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("item", "value")))).alias("items"))
-    return spaces.groupBy(user).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("namespace", F.to_json("items").alias("items")))))).alias("document"))
+    by_name = lambda a, b: F.when(a["namespace"] < b["namespace"], -1).when(a["namespace"] > b["namespace"], 1).otherwise(0)
+    return spaces.groupBy(user).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("namespace", "items")), by_name))).alias("document"))
 
 
 def recent_sessions(df: DataFrame, user: str, at: str, seconds: str, mode: str, modes: list[str], tie: str, k: int = 500) -> DataFrame:

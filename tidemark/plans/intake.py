@@ -396,13 +396,13 @@ def s1_decompose_documents(spark, sf_dir):
     return documents.decompose_documents(user_documents(spark, sf_dir), "user_id", "document")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS namespaces, count(DISTINCT event_type || strftime(ts, '%Y-%m-%d')) AS items FROM events GROUP BY 1")
+@query("""WITH i AS (SELECT user_id, event_type AS ns, strftime(ts, '%Y-%m-%d') AS item, max(event_id) AS v FROM events GROUP BY 1, 2, 3),
+n AS (SELECT user_id, ns, '{' || string_agg('"' || item || '":"' || v || '"', ',' ORDER BY item) || '}' AS items FROM i GROUP BY 1, 2)
+SELECT user_id, '{' || string_agg('"' || ns || '":' || items, ',' ORDER BY ns) || '}' AS document FROM n GROUP BY 1""")
 def s5_rebuild_documents(spark, sf_dir):
     flat = documents.decompose_documents(user_documents(spark, sf_dir), "user_id", "document")
     kinds = ("click", "error", "purchase", "signup", "view")
-    whole = documents.rebuild_documents({k: (flat.where(F.col("namespace") == k), "item", "value") for k in kinds}, "user_id")
-    inner = F.from_json("document", "map<string,string>")
-    return whole.select("user_id", F.explode(inner).alias("k", "v")).groupBy("user_id").agg(F.count("*").alias("namespaces"), F.sum(F.size(F.from_json("v", "map<string,string>"))).alias("items"))
+    return documents.rebuild_documents({k: (flat.where(F.col("namespace") == k), "item", "value") for k in kinds}, "user_id")
 
 
 def _halves(spark, sf_dir):
