@@ -100,7 +100,7 @@ def test_learned_models_stay_within_what_they_saw(spark, kind):
     grid = spark.createDataFrame([("r", ORIGIN, ORIGIN + k * HALF) for k in range(1, 337)], "region string, origin timestamp_ntz, ts timestamp_ntz")
     runs, reference = grid.select("region", "origin").distinct(), forecast.reference_temperature(w)
     train, ask = forecast.training_matrix(prices, reference, runs), forecast.feature_matrix(grid, prices, reference, forecast.target_temperature(w, runs))
-    small = {"forest": {"numTrees": 10, "maxDepth": 6}, "boosting": {"maxIter": 15}}
+    small = {"forest": {"trees": 10, "depth": 6}, "boosting": {"rounds": 60}}
     made = forecast.fit_predict_network(train, ask) if kind == "network" else forecast.fit_predict_trees(train, ask, kind, **small[kind])[0]
     got = {r["ts"]: r["predicted"] for r in made.collect()}
     truth = {ORIGIN + k * HALF: 40.5 + 30 * math.sin((ORIGIN + k * HALF).hour / 24 * 2 * math.pi) for k in range(1, 337)}
@@ -116,3 +116,72 @@ def test_interpolation_and_rollup(spark):
     assert got == [(ORIGIN, 10.0), (ORIGIN + HALF, 15.0), (ORIGIN + 2 * HALF, 20.0), (ORIGIN + 6 * HALF, 40.0)]
     five = spark.createDataFrame([("r", ORIGIN + datetime.timedelta(minutes=5 * k), 10.0 * k) for k in range(1, 7)], "region string, ts timestamp_ntz, v double")
     assert [tuple(r) for r in price.half_hour_rollup(five, ["region"], "ts", ["v"]).collect()] == [("r", ORIGIN + HALF, 35.0)]
+
+
+def plain_split(x, y, leaf, l2=0.0):
+    """The best first split by trying all, as (gain, feature, rows to the left)."""
+    best = (0.0, None, None)
+    whole = y.sum() ** 2 / (len(y) + l2)
+    for f in range(x.shape[1]):
+        for cut in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= cut
+            if min(left.sum(), (~left).sum()) >= leaf:
+                gain = y[left].sum() ** 2 / (left.sum() + l2) + y[~left].sum() ** 2 / ((~left).sum() + l2) - whole
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, frozenset(np.flatnonzero(left)))
+    return best
+
+
+@pytest.mark.parametrize("leaf", [1, 5, 20])
+def test_trees_split_where_brute_force_does(leaf):
+    from tidemark.functions import trees
+
+    rnd = np.random.default_rng(leaf)
+    x, y = np.round(rnd.normal(size=(60, 4)), 1), rnd.normal(size=60)
+    edges = trees.bin_edges(x)
+    codes = trees.binned(x, edges)
+    for l2 in (0.0, 1.0):
+        tree = trees.grow(codes, y, 1, leaf, l2)
+        gain, f, left = plain_split(x, y, leaf, l2)
+        assert tree.feature[0] == f and frozenset(np.flatnonzero(codes[:, f] <= tree.bin[0])) == left
+        assert abs(tree.gains[f] - gain) < 1e-9
+        one = tree.predict(codes)
+        for side in (sorted(left), sorted(set(range(60)) - left)):
+            assert np.allclose(one[side], y[side].sum() / (len(side) + l2))
+    deep = trees.grow(codes, y, 14, leaf)
+    at = deep.predict(codes)
+    assert all((at == v).sum() >= leaf for v in np.unique(at)) and (deep.feature >= 0).sum() == (deep.feature < 0).sum() - 1
+    if leaf == 1:
+        groups = {tuple(c): [] for c in codes}
+        for c, v in zip(codes, y, strict=True):
+            groups[tuple(c)].append(v)
+        assert np.allclose(at, [np.mean(groups[tuple(c)]) for c in codes])
+
+
+def test_forest_and_boosting_learn():
+    from tidemark.functions import trees
+
+    rnd = np.random.default_rng(1)
+    x = rnd.uniform(-1, 1, size=(1500, 5))
+    y = np.where(x[:, 0] > 0, 3.0, -1.0) + x[:, 1] + 0.05 * rnd.normal(size=1500)
+    for fit, params in ((trees.forest, {"trees": 30, "depth": 8}), (trees.boosting, {"rounds": 150})):
+        made, shares = fit(x[:1200], y[:1200], x[1200:], 7, **params)
+        assert np.abs(made - y[1200:]).mean() < 0.15 and shares.argmax() == 0 and abs(shares.sum() - 1) < 1e-9
+        assert np.array_equal(made, fit(x[:1200], y[:1200], x[1200:], 7, **params)[0])
+        constant, _ = fit(np.zeros((40, 2)), np.full(40, 2.0), np.zeros((3, 2)), 7)
+        assert np.allclose(constant, 2.0)
+
+
+def test_all_runs_are_fitted_at_once(spark):
+    """Runs of two regions and two origins: facts for each, those with too few rows named as not trained, and no job per run."""
+    rows = [(g, ORIGIN - k * HALF, 40 + 10 * math.sin(k / 24) + d, 1000.0) for g, d in (("a", 0), ("b", 20)) for k in range(336 * 7)]
+    w = spark.createDataFrame([(g, ORIGIN + k * HALF, "observed", 15.0) for g in "ab" for k in range(-336 * 7, 337)], WEATHER)
+    prices = spark.createDataFrame(rows, PRICES)
+    grid = spark.createDataFrame([(g, o, o + k * HALF) for g in "ab" for o in (ORIGIN, ORIGIN - WEEK * 2) for k in range(1, 337)], "region string, origin timestamp_ntz, ts timestamp_ntz")
+    runs, reference = grid.select("region", "origin").distinct(), forecast.reference_temperature(w)
+    train, ask = forecast.training_matrix(prices, reference, runs), forecast.feature_matrix(grid, prices, reference, forecast.target_temperature(w, runs))
+    made, told = forecast.fit_predict_forest(train, ask, trees=5)
+    facts = {(r["region"], r["origin"]): r for r in told.collect()}
+    assert len(facts) == 4 and facts["a", ORIGIN]["trained"] and facts["a", ORIGIN]["training_rows"] == 336 * 3 and len(facts["b", ORIGIN]["top_features"]) == 10
+    assert not facts["a", ORIGIN - WEEK * 2]["trained"] and {(r["region"], r["origin"]) for r in made.select("region", "origin").distinct().collect()} == {("a", ORIGIN), ("b", ORIGIN)}
+    assert made.count() == 2 * 336

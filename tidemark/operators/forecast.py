@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import trees
 from ..functions.calendar import BANDS, time_band
+from ..functions.storage import written
 from .price import FLOOR, fit_betas
 
 #: Comfort base of heating and cooling, weeks of history, lags in weeks, least rows to train on.
@@ -148,51 +150,56 @@ def training_matrix(prices: DataFrame, reference: DataFrame, origins: DataFrame,
     return rows.join(settled.select("region", "ts", "rrp"), ["region", "ts"]).join(o, "region").where((F.col("ts") <= F.col("run")) & (F.col("ts") > F.col("run") - days(7 * weeks)))
 
 
-def bounded(raw: Column, low: Column, high: Column, most: Column) -> Column:
-    """A prediction of asinh(price) within what training saw, as a price not under the floor nor over the dearest seen."""
-    return F.least(F.greatest(F.sinh(F.greatest(low, F.least(high, raw))), F.lit(FLOOR)), most)
+def bounded(raw: np.ndarray, y: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """Predictions of asinh(price) within what training saw (y, price), as prices not under the floor nor over the dearest."""
+    return np.minimum(np.maximum(np.sinh(np.clip(raw, y.min(), y.max())), FLOOR), price.max())
 
 
-def fit_predict_trees(train: DataFrame, predict: DataFrame, kind: str = "forest", seed: int = 20260806, **params) -> tuple[DataFrame, list[dict]]:
+def runs_of(train: DataFrame, predict: DataFrame) -> DataFrame:
+    """Training rows and those to predict (rrp null) of all runs, a run's rows in one partition. They are dealt over all
+    shuffle partitions, which Spark does not join again."""
+    both = train.select("region", F.col("run").alias("origin"), "ts", *FEATURES, "rrp").unionByName(predict.select("region", "origin", "ts", *FEATURES, F.lit(None).cast("double").alias("rrp")))
+    return both.repartition(int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")), "region", "origin")
+
+
+def fit_predict_trees(train: DataFrame, predict: DataFrame, kind: str = "forest", seed: int = 20260806, **params) -> tuple[DataFrame, DataFrame]:
     """Predictions (region, origin, ts, predicted) of a random forest or of boosted trees per region and origin, and what
-    each fit says of itself: rows, whether it was trained, clipped predictions, and the ten features that weigh most
-    (forest). train: training_matrix; predict: feature_matrix of the grid. Under LEAST_TRAINING rows none is trained.
+    each fit says of itself (region, origin, training_rows, trained, clipped, top_features: the ten that weigh most).
+    train: training_matrix; predict: feature_matrix of the grid. Under LEAST_TRAINING rows none is trained; a run without
+    rows to predict says so by its count alone. params: those of trees.forest or trees.boosting.
 
-    One model after the other, each trained by the cluster. The result is not that of another library to the digit.
+    All runs are fitted at once, each in a task of its own: a run holds its training window, whose length is bounded. The
+    result is not that of another library to the digit. It is written, so that a fit is not repeated.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-
-    assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-    train = assemble.transform(train.withColumn("label", F.asinh("rrp")))
-    out, told = None, []
-    for run in train.groupBy("region", "run").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("rrp").alias("most")).orderBy("region", "run").collect():  # a row per run
-        facts = {"region": run["region"], "origin": run["run"], "training_rows": run["n"], "trained": run["n"] >= LEAST_TRAINING}
-        told.append(facts)
-        if not facts["trained"]:
-            continue
-        rows = train.where((F.col("region") == run["region"]) & (F.col("run") == F.lit(run["run"]))).select("features", "label", "ts").persist()
-        if kind == "forest":
-            model = RandomForestRegressor(seed=seed, **({"numTrees": 300, "maxDepth": 14, "minInstancesPerNode": 8, "featureSubsetStrategy": "all"} | params)).fit(rows)
-        else:
-            held = rows.withColumn("held", F.pmod(F.xxhash64("ts"), F.lit(100)) < 15)
-            model = GBTRegressor(seed=seed, validationIndicatorCol="held", **({"maxIter": 400, "maxDepth": 6, "stepSize": 0.06, "minInstancesPerNode": 20} | params)).fit(held)
-        rows.unpersist()
-        made = model.transform(assemble.transform(predict.where((F.col("region") == run["region"]) & (F.col("origin") == F.lit(run["run"])))))
-        raw = F.col("prediction")
-        facts["clipped"] = made.where((raw < run["low"]) | (raw > run["high"])).count()
-        if kind == "forest":
-            facts["top_features"] = sorted(zip(FEATURES, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: -x[1])[:10]
-        part = made.select("region", "origin", "ts", bounded(raw, F.lit(run["low"]), F.lit(run["high"]), F.lit(run["most"])).alias("predicted"))
-        out = part if out is None else out.unionByName(part)
-    return predict.select("region", "origin", "ts", F.lit(0.0).alias("predicted")).where("false") if out is None else out, told
-
+    both = runs_of(train, predict)
+    kinds = dict(both.dtypes)
+    fit = {"forest": trees.forest, "boosting": trees.boosting}[kind]
 
-def fit_predict_forest(train: DataFrame, predict: DataFrame, **params) -> tuple[DataFrame, list[dict]]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known, ask = rows[rows["rrp"].notna()].sort_values("ts"), rows[rows["rrp"].isna()].sort_values("ts")
+        facts = {"training_rows": len(known), "trained": len(known) >= LEAST_TRAINING and len(ask) > 0, "clipped": 0, "top_features": None}
+        if not facts["trained"]:
+            return rows.head(1)[["region", "origin"]].assign(ts=pd.NaT, predicted=np.nan, **facts)
+        price = known["rrp"].to_numpy(float)
+        y = np.arcsinh(price)
+        raw, shares = fit(known[list(FEATURES)].to_numpy(float), y, ask[list(FEATURES)].to_numpy(float), seed, **params)
+        facts["clipped"] = int(((raw < y.min()) | (raw > y.max())).sum())
+        top = [{"feature": FEATURES[i], "importance": float(shares[i])} for i in np.argsort(-shares, kind="stable")[:10]]
+        made = ask[["region", "origin", "ts"]].assign(predicted=bounded(raw, y, price), **facts)
+        made["top_features"] = [top] * len(made)
+        return made
+
+    schema = f"region {kinds['region']}, origin {kinds['origin']}, ts {kinds['ts']}, predicted double, training_rows long, trained boolean, clipped long, top_features array<struct<feature: string, importance: double>>"
+    made = written(both.groupBy("region", "origin").applyInPandas(run, schema))
+    told = made.groupBy("region", "origin").agg(*[F.first(c).alias(c) for c in ("training_rows", "trained", "clipped", "top_features")])
+    return made.where("trained").select("region", "origin", "ts", "predicted"), told
+
+
+def fit_predict_forest(train: DataFrame, predict: DataFrame, **params) -> tuple[DataFrame, DataFrame]:
     return fit_predict_trees(train, predict, "forest", **params)
 
 
-def fit_predict_boosting(train: DataFrame, predict: DataFrame, **params) -> tuple[DataFrame, list[dict]]:
+def fit_predict_boosting(train: DataFrame, predict: DataFrame, **params) -> tuple[DataFrame, DataFrame]:
     return fit_predict_trees(train, predict, "boosting", **params)
 
 
@@ -241,22 +248,27 @@ def _network(x: np.ndarray, y: np.ndarray, ask: np.ndarray, hidden: tuple[int, .
 
 def fit_predict_network(train: DataFrame, predict: DataFrame, hidden: tuple[int, ...] = (64, 32), seed: int = 20260806) -> DataFrame:
     """Predictions (region, origin, ts, predicted) of a network per region and origin, bounded like those of the trees.
-    A group holds a run's training window and horizon, whose length the window bounds; groups are spread over the cluster."""
-    both = train.select("region", F.col("run").alias("origin"), "ts", *FEATURES, "rrp").unionByName(predict.select("region", "origin", "ts", *FEATURES, F.lit(None).cast("double").alias("rrp")))
+    A group holds a run's training window and horizon, whose length the window bounds; runs are dealt like those of trees."""
+    both = runs_of(train, predict)
     kinds = dict(both.dtypes)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         known, ask = rows[rows["rrp"].notna()].sort_values("ts"), rows[rows["rrp"].isna()].sort_values("ts")
         if len(known) < LEAST_TRAINING or not len(ask):
             return ask.head(0)[["region", "origin", "ts"]].assign(predicted=np.zeros(0))
-        y = np.arcsinh(known["rrp"].to_numpy(float))
+        price = known["rrp"].to_numpy(float)
+        y = np.arcsinh(price)
         raw = _network(known[list(FEATURES)].to_numpy(float), y, ask[list(FEATURES)].to_numpy(float), hidden, seed)
-        price = np.minimum(np.maximum(np.sinh(np.clip(raw, y.min(), y.max())), FLOOR), known["rrp"].max())
-        return ask[["region", "origin", "ts"]].assign(predicted=price)
+        return ask[["region", "origin", "ts"]].assign(predicted=bounded(raw, y, price))
 
     return both.groupBy("region", "origin").applyInPandas(run, f"region {kinds['region']}, origin {kinds['origin']}, ts {kinds['ts']}, predicted double")
 
 
+def learned_models(train: DataFrame, predict: DataFrame) -> dict[str, DataFrame]:
+    """The three learned models of the ladder by name, each as (region, origin, ts, predicted)."""
+    return {"random_forest": fit_predict_forest(train, predict)[0], "gradient_boosting": fit_predict_boosting(train, predict)[0], "neural_network": fit_predict_network(train, predict)}
+
+
 def forecast_ladder(prices: DataFrame, weather: DataFrame, grid: DataFrame, learned: dict[str, DataFrame] | None = None, weeks: int = TRAINING_WEEKS) -> DataFrame:
     """One long table of all models and origins: region, model, origin, ts, predicted, temperature_source, leakage_safe.
     learned: predictions of further models by name. Models that use no temperature have the source none; only observed

@@ -105,14 +105,15 @@ def g23_constraint_totals(spark, sf_dir):
 # Forecasts
 
 _LADDER = f"""SELECT region, 'seasonal_naive' AS model, origin, ts, p.rrp AS predicted, true AS safe FROM ({ladder.GRID}) g JOIN ({ladder.PRICES}) p USING (region) WHERE p.ts = g.ts - INTERVAL 7 DAY""".replace("origin, ts, p.rrp", "origin, g.ts, p.rrp")
-_SCORED = f"""SELECT model, region, origin, avg(abs(predicted - rrp)) AS mae, median(abs(predicted - rrp)) AS median_ae, max(abs(predicted - rrp)) AS max_ae, bool_and(safe) AS safe FROM ({_LADDER} UNION ALL SELECT region, 'temperature_adjusted', origin, ts, predicted, coalesce(source, 'none') <> 'observed-fallback' FROM ({ladder.ADJUSTED}) LEFT JOIN (SELECT region, origin, max(source) AS source FROM ({ladder.TARGET}) GROUP BY 1, 2) USING (region, origin))
+_SCORED = f"""SELECT model, region, origin, avg(abs(predicted - rrp)) AS mae, median(abs(predicted - rrp)) AS median_ae, max(abs(predicted - rrp)) AS max_ae, bool_and(safe) AS safe FROM ({_LADDER} UNION ALL SELECT g.region, 'rolling_median', g.origin, g.ts, greatest(-1000.0, median(p.rrp)), true FROM ({ladder.GRID}) g JOIN ({ladder.PRICES}) p ON p.region = g.region AND p.ts IN (g.ts - INTERVAL 7 DAY, g.ts - INTERVAL 14 DAY, g.ts - INTERVAL 21 DAY, g.ts - INTERVAL 28 DAY) GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT region, 'temperature_adjusted', origin, ts, predicted, coalesce(source, 'none') <> 'observed-fallback' FROM ({ladder.ADJUSTED}) LEFT JOIN (SELECT region, origin, max(source) AS source FROM ({ladder.TARGET}) GROUP BY 1, 2) USING (region, origin))
     JOIN ({ladder.PRICES}) USING (region, ts) GROUP BY 1, 2, 3"""
 
 
 @query(f"SELECT model, region, count(*) AS weeks, round(avg(mae), 3) AS avg_mae, round(max(max_ae), 3) AS worst_error, bool_and(safe) AS leakage_safe FROM ({_SCORED}) GROUP BY 1, 2")
 def p24_leakage_safe_summary(spark, sf_dir):
     p, w, g = ladder.prices(spark, sf_dir), ladder.weather(spark, sf_dir), ladder.grid(spark, sf_dir)
-    runs = ladder.forecast.forecast_ladder(p, w, g).where("model <> 'rolling_median'")
+    runs = ladder.forecast.forecast_ladder(p, w, g)
     safe = runs.groupBy("model", "region", "origin").agg(F.bool_and("leakage_safe").alias("safe"))
     scores = price.score_runs(runs, p, ["model", "region", "origin"], ["region", "ts"], "rrp").join(safe, ["model", "region", "origin"])
     df = reviews.performance_summary(scores, "region", "model", "origin", "seasonal_naive", safe="safe")
