@@ -26,7 +26,7 @@ def test_reference_tables(spark, tmp_path):
     assert set(rows) == {530110, 530200, 5} and rows[5]["name"] == "Quoted, name" and rows[5]["short_name"] == ""
     assert rows[530110]["operating_state_date"] == datetime.date(2020, 2, 1) == rows[5]["operating_state_date"] and rows[530200]["operator_id"] is None
     report = ingest.import_summary(good, bad).first()
-    assert (report["parsed"], report["skipped"]) == (3, 2) and report["issues"] == ["line 4: unreadable facility id, name or type", "line 5: unreadable facility id, name or type"]
+    assert (report["parsed"], report["skipped"]) == (3, 2) and report["issues"] == ["line 4: no name", "line 5: no facility_id"]
     with pytest.raises(ValueError, match="facilitytype"):
         read(spark, tmp_path, "FacilityName,FacilityId\na,1\n", {"FacilityType"})
     with pytest.raises(ValueError, match="facilityname"):
@@ -88,7 +88,7 @@ def test_accounts_from_text(spark):
     rows = [(2, "a", "A", "SMB", "Healthcare", "o", "2020-01-01", "2020-01-01", "2027-01-01", "yes", "$1,000", "1"), (3, "a", "A2", "Odd", "Odd", "o", "2020-01-01", "2020-01-01", "2027-01-01", "0", "2", "1"), (4, "b", "B", "SMB", "x", "o", "2020/01/01", "2020-01-01", "2027-01-01", "yes", "2", "1"), (5, "", "C", "SMB", "x", "o", "2020-01-01", "2020-01-01", "2027-01-01", "yes", "2", "1"), (6, "d", "D", "SMB", "x", "o", "2020-01-01", "2020-01-01", "2027-01-01", "yes", "", "1")]
     good, bad = reports.parse_snapshot(spark.createDataFrame(rows, columns))
     assert [(r["account_name"], r["segment"], r["industry"], r["current_arr"], r["auto_renew"]) for r in good.collect()] == [("A2", "Mid-Market", "Other", 24.0, False)]
-    assert {r["line"]: r["reject_reason"] for r in bad.collect()} == {4: "bad date or auto_renew value", 5: "missing account_id or account_name", 6: "non-numeric current_arr"}
+    assert {r["line"]: r["reject_reason"] for r in bad.collect()} == {4: "no customer_since", 5: "no account_id", 6: "no current_arr"}
     with pytest.raises(ValueError, match="current_arr"):
         reports.parse_snapshot(spark.createDataFrame(rows, columns).drop("total_revenue_36mo"))
     months = spark.createDataFrame([(2, "a", "2024-02", "10", None, "150"), (3, "z", "2024-02", "1", None, None), (4, "a", "2024-2x", "1", None, None), (5, "a", "2024-03", "", "2", None)], "line int, account_id string, month string, arr string, mrr string, seat_utilisation_pct string")

@@ -91,9 +91,9 @@ def b4_observable_value(spark, sf_dir):
     return rounded(valued(spark, sf_dir).select("unit", "ts", "energy_value", "gross_fcas_value", "observable_gross_value"))
 
 
-@query(f"SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM ({VALUED})) GROUP BY 1")
+@query(f"SELECT unit, ts, array_to_string(list_sort(flags), ';') AS flags FROM ({VALUED})")
 def b5_quality_flags(spark, sf_dir):
-    return valued(spark, sf_dir).select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
+    return valued(spark, sf_dir).select("unit", "ts", F.array_join(F.array_sort("flags"), ";").alias("flags"))
 
 
 _NOTE = lambda c, words: f"CASE WHEN {c} <> coalesce(units, 0) * 288 THEN '{words} ' || {c} || ' of ' || (coalesce(units, 0) * 288) END"
@@ -218,6 +218,6 @@ def d9_coverage_margin(spark, sf_dir):
 
 for _name in ("b2_effective_registrations", "b6_operating_summary", "b9_opportunity_benchmark", "b15_interval_inspector", "b18_recalculate_summaries"):
     as_text(_name, ("day",))
-for _name in ("b3_join_dispatch", "b4_observable_value"):
+for _name in ("b3_join_dispatch", "b4_observable_value", "b5_quality_flags"):
     as_text(_name, ("ts",))
 as_text("b9_benchmark_schedule", ("day", "ts"))

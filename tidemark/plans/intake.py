@@ -54,7 +54,7 @@ def i5_parse_reference(spark, sf_dir):
     return reports.parse_reference(facilities(spark, sf_dir), "facilities")[0].select("facility_id", "name", "facility_type", "operating_state", F.col("operating_state_date").cast("string").alias("operating_state_date"))
 
 
-@query(f"""SELECT count_if(NOT ({_BAD}))::BIGINT AS parsed, count_if({_BAD})::BIGINT AS skipped, (SELECT string_agg('line ' || l || ': unreadable facility id, name or type', ';' ORDER BY l) FROM (SELECT s_suppkey + 2 AS l FROM supplier WHERE {_BAD} ORDER BY 1 LIMIT 10)) AS issues FROM supplier""")
+@query(f"""SELECT count_if(NOT ({_BAD}))::BIGINT AS parsed, count_if({_BAD})::BIGINT AS skipped, (SELECT string_agg('line ' || l || CASE WHEN (l - 2) % 10 = 7 THEN ': no facility_id' ELSE ': no name' END, ';' ORDER BY l) FROM (SELECT s_suppkey + 2 AS l FROM supplier WHERE {_BAD} ORDER BY 1 LIMIT 10)) AS issues FROM supplier""")
 def i4_import_summary(spark, sf_dir):
     return ingest.import_summary(*reports.parse_reference(facilities(spark, sf_dir), "facilities")).withColumn("issues", F.array_join("issues", ";"))
 
@@ -74,11 +74,11 @@ def i6_parse_flows(spark, sf_dir):
     return df.select("line", F.col("gas_date").cast("string").alias("gas_date"), "facility_id", "location_id", "demand_tj", "supply_tj", "held_in_storage_tj", "state")
 
 
-@query("SELECT 'unreadable gas date, facility or flag' AS reject_reason, count(*) AS n_rows FROM orders WHERE o_orderkey % 9 = 0 OR o_orderkey % 7 = 0")
+@query("SELECT o_orderkey AS line, CASE WHEN o_orderkey % 9 = 0 THEN 'no gas_date' ELSE 'no flag' END AS reject_reason FROM orders WHERE o_orderkey % 9 = 0 OR o_orderkey % 7 = 0")
 def i6_adequacy_rejects(spark, sf_dir):
     k = F.col("o_orderkey")
     raw = frames.table(spark, sf_dir, "orders").select(k.alias("line"), F.when(k % 9 == 0, "").otherwise(F.concat(F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit(" 15:15"))).alias("gasdate"), F.col("o_custkey").cast("string").alias("facilityid"), F.when(k % 7 != 0, F.lit("amber")).alias("flag"))
-    return ingest.import_report(reports.parse_adequacy(raw)[1])
+    return reports.parse_adequacy(raw)[1]
 
 
 # Files of tagged records: a file per order, with a second header in some
@@ -208,14 +208,17 @@ def a1_parse_snapshot(spark, sf_dir):
     return reports.parse_snapshot(snapshot_text(spark, sf_dir))[0].select("account_id", "segment", "industry", "auto_renew", "current_arr", "seat_utilisation_pct", "tickets_12mo", "line")
 
 
-@query("""SELECT kind, count(*) AS n, round(sum(arr), 1) AS arr FROM (SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'rejected' WHEN o_custkey % 4 = 0 THEN 'orphan' ELSE 'kept' END AS kind, CASE WHEN o_orderkey % 10 <> 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice * 12 END END AS arr FROM orders) GROUP BY 1""")
+@query("""SELECT o_orderkey AS line, CASE WHEN o_orderkey % 10 = 3 THEN 'no month' WHEN o_custkey % 4 = 0 THEN 'orphan' ELSE 'kept' END AS kind, CASE WHEN o_orderkey % 10 <> 3 THEN o_custkey::VARCHAR END AS account_id,
+    CASE WHEN o_orderkey % 10 <> 3 THEN strftime(o_orderdate, '%Y-%m-01') END AS month, CASE WHEN o_orderkey % 10 <> 3 THEN round(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice * 12 END, 2) END AS arr FROM orders""")
 def a2_parse_timeline(spark, sf_dir):
     k, money = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(14,2)").cast("string")
     raw = frames.table(spark, sf_dir, "orders").select(k.alias("line"), F.col("o_custkey").cast("string").alias("account_id"), F.when(k % 10 == 3, "2019-13").otherwise(F.date_format("o_orderdate", "yyyy-MM")).alias("month"), F.when(k % 2 == 0, money).alias("arr"), F.when(k % 2 == 1, money).alias("mrr"))
     accounts = frames.table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").cast("string").alias("account_id"))
     kept, bad, orphans = reports.parse_timeline(raw, accounts)
-    money = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.round(F.sum("arr"), 1).alias("arr"))
-    return money(kept, "kept").unionByName(money(orphans, "orphan")).unionByName(bad.agg(F.lit("rejected").alias("kind"), F.count("*").alias("n"), F.lit(None).cast("double").alias("arr")))
+    rows = lambda df, kind: df.select("line", F.lit(kind).alias("kind"), "account_id", F.col("month").cast("string").alias("month"), F.round("arr", 2).alias("arr"))
+    none = F.lit(None).cast("string")
+    lost = bad.select("line", F.col("reject_reason").alias("kind"), none.alias("account_id"), none.alias("month"), F.lit(None).cast("double").alias("arr"))
+    return rows(kept, "kept").unionByName(rows(orphans, "orphan")).unionByName(lost)
 
 
 # The network at a glance
