@@ -619,3 +619,17 @@ def test_raw_deflate_of_any_size(monkeypatch, block):
             _, spans, _, large = secret_scan.find_secrets("x: " + packed)
             assert (3, 3 + len(packed), "access") in spans and large == (len(text) >= block)
     assert secret_scan.find_secrets("x: " + raw_deflate("plain words and nothing else here")[:-4])[1] == []
+
+
+def test_tables_of_the_way_are_deleted(spark):
+    """Near-duplicate operators leave the two tables that their result reads, and nothing else."""
+    from tidemark.llm import common
+
+    texts = [" ".join(f"w{(i * 7 + j) % 50}" for j in range(30)) for i in range(12)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = f"{common.shared_folder(spark)}/stored-{spark.sparkContext.applicationId}".removeprefix("file:").replace("//", "/")
+    for make in (simhash.near_duplicates, near_copies.near_copies):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        made = make(df)
+        assert len(set(os.listdir(folder)) - before) == 2
+        assert made.count() == 24

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, stored, text_or_empty
+from .common import discard, field, stored, text_or_empty
 from .tokenizing import Memo, TextEncoder, White
 
 #: Counts of id pairs are broadcast up to this many rows (24 bytes each), and joined by a shuffle beyond.
@@ -224,6 +224,7 @@ def align_tokens(docs: DataFrame, tokenizer_a: str, tokenizer_b: str, *, id_col:
     counted = stored(counted)
     highest = counted.groupBy(F.shiftright("pair", BITS).alias("a")).agg(F.max("n").alias("most"))
     judged = stored(counted.withColumn("a", F.shiftright("pair", BITS)).join(highest, "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best")))
+    discard(counted)
     few = judged.limit(broadcast_pairs + 1).count() <= broadcast_pairs
     links = done.select("_row", F.explode(F.arrays_zip("pairs", "counts")).alias("x")).select("_row", F.col("x.pairs").alias("pair"), F.col("x.counts").alias("k"))
     met = links.join(F.broadcast(judged), "pair") if few else links.hint("shuffle_merge").join(judged, "pair")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +40,36 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._stored_at = path
+    if _open:
+        _open[-1].append(made)
     return made
 
 
+#: Tables stored by the calls of cleared functions that are under way, the innermost last.
+_open: list[list[DataFrame]] = []
+
+
+def cleared(make: Callable[..., tuple[DataFrame, ...]]) -> Callable[..., tuple[DataFrame, ...]]:
+    """For a function that returns stored tables: all others that it stored on the way are deleted when it returns."""
+
+    @wraps(make)
+    def run(*args, **named):
+        _open.append([])
+        try:
+            made = make(*args, **named)
+        finally:
+            held = _open.pop()
+        kept = {df._stored_at for df in made}
+        for df in held:
+            if df._stored_at not in kept:
+                discard(df)
+            elif _open:
+                _open[-1].append(df)
+        return made
+
+    return run
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     target = sc._jvm.org.apache.hadoop.fs.Path(path)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, field, stored, text_or_empty
+from .common import cleared, discard, field, stored, text_or_empty
 from .components import components
 from .simhash import joining_links, print_of, shingle_hashes
 
@@ -160,19 +160,9 @@ def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
     return met.where(first > 0).select("set", "n", "mean", F.size("met").alias("shared"), F.posexplode(F.slice("met", 1, first.cast("int"))).alias("at", "m")).select("set", "n", (F.col("shared") - F.col("at")).cast("long").alias("shared"), "mean", F.col("m.key").alias("key"))
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, hot: int = HOT) -> DataFrame:
-    """One row per row of docs: id, fingerprint (16 lowercase hex digits, equal for equal shingles), component_id.
-
-    Texts with a Jaccard similarity of `least` or more of their SHINGLE-word shingles (A-Z as a-z) are linked;
-    component_id is the least id that links reach. Pairs are proposed by fingerprints that differ in 3 bits at most and by
-    MinHash bands, and counted by their shingles alone. Texts of the same shingles are one node. A pair of which all common
-    buckets hold more than `hot` texts is proposed by rare shingles, which miss no pair. In all buckets, each member is
-    first compared with one of them, the likeliest centre (in large buckets with others too); then all pairs not yet in
-    one component are, where positions of common shingles and parities do not rule a similarity of `least` out.
-    A text of fewer words has one shingle; a null text is an empty one, and empty texts are alike. A null id is kept and
-    stands for a component only where no other id is; repeated rows stay repeated; an empty table gives no rows; other
-    columns of docs are not read.
-    """
+@cleared
+def classes_of(docs: DataFrame, id_col: str, text_col: str, least: float, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The texts' sketches, and the component of each set of shingles; see near_copies."""
     made = stored(sketches(docs, id_col, text_col))
     nodes = stored(made.groupBy("set").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("print").alias("print"), F.first("bands").alias("bands")))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
@@ -216,4 +206,21 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     found = stored(components(links).select(F.col("node").alias("set"), "component").join(nodes.select("set", "least"), "set"))
     ids = stored(found.groupBy("component").agg(F.min("least").alias("component_id")))
     classes = stored(nodes.select("set", "least").join(found.join(ids, "component").select("set", "component_id"), "set", "left").select("set", F.coalesce("component_id", "least").alias("component_id")))
+    return made, classes
+
+
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, hot: int = HOT) -> DataFrame:
+    """One row per row of docs: id, fingerprint (16 lowercase hex digits, equal for equal shingles), component_id.
+
+    Texts with a Jaccard similarity of `least` or more of their SHINGLE-word shingles (A-Z as a-z) are linked;
+    component_id is the least id that links reach. Pairs are proposed by fingerprints that differ in 3 bits at most and by
+    MinHash bands, and counted by their shingles alone. Texts of the same shingles are one node. A pair of which all common
+    buckets hold more than `hot` texts is proposed by rare shingles, which miss no pair. In all buckets, each member is
+    first compared with one of them, the likeliest centre (in large buckets with others too); then all pairs not yet in
+    one component are, where positions of common shingles and parities do not rule a similarity of `least` out.
+    A text of fewer words has one shingle; a null text is an empty one, and empty texts are alike. A null id is kept and
+    stands for a component only where no other id is; repeated rows stay repeated; an empty table gives no rows; other
+    columns of docs are not read.
+    """
+    made, classes = classes_of(docs, id_col, text_col, least, hot)
     return made.select(id_col, "set").join(classes, "set").select(F.col(id_col), F.lower(F.lpad(F.hex("set"), 16, "0")).alias("fingerprint"), "component_id")

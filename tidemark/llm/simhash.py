@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, stored, text_or_empty
+from .common import cleared, field, stored, text_or_empty
 from .components import components
 
 #: Members from which a bucket of variants is cut by variants of the other segment too.
@@ -153,6 +153,22 @@ def joining_links(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> Da
     return links.unionAll(more.distinct())
 
 
+@cleared
+def classes_of(docs: DataFrame, id_col: str, text_col: str, size: int, distance: int, hot: int, count_links: bool) -> tuple[DataFrame, DataFrame]:
+    """The texts' fingerprints, and the component of each fingerprint; see near_duplicates."""
+    printed = stored(fingerprints(docs, id_col=id_col, text_col=text_col, size=size))
+    distinct = stored(printed.groupBy("print").agg(F.min(id_col).alias("least")))
+    links = stored((linked_prints if count_links else joining_links)(distinct.select("print"), distance=distance, hot=hot))
+    found = stored(components(links).withColumnRenamed("node", "print").join(distinct, "print"))
+    least = stored(found.groupBy("component").agg(F.min("least").alias("component_id")))
+    grouped = found.join(least, "component").select("print", "component_id")
+    classes = distinct.join(grouped, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
+    if count_links:
+        ends = links.select(F.col("a").alias("print")).unionAll(links.select(F.col("b").alias("print"))).groupBy("print").agg(F.count("*").alias("n_links"))
+        classes = classes.join(ends, "print", "left").select("print", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return printed, stored(classes)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distance: int = 3, hot: int = HOT, count_links: bool = False) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 lowercase hex digits), component_id and, with count_links, n_links.
 
@@ -165,14 +181,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     What is joined on a hot key (a fingerprint of many copies, a giant component) is read from stored tables on both
     sides, so Spark's adaptive join can split it.
     """
-    printed = stored(fingerprints(docs, id_col=id_col, text_col=text_col, size=size))
-    distinct = stored(printed.groupBy("print").agg(F.min(id_col).alias("least")))
-    links = stored((linked_prints if count_links else joining_links)(distinct.select("print"), distance=distance, hot=hot))
-    found = stored(components(links).withColumnRenamed("node", "print").join(distinct, "print"))
-    least = stored(found.groupBy("component").agg(F.min("least").alias("component_id")))
-    grouped = found.join(least, "component").select("print", "component_id")
-    classes = distinct.join(grouped, "print", "left").select("print", F.coalesce("component_id", "least").alias("component_id"))
-    if count_links:
-        ends = links.select(F.col("a").alias("print")).unionAll(links.select(F.col("b").alias("print"))).groupBy("print").agg(F.count("*").alias("n_links"))
-        classes = classes.join(ends, "print", "left").select("print", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return printed.join(stored(classes), "print").select(F.col(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", *(["n_links"] if count_links else []))
+    printed, classes = classes_of(docs, id_col, text_col, size, distance, hot, count_links)
+    return printed.join(classes, "print").select(F.col(id_col), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id", *(["n_links"] if count_links else []))
