@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import near_copies, packing, pii, quality
-from tidemark.llm.common import documents, stored
+from tidemark.llm.common import cleared, discard, documents, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -48,8 +48,17 @@ STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_dedup),
 ORACLE_SQL = None
 
 
+@cleared
+def stage_result(stage, spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame]:
+    """A stage's documents, written; what the stage stored on its way is deleted."""
+    return (stored(stage(spark, docs, sf_dir)),)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        (made,) = stage_result(stage, spark, docs, sf_dir)
+        if i:
+            discard(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
