@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tidemark.plans import queries as plans
-from tidemark.plans import books, details, exports, fleet, intake, ladder, planning, registers, streams, summaries  # noqa: F401  (add their queries to those of plans)
+from tidemark.plans import books, cohorts, details, exports, fleet, intake, ladder, planning, registers, streams, summaries  # noqa: F401  (add their queries to those of plans)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
