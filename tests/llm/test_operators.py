@@ -633,3 +633,44 @@ def test_tables_of_the_way_are_deleted(spark):
         made = make(df)
         assert len(set(os.listdir(folder)) - before) == 2
         assert made.count() == 24
+
+
+def test_license_texts_that_the_user_supplies(spark):
+    """A table of texts and of digests by name, beside the built-in ones: entire texts are found whatever their case, layout,
+    punctuation and copyright lines are."""
+    body = "Example Network Licence\n\nYou may convey covered works, provided that all users who interact with them remotely may obtain the source.\n\n1. No warranty is given."
+    other = "Another public licence text, which is only known by its digest."
+    (by_digest,) = spark.createDataFrame([(other,)], "t string").select(licenses.digest(F.col("t"))).first()
+    known = licenses.known_digests(spark).unionByName(licenses.known_digests(spark, {"Network-1.0": [body]}, {"Digest-1.0": (by_digest,)}))
+    docs = spark.createDataFrame([(1, "Copyright 2024 Somebody\n" + body.upper().replace(", ", " , ")), (2, other.replace(" ", "\n")), (3, body + " And more.")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text_license"] for r in licenses.scan_licenses(docs, known, marks=licenses.MARKS).collect()}
+    assert got == {1: "Network-1.0", 2: "Digest-1.0", 3: None}
+
+
+LONG = {
+    "simhash": lambda d: simhash.near_duplicates(d), "secrets": lambda d: secret_scan.scan_secrets(d), "quality": lambda d: quality.quality(d), "fingerprints": lambda d: fingerprinting.edited_fingerprints(d),
+    "licenses": lambda d: licenses.scan_licenses(d, licenses.known_digests(d.sparkSession), marks=licenses.MARKS), "pii": lambda d: pii.find_pii(d), "near copies": lambda d: near_copies.near_copies(d),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_a_text_of_a_million_characters(spark, name):
+    """What stands at the end of a very long text counts like anything else, and a long near copy is one."""
+    rnd = random.Random(1)
+    words = [rnd.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rnd.randint(0, 9999)) for _ in range(108_000)]
+    text = ". ".join(" ".join(words[k : k + 12]) for k in range(0, len(words), 12))
+    end = "\ncontact a.b@example.org token = 24be64439e3e49cf46b2d7c90f3602a3\nSPDX-License-Identifier: MIT"
+    docs = spark.createDataFrame([(1, text + end), (2, text), (3, "short one")], "doc_id long, text string")
+    assert len(text) > 1_000_000
+    got = {r["doc_id"]: r for r in LONG[name](docs).collect()}
+    assert len(got) == 3
+    if name in ("simhash", "near copies"):
+        assert got[1]["component_id"] == got[2]["component_id"] == 1 and got[3]["component_id"] == 3
+    elif name == "secrets":
+        assert (got[1]["n_assign"], got[1]["n_hex"], got[2]["n_assign"]) == (1, 1, 0) and got[1]["base_spans"].startswith(f"assign:{len(text) + 25}:")
+    elif name == "quality":
+        assert got[2]["n_words"] == 108_000
+    elif name == "fingerprints":
+        assert got[1]["n_chars"] == len(text + end) and got[2]["near_next"] > 0.95
+    elif name == "pii":
+        assert any(x["kind"] == "email" and x["start"] == len(text) + 9 for x in got[1]["spans"])
