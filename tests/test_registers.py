@@ -51,3 +51,18 @@ def test_trend_evidence(spark):
     assert set(found) == {1, 2}
     assert (found[1]["eligible"], found[1]["arr_change_pct"], found[1]["usage_change_pp"]) == (True, 90.9, 10.0)
     assert (found[2]["eligible"], found[2]["arr_change_pct"], found[2]["usage_change_pp"], found[2]["span_months"]) == (False, None, -6.0, 3)
+
+
+def test_completeness_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import keys
+
+    rows = [("a", 1), ("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", None), (None, 1), ("d", 4), ("d", 4)]
+    df = spark.createDataFrame(rows, "k string, d int")
+    held = [r for r in rows if r[1] is not None]
+    for expected in (0, 1, 2):
+        want = {(k, d, n) for k in {r[0] for r in held} for d in {r[1] for r in held} if (n := held.count((k, d))) != expected}
+        got = keys.completeness_gate(df, "k", F.col("d"), expected)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert keys.completeness_gate(df.where("false"), "k", F.col("d"), 1).count() == 0

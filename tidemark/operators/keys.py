@@ -88,13 +88,17 @@ def missing_days(df: DataFrame, day: str) -> DataFrame:
 
 
 def completeness_gate(df: DataFrame, key: str, day: Column, expected: int) -> DataFrame:
-    """Keys and days whose number of rows is not the expected one; days on which others have rows count as zero. The grid of
-    keys and days is the result's domain; its sides are distinct values, of which Spark broadcasts the days only under its
-    own threshold."""
-    counted = df.groupBy(F.col(key), day.alias("day")).agg(F.count("*").alias("n"))
-    days, keys = counted.select("day").distinct(), counted.select(key).distinct()
-    grid = keys.crossJoin(days)
-    return grid.join(counted, [key, "day"], "left").select(key, "day", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") != expected)
+    """Keys and days whose number of rows is not the expected one; days on which others have rows count as zero. Rows
+    without a day are left out. Only the days that a key lacks are added, from the array of all days, which the calendar
+    bounds; no grid of keys and days is made."""
+    counted = df.groupBy(F.col(key), day.alias("day")).agg(F.count("*").alias("n")).where("day IS NOT NULL")
+    wrong = counted.where(F.col("n") != expected)
+    if expected == 0:
+        return wrong
+    days = counted.agg(F.collect_set("day").alias("_all"))
+    held = counted.groupBy(key).agg(F.collect_set("day").alias("_held"))
+    lacking = held.crossJoin(F.broadcast(days)).select(key, F.explode(F.array_except("_all", "_held")).alias("day"), F.lit(0).cast("long").alias("n"))  # one row
+    return wrong.unionByName(lacking)
 
 
 def overlap_check(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
