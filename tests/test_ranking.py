@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import ranking
+from tidemark.operators import periods, ranking
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +49,10 @@ def test_tiles(spark, n):
 def test_equal_rows_fill_many_ranges(spark):
     rows = ranking.ranged(spark.range(4000).select(F.lit(1).alias("v")).repartition(4), [F.asc("v")], 8)
     assert rows.select("_range").distinct().count() > 4
+
+
+def test_equal_sums_rank_by_asset(spark):
+    days = [("b", "2026-01-01", 0.1), ("b", "2026-01-02", 0.2), ("b", "2026-01-03", 0.3), ("a", "2026-01-01", 0.3), ("a", "2026-01-02", 0.2), ("a", "2026-01-03", 0.1)]
+    df = spark.createDataFrame([(a, d, v, 1.0) for a, d, v in days], "asset string, day string, value double, discharge double").withColumn("day", F.col("day").cast("date")).coalesce(1)
+    got = periods.asset_leaderboard(df, "asset", "day", "value", "discharge", "2026-01-01", "2026-12-31").collect()
+    assert sorted((r["rank"], r["asset"], r["value"]) for r in got) == [(1, "a", 0.6), (2, "b", 0.6)]

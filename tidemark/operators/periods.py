@@ -48,10 +48,11 @@ def weekly_rollup(summaries: DataFrame, asset: str, day: str, sums: list[str], a
 
 
 def asset_leaderboard(summaries: DataFrame, asset: str, day: str, value: str, discharge: str, start: str, end: str) -> DataFrame:
-    """Value, discharge, value per MWh and rank of the assets over a range of days, ties by asset. The order is global and
-    dealt by ranges, see ranking."""
+    """Value, discharge, value per MWh and rank of the assets over a range of days, ties by asset. Sums are taken in
+    millionths, so that equal ones tie in whatever order their days came. The order is global and dealt by ranges, see
+    ranking."""
     held = summaries.where(F.col(day).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    summed = held.groupBy(asset).agg(F.sum(value).alias("value"), F.sum(discharge).alias("discharge_mwh"))
+    summed = held.groupBy(asset).agg(F.round(F.sum(value), 6).alias("value"), F.round(F.sum(discharge), 6).alias("discharge_mwh"))
     placed = positions(summed, [F.col("value").desc(), F.col(asset).asc()], "_place")
     return placed.withColumns({"value_per_mwh": F.try_divide("value", "discharge_mwh"), "rank": (F.col("_place") + 1).cast("int")}).drop("_place")
 

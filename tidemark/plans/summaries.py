@@ -60,7 +60,7 @@ def b13_weekly_rollup(spark, sf_dir):
     return rounded(periods.weekly_rollup(daily(spark, sf_dir), "asset", "day", SUMS, "energy_value", "benchmark").withColumn("capture_pct", F.round("capture_pct", 2)), 4)
 
 
-@query(f"""SELECT asset, round(v, 4) + 0.0 AS value, round(m, 4) AS discharge_mwh, round(v / nullif(m, 0), 4) + 0.0 AS value_per_mwh, row_number() OVER (ORDER BY v DESC, asset)::INT AS rank FROM (SELECT asset, sum(energy_value) AS v, sum(discharge_mwh) AS m FROM ({DAILY}) GROUP BY 1)""")
+@query(f"""SELECT asset, round(v, 4) + 0.0 AS value, round(m, 4) AS discharge_mwh, round(v / nullif(m, 0), 4) + 0.0 AS value_per_mwh, row_number() OVER (ORDER BY v DESC, asset)::INT AS rank FROM (SELECT asset, round(sum(energy_value), 6) AS v, round(sum(discharge_mwh), 6) AS m FROM ({DAILY}) GROUP BY 1)""")
 def b14_asset_leaderboard(spark, sf_dir):
     return rounded(periods.asset_leaderboard(daily(spark, sf_dir), "asset", "day", "energy_value", "discharge_mwh", "1900-01-01", "2200-01-01"), 4)
 
