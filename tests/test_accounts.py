@@ -153,3 +153,12 @@ def test_fits_of_all_k_at_once_by_brute_force(spark):
         means[np.arange(1000), near] = np.inf
         value = np.where(np.bincount(near, minlength=k)[near] > 1, (means.min(axis=1) - own) / np.maximum(means.min(axis=1), own), 0.0)
         assert abs(scores[k][0] - value.mean()) < 1e-9 and scores[k][1] == np.bincount(near).min()
+
+
+def test_halves_that_doubles_miss_are_rounded_up(spark):
+    values = [83.025, 81.85, 100 - 16.5 * 1.1, 16.449999999999996, -0.6499999999999999, 0.0, None]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(health.to_places(F.col("v"), 1)).collect()]
+    assert got == [83.0, 81.9, 81.9, 16.5, -0.7, 0.0, None]
+    # 100 - (25 + 15 + 15 * 13 / 16 * 1.12) + 10 is 56.35, and doubles hold less
+    df = spark.createDataFrame([account("half", segment="Public", customer_since=back(3000), contract_start=back(1000), renewal_date=back(-615), tickets_12mo=15, pct_high_priority=24.0, active_user_pct=70.0, term_length_months=10)], ACCOUNT)
+    assert health.signal_compass(df, F.lit(TODAY)).first()["score"] == 56.4
