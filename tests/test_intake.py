@@ -216,3 +216,14 @@ def test_rollup_of_a_bad_row_and_market_without_demand(spark):
     df = spark.createDataFrame(rows, "region string, ts timestamp_ntz, rrp double, demand double")
     assert price.market_aggregate(df, "region", "ts", "rrp", "demand").count() == 0
     assert price.demand_shares(df.where("false"), "region", "demand").count() == 0
+
+
+def test_report_days_are_read_once_and_by_shape(spark):
+    texts = ["2020/02/01 10:30:00", "2020/02/01 10:30", "2020/02/01", "01 Feb 2020 10:30:11", "01 FEB 2020", "01-02-2020", "2020-02-01", "+12020/02/01", "-0001/02/01", "2020/2/1", "2020/02/30", "soon", "", None, "2020/02/01  10:30", "01/02/2020 10:30 PM", "01/02/2020 10:30pm"]
+    df = spark.createDataFrame([(i, t, "1", "2", "", "") for i, t in enumerate(texts)], "line long, gasdate string, facilityid string, locationid string, demand string, supply string")
+    for forms in (parsing.DAILY_FORMATS, parsing.UPLOAD_FORMATS):
+        plain = F.coalesce(*[F.try_to_timestamp(F.trim("gasdate"), F.lit(f)) for f in forms])
+        assert df.where(~plain.eqNullSafe(parsing.multi_format_timestamp(F.col("gasdate"), forms))).count() == 0
+    good, _ = reports.parse_flows(df)
+    assert [r["line"] for r in good.select("line").orderBy("line").collect()] == [0, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") <= len(parsing.DAILY_FORMATS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +14,21 @@ DISPATCH_FORMATS = ["yyyy/MM/dd HH:mm:ss"]
 UPLOAD_FORMATS = ["dd/MM/yyyy HH:mm", "dd/MM/yyyy hh:mm a", "dd/MM/yyyy hh:mma"]
 
 
+#: What the parts of a form look like. Years of six digits do not all fit in a timestamp and are none.
+SHAPES = {"yyyy": r"[+-]?\d{4,5}", "MMM": ".+", "MM": r"\d\d", "dd": r"\d\d", "HH": r"\d\d", "hh": r"\d\d", "mm": r"\d\d", "ss": r"\d\d", "a": ".+"}
+
+
+def shape(form: str) -> str:
+    """A pattern that every text of the form matches; other texts may too."""
+    parts = re.split(r"([A-Za-z]+)", form)
+    return "^" + "".join(SHAPES.get(p, ".+") if p.isalpha() else re.sub(r"([^\w\s/:-])", r"\\\1", p) for p in parts) + "$"
+
+
 def multi_format_timestamp(value: Column, formats: list[str]) -> Column:
-    """The first format that fits, else null."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(value), F.lit(f)) for f in formats])
+    """The first format that fits, else null. A text that does not look like a format is not tried on it, as a failed
+    attempt costs many times a match."""
+    text = F.trim(value)
+    return F.coalesce(*[F.when(F.rlike(text, F.lit(shape(f))), F.try_to_timestamp(text, F.lit(f))) for f in formats])
 
 
 def safe_float(value: Column, low: float | None = None, high: float | None = None) -> Column:
