@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import dealt, written
 from .keys import dedupe_last, same_key
 
 #: Columns of a board in order; cards that were put away from none of them come from the last.
@@ -69,12 +70,14 @@ def replace_day(stored: DataFrame, incoming: DataFrame, days: DataFrame, user: s
 def rebuild_documents(tables: dict[str, tuple[DataFrame, str, str]], user: str) -> DataFrame:
     """(user, document): one JSON object per user with a key per table, each an object of item to value in item order.
     tables: name -> (rows, item column, value column). A user without rows in a table lacks its key; null items are left
-    out; of rows that repeat an item the greatest value stays. A document holds all rows of its user."""
+    out; of rows that repeat an item the greatest value stays. A document holds all rows of its user. The rows are written
+    once and counted, so that more of them are dealt to more tasks, in one shuffle by user."""
     long = None
     for name, (df, item, value) in tables.items():
         part = df.where(F.col(item).isNotNull()).select(F.col(user), F.lit(name).alias("namespace"), F.col(item).cast("string").alias("item"), F.col(value).cast("string").alias("value"))
         long = part if long is None else long.unionByName(part)
-    one = long.groupBy(user, "namespace", "item").agg(F.max("value").alias("value"))
+    long = written(long)
+    one = dealt(long, long.count(), user).groupBy(user, "namespace", "item").agg(F.max("value").alias("value"))
     spaces = one.groupBy(user, "namespace").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("item", "value")))).alias("items"))
     by_name = lambda a, b: F.when(a["namespace"] < b["namespace"], -1).when(a["namespace"] > b["namespace"], 1).otherwise(0)
     return spaces.groupBy(user).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("namespace", "items")), by_name))).alias("document"))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import parsing
+from ..functions.storage import dealt, written
 from ..operators import documents, estimates, gas, network, overview, world
 from ..sources import ingest, reports
 from . import frames
@@ -389,7 +390,8 @@ def i14_country_documents(spark, sf_dir):
 
 
 def user_documents(spark, sf_dir):
-    e = frames.table(spark, sf_dir, "events").select("user_id", F.concat(F.col("event_type"), F.lit("."), F.date_format("ts", "yyyy-MM-dd")).alias("key"), F.col("event_id").cast("string").alias("v"))
+    events = frames.table(spark, sf_dir, "events")
+    e = dealt(events, events.count(), "user_id").select("user_id", F.concat(F.col("event_type"), F.lit("."), F.date_format("ts", "yyyy-MM-dd")).alias("key"), F.col("event_id").cast("string").alias("v"))
     one = e.groupBy("user_id", "key").agg(F.max(F.col("v").cast("long")).cast("string").alias("v"))
     return one.groupBy("user_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "v")))).alias("document"))
 
@@ -403,7 +405,7 @@ def s1_decompose_documents(spark, sf_dir):
 n AS (SELECT user_id, ns, '{' || string_agg('"' || item || '":"' || v || '"', ',' ORDER BY item) || '}' AS items FROM i GROUP BY 1, 2)
 SELECT user_id, '{' || string_agg('"' || ns || '":' || items, ',' ORDER BY ns) || '}' AS document FROM n GROUP BY 1""")
 def s5_rebuild_documents(spark, sf_dir):
-    flat = documents.decompose_documents(user_documents(spark, sf_dir), "user_id", "document")
+    flat = written(documents.decompose_documents(user_documents(spark, sf_dir), "user_id", "document"))
     kinds = ("click", "error", "purchase", "signup", "view")
     return documents.rebuild_documents({k: (flat.where(F.col("namespace") == k), "item", "value") for k in kinds}, "user_id")
 
