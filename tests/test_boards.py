@@ -4,7 +4,9 @@ import datetime
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import storage
 from tidemark.operators import boards
 
 PREFIX = "plan."
@@ -76,3 +78,21 @@ def test_odd_values(spark):
 def test_no_documents(spark):
     tables = taken(spark, {"u": None})
     assert built(tables) == {}
+
+
+def test_documents_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(document):
+        seen.add(1)
+        return document
+
+    df = spark.createDataFrame([("u", json.dumps(WHOLE)), ("w", json.dumps(EMPTY))], "user string, document string").select("user", told("document").alias("document"))
+    assert built(boards.decompose(df, "user", "document", PREFIX)) == {"u": WHOLE, "w": EMPTY}
+    assert seen.value == 2
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark):
+    df = spark.range(10)
+    assert [storage.dealt(df, n, "id").rdd.getNumPartitions() for n in (0, 400_000, 2_000_001)] == [4, 4, 21]

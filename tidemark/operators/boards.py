@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import dealt, written
 from .documents import COLUMNS
 from .keys import dedupe_last
 
@@ -89,9 +90,10 @@ def decompose(df: DataFrame, user: str, document: str, prefix: str) -> Boards:
     another form, cards without an id and values of another shape give no rows. Of a card that is in several places the
     archive counts, then the later column, then the later place. Project links to cards that the user does not have are
     null. Of equal entries (text, source, time) of what is done the first stays; entries without a time are left out.
+    Documents are taken apart once: their keys and the cards are written, as every table reads them.
     """
     flat = df.select(user, F.explode(F.from_json(document, "map<string,variant>")).alias("key", "value")).where(F.startswith("key", F.lit(prefix)))
-    flat = flat.withColumn("key", F.substring("key", F.lit(len(prefix) + 1), F.length("key")))
+    flat = written(flat.withColumn("key", F.substring("key", F.lit(len(prefix) + 1), F.length("key"))))
     of = lambda key: flat.where(F.col("key") == key)
     typed = lambda t: F.try_variant_get("value", "$", t)
     is_object = lambda c: F.try_variant_get(c, "$", "map<string,variant>").isNotNull()
@@ -104,7 +106,7 @@ def decompose(df: DataFrame, user: str, document: str, prefix: str) -> Boards:
     kept = kept.withColumn("board_column", F.coalesce(F.nullif(F.try_variant_get("x", "$.archivedFromColumn", "string"), F.lit("")), F.lit(COLUMNS[-1])))
     both = live.unionByName(kept).where(is_object("x")).select(user, "board_column", "shelved", "place", "_order", *read_fields(F.col("x"), CARD | SHELVED))
     cards = dedupe_last(both.where("card <> ''"), [user, "card"], [F.col("_order"), F.col("place")]).drop("_order")
-    cards = cards.withColumns({"archived_at": F.when(F.col("shelved"), F.col("archived_at")), "archived_from": F.when(F.col("shelved"), F.col("archived_from")).otherwise("")})
+    cards = written(cards.withColumns({"archived_at": F.when(F.col("shelved"), F.col("archived_at")), "archived_from": F.when(F.col("shelved"), F.col("archived_from")).otherwise("")}))
 
     known = cards.select(F.col(user).alias("_user"), F.col("card").alias("_card"))
     linked = lambda rows: rows.join(known, (F.col(user) == F.col("_user")) & (F.col("project") == F.col("_card")), "left").withColumn("project", F.col("_card")).drop("_user", "_card")
@@ -135,13 +137,14 @@ def as_json(value: Column, nulls: bool = True) -> Column:
 
 def rebuild(boards: Boards, user: str, prefix: str) -> DataFrame:
     """(user, document): one JSON object for each user with a row in any table, nested throughout. Cards, tasks and entries
-    are in order of their places, entries of time first. What decompose gives of the result is what it was built from."""
+    are in order of their places, entries of time first. What decompose gives of the result is what it was built from.
+    Sections are written once and counted, so that more of them are dealt to more tasks."""
     lists = lambda rows, keys, fields, nulls=True: rows.groupBy(user, *keys).agg(F.transform(in_order(F.collect_list(F.struct("place", write_fields(fields).alias("x")))), lambda r: r["x"]).alias("x"))
     section = lambda df, key, value: df.select(user, (F.lit(key) if isinstance(key, str) else key).alias("key"), value.alias("value"))
     held = None
     for df in (boards.strategy, boards.cards, boards.tasks, boards.focus, boards.calendar, boards.done, boards.meta):
         held = df.select(user) if held is None else held.unionByName(df.select(user))
-    users = held.distinct()
+    users = written(held.distinct())
     whole = lambda df, key, value, empty: section(users.join(df, user, "left"), key, F.coalesce(F.to_json(value, {"ignoreNullFields": "false"}), F.lit(empty)))
     live = lists(boards.cards.where("NOT shelved"), ["board_column"], CARD)
     kanban = live.groupBy(user).agg(F.map_from_entries(F.collect_list(F.struct("board_column", "x"))).alias("_held"))
@@ -164,4 +167,5 @@ def rebuild(boards: Boards, user: str, prefix: str) -> DataFrame:
     for part in parts[1:]:
         long = long.unionByName(part)
     entries = F.array_sort(F.collect_list(F.struct(F.concat(F.lit(prefix), "key").alias("key"), "value")))
-    return long.groupBy(user).agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], F.parse_json(e["value"]))))).alias("document"))
+    long = written(long)
+    return dealt(long, long.count(), user).groupBy(user).agg(F.to_json(F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], F.parse_json(e["value"]))))).alias("document"))

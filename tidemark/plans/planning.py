@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import dealt
 from ..operators import boards
 from . import frames
 from .queries import as_text, query
@@ -16,7 +17,8 @@ COLUMN_OF = {"click": "Ideas", "view": "This Week", "purchase": "Complete", "sig
 def events(spark, sf_dir):
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
     e = frames.table(spark, sf_dir, "events")
-    return e.select("user_id", "event_id", "event_type", F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("card"), F.date_format("ts", "yyyy-MM-dd").alias("day"), ts.alias("at"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    # by user at once, so that what is grouped by user and more needs no shuffle of its own
+    return dealt(e, e.count(), "user_id").select("user_id", "event_id", "event_type", F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("card"), F.date_format("ts", "yyyy-MM-dd").alias("day"), ts.alias("at"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 def user_boards(spark, sf_dir):
