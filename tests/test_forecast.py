@@ -185,3 +185,10 @@ def test_all_runs_are_fitted_at_once(spark):
     assert len(facts) == 4 and facts["a", ORIGIN]["trained"] and facts["a", ORIGIN]["training_rows"] == 336 * 3 and len(facts["b", ORIGIN]["top_features"]) == 10
     assert not facts["a", ORIGIN - WEEK * 2]["trained"] and {(r["region"], r["origin"]) for r in made.select("region", "origin").distinct().collect()} == {("a", ORIGIN), ("b", ORIGIN)}
     assert made.count() == 2 * 336
+
+
+def test_ladder_reads_lines_into_series_once(spark):
+    from tidemark.plans import ladder
+
+    found = ladder.p20_forecast_ladder(spark, "/root/testdata/sf0.001").inputFiles()
+    assert found and not any("lineitem" in f for f in found)

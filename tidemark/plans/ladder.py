@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import written
 from ..operators import forecast, price, reviews
 from . import frames
 from .queries import as_text, query, rounded
@@ -30,9 +31,9 @@ def weather(spark, sf_dir):
     return s.select("region", "ts", kinds).select("region", "ts", "_x.*")
 
 
-def grid(spark, sf_dir):
+def grid(spark, sf_dir, p=None):
     """The intervals that have a price in the week after each origin."""
-    p = prices(spark, sf_dir)
+    p = p or prices(spark, sf_dir)
     origins = F.explode(F.array(*[F.lit(o).cast("timestamp_ntz") for o in ORIGINS])).alias("origin")
     return p.select("region", "ts", origins).where((F.col("ts") > F.col("origin")) & (F.col("ts") <= F.col("origin") + forecast.days(7))).select("region", "origin", "ts")
 
@@ -113,9 +114,15 @@ def p17_feature_matrix(spark, sf_dir):
     return df.select("region", "origin", "ts", *[c if "lag" in c else (F.round(c, 4) + F.lit(0.0)).alias(c) for c in forecast.FEATURES])
 
 
-def matrices(spark, sf_dir):
+def series(spark, sf_dir):
+    """Prices, weather and grid. The first two are written, as a ladder reads them dozens of times: they have a row per
+    region and interval, however many lines there are."""
+    p, w = written(prices(spark, sf_dir)), written(weather(spark, sf_dir))
+    return p, w, grid(spark, sf_dir, p)
+
+
+def matrices(p, w, g):
     """Training and prediction rows of all origins."""
-    p, w, g = prices(spark, sf_dir), weather(spark, sf_dir), grid(spark, sf_dir)
     runs, reference = g.select("region", "origin").distinct(), forecast.reference_temperature(w)
     return forecast.training_matrix(p, reference, runs), forecast.feature_matrix(g, p, reference, forecast.target_temperature(w, runs))
 
@@ -123,17 +130,17 @@ def matrices(spark, sf_dir):
 @query(None)
 def p18_fit_predict_forest(spark, sf_dir):
     """Trained: no SQL. The tests hold it against the leakage guard and a plain mean."""
-    return forecast.fit_predict_forest(*matrices(spark, sf_dir))[0]
+    return forecast.fit_predict_forest(*matrices(*series(spark, sf_dir)))[0]
 
 
 @query(None)
 def p18_fit_predict_boosting(spark, sf_dir):
-    return forecast.fit_predict_boosting(*matrices(spark, sf_dir))[0]
+    return forecast.fit_predict_boosting(*matrices(*series(spark, sf_dir)))[0]
 
 
 @query(None)
 def p19_fit_predict_network(spark, sf_dir):
-    return forecast.fit_predict_network(*matrices(spark, sf_dir))
+    return forecast.fit_predict_network(*matrices(*series(spark, sf_dir)))
 
 
 _SOURCE = f"SELECT region, origin, max(source) AS source FROM ({TARGET}) GROUP BY 1, 2"
@@ -143,14 +150,15 @@ _SOURCE = f"SELECT region, origin, max(source) AS source FROM ({TARGET}) GROUP B
 UNION ALL SELECT g.region, 'rolling_median', g.origin, g.ts, greatest(-1000.0, median(p.rrp)), 'none' FROM ({GRID}) g JOIN ({PRICES}) p ON p.region = g.region AND p.ts IN (g.ts - INTERVAL 7 DAY, g.ts - INTERVAL 14 DAY, g.ts - INTERVAL 21 DAY, g.ts - INTERVAL 28 DAY) GROUP BY 1, 3, 4
 UNION ALL SELECT region, 'temperature_adjusted', origin, ts, predicted, coalesce(source, 'none') FROM ({ADJUSTED}) LEFT JOIN ({_SOURCE}) USING (region, origin))""")
 def p20_forecast_ladder(spark, sf_dir):
-    df = forecast.forecast_ladder(prices(spark, sf_dir), weather(spark, sf_dir), grid(spark, sf_dir))
+    df = forecast.forecast_ladder(*series(spark, sf_dir))
     return df.withColumn("predicted", F.when(F.col("model") == "temperature_adjusted", F.round("predicted", 4)).otherwise(F.col("predicted")))
 
 
 @query(None)
 def p20_learned_ladder(spark, sf_dir):
     """All six models. Trained ones have no SQL; the tests hold the other three against p20_forecast_ladder."""
-    return forecast.forecast_ladder(prices(spark, sf_dir), weather(spark, sf_dir), grid(spark, sf_dir), forecast.learned_models(*matrices(spark, sf_dir)))
+    held = series(spark, sf_dir)
+    return forecast.forecast_ladder(*held, forecast.learned_models(*matrices(*held)))
 
 
 @query(f"SELECT region, ts, observed, forecast, round(forecast - observed, 6) AS error FROM (SELECT region, ts, max(temperature) FILTER (kind = 'observed') AS observed, max(temperature) FILTER (kind = 'forecast') AS forecast FROM ({WEATHER}) GROUP BY 1, 2)")
