@@ -162,3 +162,20 @@ def test_halves_that_doubles_miss_are_rounded_up(spark):
     # 100 - (25 + 15 + 15 * 13 / 16 * 1.12) + 10 is 56.35, and doubles hold less
     df = spark.createDataFrame([account("half", segment="Public", customer_since=back(3000), contract_start=back(1000), renewal_date=back(-615), tickets_12mo=15, pct_high_priority=24.0, active_user_pct=70.0, term_length_months=10)], ACCOUNT)
     assert health.signal_compass(df, F.lit(TODAY)).first()["score"] == 56.4
+
+
+def test_robust_scale_reads_features_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(account_id):
+        seen.add(1)
+        return account_id
+
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(f"a{i}", *(rnd.random() for _ in archetypes.FEATURES)) for i in range(50)], "account_id string, " + ", ".join(f"{c} double" for c in archetypes.FEATURES))
+    df = df.select(told("account_id").alias("account_id"), *[F.when(told("account_id").isNotNull(), F.col(c)).alias(c) for c in archetypes.FEATURES])
+    assert archetypes.robust_scale(df).count() == 50
+    once, seen.value = seen.value, 0
+    df.write.format("noop").mode("overwrite").save()
+    assert once == seen.value
