@@ -96,7 +96,7 @@ def tagged(spark, sf_dir):
     body = F.when(second, F.concat_ws(",", F.lit("D,DISPATCH,UNIT_SOLUTION,2"), unit, held, F.concat(F.lit('"'), at, F.lit('"')), target, mw)).otherwise(F.concat_ws(",", F.lit("D,DISPATCH,UNIT_SOLUTION,1"), at, unit, held, mw, target))
     data = line.select(file.alias("file"), (F.col("l_linenumber") * 10).alias("line"), body.alias("value"))
     other = line.where("l_linenumber = 1").select(file.alias("file"), F.lit(15).alias("line"), F.lit("D,DISPATCH,PRICE,1,x,y").alias("value"))
-    heads = line.select(file.alias("file"), (F.col("l_orderkey") % 3 == 0).alias("_two")).distinct().select("file", F.explode(F.when(F.col("_two"), F.array(F.struct(F.lit(1).alias("line"), F.lit(f"I,DISPATCH,UNIT_SOLUTION,1,{_SHORT}").alias("value")), F.struct(F.lit(25).alias("line"), F.lit(f"I,DISPATCH,UNIT_SOLUTION,2,{_LONG}").alias("value")))).otherwise(F.array(F.struct(F.lit(1).alias("line"), F.lit(f"I,DISPATCH,UNIT_SOLUTION,1,{_SHORT}").alias("value"))))).alias("h")).select("file", "h.*")
+    heads = line.select("l_orderkey").distinct().select(file.alias("file"), (F.col("l_orderkey") % 3 == 0).alias("_two")).select("file", F.explode(F.when(F.col("_two"), F.array(F.struct(F.lit(1).alias("line"), F.lit(f"I,DISPATCH,UNIT_SOLUTION,1,{_SHORT}").alias("value")), F.struct(F.lit(25).alias("line"), F.lit(f"I,DISPATCH,UNIT_SOLUTION,2,{_LONG}").alias("value")))).otherwise(F.array(F.struct(F.lit(1).alias("line"), F.lit(f"I,DISPATCH,UNIT_SOLUTION,1,{_SHORT}").alias("value"))))).alias("h")).select("file", "h.*")
     return data.unionByName(other).unionByName(heads)
 
 
