@@ -390,6 +390,14 @@ def test_joining_links_give_the_components_of_all_links(spark, hot):
     assert dict(tuple(r) for r in components(links).collect()) == want
 
 
+def test_spread_prints_are_not_broadcast(spark):
+    """A print makes 64 rows, of which Spark's estimate knows nothing: whatever it is, they are joined by a merge."""
+    prints = spark.range(100).select(F.xxhash64("id").alias("print"))
+    for links in (simhash.joining_links(prints), simhash.linked_prints(prints)):
+        (join,) = [x for x in links._jdf.queryExecution().sparkPlan().toString().splitlines() if "bit_count" in x and "Join" in x]
+        assert "SortMergeJoin" in join
+
+
 def test_simhash_counts_links(spark):
     texts = ["one two three four"] * 3 + ["something else altogether here", "Something else altogether here", None]
     rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count_links=True).collect()

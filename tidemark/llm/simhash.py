@@ -90,7 +90,8 @@ def cut_further(key: F.Column, x: F.Column) -> F.Column:
 
 def keys_of(prints: DataFrame) -> DataFrame:
     """(print, key): the 64 one-wildcard variants of the two halves. Dealt out first, to a stated number of partitions that
-    Spark does not join again, as there are 64 rows for each."""
+    Spark does not join again, as there are 64 rows for each. Spark takes them for as large as the prints, so a join must
+    not leave it to that size whether they are broadcast."""
     x, tasks = F.col("print"), int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return prints.repartition(tasks, "print").select(x, F.explode(F.concat(variants(high_half(x), 32, 0), variants(low_half(x), 32, 1))).alias("key"))
 
@@ -119,7 +120,7 @@ def linked_prints(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> Da
     upper, lower = F.shiftrightunsigned(rest, 16), rest.bitwiseAND(F.lit(0xFFFF))
     part_at = F.shiftrightunsigned("part", 16).bitwiseAND(F.lit(31))
     first_part = F.when(F.col("part") < 0, True).when(F.shiftrightunsigned("part", 21) == 1, (F.bit_count(upper) > 1) & only_bit(lower, part_at)).otherwise(only_bit(upper, part_at))
-    return left.join(right, ["key", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & first_key & first_part).select("a", "b")
+    return left.join(right.hint("merge"), ["key", "part"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= distance) & first_key & first_part).select("a", "b")
 
 
 def joining_links(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> DataFrame:
@@ -137,10 +138,10 @@ def joining_links(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> Da
     crowded = stored(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
     quiet = keyed.join(crowded, "key", "left_anti") if (busy := not crowded.isEmpty()) else keyed
     left, right = quiet.select(F.col("print").alias("a"), "key"), quiet.select(F.col("print").alias("b"), "key")
-    links = left.join(right, "key").where((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b").distinct()
+    links = left.join(right.hint("merge"), "key").where((F.col("a") < F.col("b")) & near(F.col("a"), F.col("b"))).select("a", "b").distinct()
     if not busy:
         return links
-    full = stored(keyed.join(crowded, "key"))
+    full = stored(keyed.join(crowded, "key", "left_semi"))
     full = stored(full.join(stored(full.groupBy("key").agg(F.min("print").alias("first"))), "key"))
     stars = full.where((F.col("first") < F.col("print")) & near(F.col("first"), F.col("print"))).select(F.col("first").alias("a"), F.col("print").alias("b")).distinct()
     links = stored(links.unionAll(stars).distinct())
@@ -149,7 +150,7 @@ def joining_links(prints: DataFrame, *, distance: int = 3, hot: int = HOT) -> Da
     split = parts.groupBy("key", "part").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key", "part")
     rest = stored(parts.join(split, ["key", "part"], "left_semi"))
     left, right = (rest.select("key", "part", F.col("print").alias(name), F.col("component").alias(f"of_{name}")) for name in "ab")
-    more = left.join(right, ["key", "part"]).where((F.col("of_a") < F.col("of_b")) & near(F.col("a"), F.col("b"))).select("a", "b")
+    more = left.join(right.hint("merge"), ["key", "part"]).where((F.col("of_a") < F.col("of_b")) & near(F.col("a"), F.col("b"))).select("a", "b")
     return links.unionAll(more.distinct())
 
 
