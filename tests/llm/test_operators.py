@@ -398,6 +398,15 @@ def test_spread_prints_are_not_broadcast(spark):
         assert "SortMergeJoin" in join
 
 
+def test_parities_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(near_copies, "stored", lambda df, put=near_copies.stored: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or put(df))
+    texts = [" ".join(f"w{(i % 3) * 100 + (j if (i + j) % 40 else 99)}" for j in range(60)) for i in range(12)]
+    near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    joins = [x for plan in plans for x in plan.splitlines() if "Join" in x and "parities" in plan and "MapInArrow" not in plan]
+    assert joins and not [x for x in joins if "SortMergeJoin" not in x]
+
+
 def test_simhash_counts_links(spark):
     texts = ["one two three four"] * 3 + ["something else altogether here", "Something else altogether here", None]
     rows = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), count_links=True).collect()

@@ -121,7 +121,7 @@ def joined(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
 def verified(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
     """(a, b) of the pairs of sets that are similar enough, stored; a pair may come again. Their parities rule most others out before shingles are
     brought together; those in use are written first, so that a set in many pairs is joined from a table and can be split."""
-    likely = stored(joined(pairs, shingles, ["n", "parities"]).where(few_differ("x", "y", least)).select("a", "b"))
+    likely = stored(joined(pairs, shingles.hint("merge"), ["n", "parities"]).where(few_differ("x", "y", least)).select("a", "b"))
     ends = likely.select(F.col("a").alias("set")).unionAll(likely.select(F.col("b").alias("set"))).distinct()
     used = stored(shingles.select("set", "shingles").join(ends, "set", "left_semi"))
 
@@ -199,9 +199,10 @@ def classes_of(docs: DataFrame, id_col: str, text_col: str, least: float, hot: i
             break
         rows = rest.join(large, "key", "left_semi")
         links = stored(links.unionAll(verified(stored(to_centre(rows, centred(rows, F.xxhash64("set", "key", F.lit(again)))).distinct()), shingles, least)).distinct())
-    rest = stored(rest.join(shingles.select("set", "parities").distinct(), "set"))
+    # parities repeat in every bucket of a set and take a fraction of their size as files: Spark would broadcast too much
+    rest = stored(rest.join(shingles.select("set", "parities").distinct().hint("merge"), "set"))
     left, right = (rest.select("key", F.struct("set", "n", "shared", "component", "parities").alias(side)) for side in ("x", "y"))
-    more = left.join(right, "key").where((F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x"), F.col("y")) & few_differ("x", "y", least)).select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
+    more = left.join(right.hint("merge"), "key").where((F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component")) & alike(F.col("x"), F.col("y")) & few_differ("x", "y", least)).select(F.col("x.set").alias("a"), F.col("y.set").alias("b"))
     links = links.unionAll(verified(stored(more.distinct()), shingles, least))
     found = stored(components(links).select(F.col("node").alias("set"), "component").join(nodes.select("set", "least"), "set"))
     ids = stored(found.groupBy("component").agg(F.min("least").alias("component_id")))
