@@ -2,11 +2,13 @@
 
 import datetime
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import forecast
+from tidemark.plans import exports, ladder
 from tidemark.sources import audit, ingest
 
 T0 = datetime.datetime(2026, 6, 7)
@@ -45,3 +47,14 @@ def test_empty_tables(spark, name):
         none("region string, model string, origin timestamp_ntz, ts timestamp_ntz, predicted double, temperature_source string, leakage_safe boolean"),
     )
     assert made[name].count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the driver's tables are not here")
+def test_features_of_the_driver_tables(spark):
+    """The newest origin's training rows, a line each: the features and price that the matrix has."""
+    at = "/root/testdata/sf0.01"
+    train = ladder.matrices(*ladder.series(spark, at))[0].where(F.col("run") == F.lit(ladder.ORIGINS[-1]).cast("timestamp_ntz"))
+    want = {(r["region"], f"{r['ts'].isoformat()}+10:00"): (r["price_lag_1w"], r["rrp"]) for r in train.collect()}
+    got = {(r["region"], r["interval_end_nem"]): (float(r["price_lag_1w"]), float(r["target_rrp"])) for r in exports.i13_export_features(spark, at).collect()}
+    assert got.keys() == want.keys() and got
+    assert all(abs(x - y) <= 0.006 for k in got for x, y in zip(got[k], want[k], strict=True))

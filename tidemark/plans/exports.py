@@ -43,7 +43,7 @@ def i13_export_weather(spark, sf_dir):
 @query(None)
 def i13_export_features(spark, sf_dir):
     """The newest origin's training matrix, which p17 has as numbers; held against them in the tests."""
-    train, _ = ladder.matrices(spark, sf_dir)
+    train, _ = ladder.matrices(*ladder.series(spark, sf_dir))
     return exported(spark, "features", audit.feature_export(train.where(F.col("run") == F.lit(ladder.ORIGINS[-1]).cast("timestamp_ntz"))))
 
 
